@@ -30,7 +30,7 @@ def _bad_value(col: Column, kind: str) -> Column | None:
     if kind == "instant":
         return text.instant(col).isNull()
     if kind == "duration":
-        return text.duration_millis(col).isNull()
+        return ~col.rlike(text.DURATION)
     if kind in NESTED:
         return _any([_field_fault(col.getField(f.name), f) for f in NESTED[kind]])
     return None
@@ -83,6 +83,16 @@ def _each(col: Column, field: Field, convert) -> Column:
     return F.transform(col, lambda item: convert(item, field.kind)) if field.many else convert(col, field.kind)
 
 
+def _parsed(lines: DataFrame, keep: list[str], text_col: str, schema: T.StructType) -> DataFrame:
+    """``keep`` and ``__m``, the parsed text.
+
+    The one-element explode keeps the optimizer from copying the parse into every test on its
+    fields: a filter is not moved below a generator, so each text is parsed once.
+    """
+    parse = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(*keep, F.explode(F.array(parse)).alias("__m"))
+
+
 def message_decode(lines: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines to ``(messages, rejects)``.
 
@@ -90,9 +100,7 @@ def message_decode(lines: DataFrame, text_col: str) -> tuple[DataFrame, DataFram
     field, null where the kind lacks it. Rejects keep the text and get the ``reason``; a line
     that cannot be decoded never stops the others.
     """
-    wire = F.from_json(F.col(text_col), wire_schema(),
-                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = lines.withColumn("__m", wire)
+    parsed = _parsed(lines, lines.columns, text_col, wire_schema())
     kind = F.col("__m").getField("$type")
     reason = (
         F.when(F.col("__m").isNull() | (F.col("__m._corrupt_record").isNotNull() & kind.isNull()), "malformed JSON")
@@ -135,17 +143,16 @@ def message_conformance(lines: DataFrame, text_col: str) -> DataFrame:
         [T.StructField("$type", T.StringType())]
         + [T.StructField(f.name, T.StringType()) for f in MESSAGE_FIELDS]
         + [T.StructField("_corrupt_record", T.StringType())])
-    parsed = lines.select(F.from_json(F.col(text_col), raw, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("m"))
-    kind = F.col("m").getField("$type")
-    malformed = F.col("m").isNull() | F.col("m._corrupt_record").isNotNull()
+    parsed = _parsed(lines, [], text_col, raw)
+    kind = F.col("__m").getField("$type")
+    malformed = F.col("__m").isNull() | F.col("__m._corrupt_record").isNotNull()
     known = kind.isin(list(KINDS))
     rules = [
         F.when(malformed, "malformed JSON"),
         F.when(~malformed & ~F.coalesce(known, F.lit(False)), "unknown $type"),
     ]
     for field in MESSAGE_FIELDS:
-        value = F.col("m").getField(field.name)
+        value = F.col("__m").getField(field.name)
         needing, having = kinds_requiring(field.name), kinds_having(field.name)
         rules.append(F.when(~malformed & kind.isin(needing) & value.isNull(), f"missing {field.name}"))
         present = ~malformed & kind.isin(having) & value.isNotNull()
