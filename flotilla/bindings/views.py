@@ -19,7 +19,54 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 NOW = "2024-01-30 12:00:00"
 
+# Tag views: (key, value, condition) per row that an order gives.
+_TAG_ROWS = [
+    ("x:cluster_name", "concat('cluster-', o_orderkey)", "true"),
+    ("x:cluster_ttl", "concat(o_custkey % 24 + 1, 'h')", "o_custkey % 3 <> 0"),
+    ("x:cluster_idle_timeout", "concat(o_custkey % 90 + 1, 'm')", "o_custkey % 2 = 0"),
+    ("x:worker_bid_price", "cast(cast(cast(o_custkey % 500 as decimal(18,2)) / 100 as decimal(18,2)) as string)",
+     "o_custkey % 5 = 0"),
+    ("Name", "concat('node ', o_orderkey)", "o_orderkey % 4 = 0"),
+    ("team", "o_orderpriority", "true"),
+]
+_TAG_OVERRIDE = [
+    ("team", "'ops'", "o_custkey % 3 = 0"),
+    ("x:cluster_ttl", "'1h'", "o_custkey % 4 = 0"),
+    ("owner", "concat('c', o_custkey)", "o_custkey % 7 = 0"),
+]
+TAG_VIEWS = {
+    "tag_rows": _TAG_ROWS,
+    "tag_override": _TAG_OVERRIDE,
+    "extra_tag": [*_TAG_OVERRIDE, ("Name", "concat('own name ', o_orderkey)", "o_custkey % 10 = 0")],
+    "cluster_tags": [
+        *_TAG_ROWS,
+        ("x:cluster_ttl", "'soon'", "o_custkey % 12 = 0"),
+        ("x:cluster_docker_image", "concat('lab/app:', o_custkey % 9, '.0-', o_orderkey % 50)", "o_orderkey % 8 <> 0"),
+        ("x:worker_instance_type", "cast(o_custkey % 2000 as string)", "o_orderkey % 9 <> 0"),
+        ("x:subnet_id", "concat('subnet-', o_custkey % 25)", "o_orderkey % 10 <> 0"),
+        ("x:placement_group", "concat('pg-', o_custkey % 6)", "o_custkey % 6 <> 0"),
+        ("x:spark_cluster_role", "'Master'", "true"),
+        ("x:container_state", "'ContainerRunning'", "o_orderstatus = 'O'"),
+    ],
+}
+
+
+def _tag_union(name: str) -> str:
+    return "\nunion all ".join(
+        f"select o_orderkey as cluster_id, '{key}' as tag_key, {value} as tag_value from orders where {condition}"
+        for key, value, condition in TAG_VIEWS[name])
+
+
+def _tag_scan(name: str) -> str:
+    """The same rows from one scan of the orders, for Spark."""
+    cells = ", ".join(
+        f"case when {condition} then named_struct('tag_key', '{key}', 'tag_value', {value}) end"
+        for key, value, condition in TAG_VIEWS[name])
+    return f"select o_orderkey as cluster_id, inline(array_compact(array({cells}))) from orders"
+
+
 VIEWS: dict[str, str] = {
+    **{name: _tag_union(name) for name in TAG_VIEWS},
     "spec_dim": """
 select p_partkey as instance_type, p_size as cores, cast(p_size as bigint) * 1073741824 as memory_bytes,
        p_size % 5 as devices, 343597383680 as bytes_per_device,
@@ -209,31 +256,8 @@ select id, id % 50 as cluster_id, case when id < 50 then 'Master' else 'Worker'
 select id, id % 50 as cluster_id, case when id < 50 then 'Master' else 'Worker' end as role, state, address from snapshot_cur""",
     "poll": """
 select distinct user_id as id, cast(extract(day from ts) as int) as poll_no from events""",
-    "tag_rows": """
-select o_orderkey as cluster_id, 'x:cluster_name' as tag_key, concat('cluster-', o_orderkey) as tag_value from orders
-union all select o_orderkey, 'x:cluster_ttl', concat(o_custkey % 24 + 1, 'h') from orders where o_custkey % 3 <> 0
-union all select o_orderkey, 'x:cluster_idle_timeout', concat(o_custkey % 90 + 1, 'm') from orders where o_custkey % 2 = 0
-union all select o_orderkey, 'x:worker_bid_price', cast(cast(cast(o_custkey % 500 as decimal(18,2)) / 100 as decimal(18,2)) as string) from orders where o_custkey % 5 = 0
-union all select o_orderkey, 'Name', concat('node ', o_orderkey) from orders where o_orderkey % 4 = 0
-union all select o_orderkey, 'team', o_orderpriority from orders""",
     "user_tags": """
 select cluster_id, tag_key, tag_value from tag_rows where tag_key <> 'x:cluster_name'""",
-    "tag_override": """
-select o_orderkey as cluster_id, 'team' as tag_key, 'ops' as tag_value from orders where o_custkey % 3 = 0
-union all select o_orderkey, 'x:cluster_ttl', '1h' from orders where o_custkey % 4 = 0
-union all select o_orderkey, 'owner', concat('c', o_custkey) from orders where o_custkey % 7 = 0""",
-    "extra_tag": """
-select cluster_id, tag_key, tag_value from tag_override
-union all select o_orderkey, 'Name', concat('own name ', o_orderkey) from orders where o_custkey % 10 = 0""",
-    "cluster_tags": """
-select cluster_id, tag_key, tag_value from tag_rows
-union all select o_orderkey, 'x:cluster_ttl', 'soon' from orders where o_custkey % 12 = 0
-union all select o_orderkey, 'x:cluster_docker_image', concat('lab/app:', o_custkey % 9, '.0-', o_orderkey % 50) from orders where o_orderkey % 8 <> 0
-union all select o_orderkey, 'x:worker_instance_type', cast(o_custkey % 2000 as string) from orders where o_orderkey % 9 <> 0
-union all select o_orderkey, 'x:subnet_id', concat('subnet-', o_custkey % 25) from orders where o_orderkey % 10 <> 0
-union all select o_orderkey, 'x:placement_group', concat('pg-', o_custkey % 6) from orders where o_custkey % 6 <> 0
-union all select o_orderkey, 'x:spark_cluster_role', 'Master' from orders
-union all select o_orderkey, 'x:container_state', 'ContainerRunning' from orders where o_orderstatus = 'O'""",
     "subnet_dim": """
 select concat('subnet-', n_nationkey) as subnet_id, r_name as zone from nation join region on n_regionkey = r_regionkey""",
     "subnet_choice": """
@@ -336,7 +360,7 @@ class Inputs:
             numbered = row_numbers(events.withColumn("server", F.col("user_id") % 4),
                                    ["server"], ["ts", "event_id"], "message_no")
             return numbered.drop("server")
-        return self.sql(VIEWS[name])
+        return self.sql(_tag_scan(name) if name in TAG_VIEWS else VIEWS[name])
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views; each name it mentions is passed in as a DataFrame."""

@@ -30,11 +30,11 @@ def price_asof(probes: DataFrame, prices: DataFrame, key_cols: Sequence[str], ts
     extra = [c for c in probes.columns if c not in (*key_cols, ts_col)]
     kind = prices.schema["price"].dataType
     nothing = lambda c: F.lit(None).cast(probes.schema[c].dataType).alias(c)
-    quotes = prices.groupBy(*key_cols, ts_col).agg(F.max("price").alias("__price")).select(
-        *key_cols, ts_col, F.lit(0).alias("__side"), "__price", *[nothing(c) for c in extra])
+    quotes = prices.select(
+        *key_cols, ts_col, F.lit(0).alias("__side"), F.col("price").alias("__price"), *[nothing(c) for c in extra])
     asked = probes.select(*key_cols, ts_col, F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__price"), *extra)
     filled = last_known(
-        quotes.unionByName(asked), key_cols, [ts_col, "__side"], "__price", "price", min_hot_rows)
+        quotes.unionByName(asked), key_cols, [ts_col, "__side", "__price"], "__price", "price", min_hot_rows)
     return filled.where("__side = 1").select(
         *probes.columns, F.coalesce("price", F.lit(default)).cast(kind).alias("price"))
 

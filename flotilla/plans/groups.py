@@ -9,18 +9,19 @@ MAX_MEMBERS = 10_000
 
 
 def bounded_groups(df: DataFrame, key: str, spread_col: str, member: Column, max_members: int | None = None) -> DataFrame:
-    """``key, n, part, parts, members``: each key's rows as arrays of about ``max_members`` or fewer.
+    """``key, n, part, parts, members``: each key's members as arrays of about ``max_members`` or fewer.
 
-    A key with more rows than that gets several parts, spread by a hash of ``spread_col``, so no
-    row of the result and no task has to hold a whole large group. Small keys get exactly one part.
+    A key with more members than that gets several parts, spread by a hash of ``spread_col``, so
+    no row of the result and no task has to hold a whole large group. Small keys get one part. Rows
+    whose ``member`` is null make sure that their key appears (in part 0) and count for nothing.
     """
     size = max_members or MAX_MEMBERS
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(size)).cast("bigint")
-    sized = df.join(counts.select(key, "n", parts.alias("parts")), key)
-    part = F.pmod(F.xxhash64(spread_col), F.col("parts")).alias("part")
-    return (
-        sized.select(key, "n", "parts", part, member.alias("member"))
-        .groupBy(key, "n", "parts", "part")
-        .agg(F.array_sort(F.collect_list("member")).alias("members"))
-    )
+    rows = df.select(key, member.alias("member"), F.xxhash64(spread_col).alias("spread"))
+    counts = rows.groupBy(key).agg(F.count("member").alias("n"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(size)), F.lit(1)).cast("bigint")
+    sized = rows.join(counts.withColumn("parts", parts), key)
+    part = F.when(F.col("member").isNull(), F.lit(0)).otherwise(F.pmod("spread", "parts"))
+    # The join leaves rows clustered by key, which would do for the grouping below and put a large
+    # key into one task. Repartitioning by part as well splits it, and lets the join be split too.
+    split = sized.withColumn("part", part.cast("bigint")).repartition(key, "part")
+    return split.groupBy(key, "n", "parts", "part").agg(F.array_sort(F.collect_list("member")).alias("members"))

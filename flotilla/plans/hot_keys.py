@@ -63,8 +63,11 @@ class RangeCut:
         pos = position(df, self.order_cols[0])
         share = (pos - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo") + 1).cast("double")
         cut = F.coalesce(F.floor(share * F.col("__n")), F.lit(0)).cast("bigint").alias(_RANGE)
-        self.rows = df.join(spans, on, "left").select(*[df[c] for c in df.columns], cut)
-        self.hot = df.join(spans, on, "inner").select(*[df[c] for c in df.columns], cut)
+        columns = [df[c] for c in df.columns]
+        # An explicit exchange by key and range: were the rows already clustered by key, Spark would
+        # take that as good enough for the window and leave a hot key in one task.
+        self.rows = df.join(spans, on, "left").select(*columns, cut).repartition(*self.keys, _RANGE)
+        self.hot = df.join(spans, on, "inner").select(*columns, cut)
 
     def window(self):
         return Window.partitionBy(*self.keys, _RANGE).orderBy(*self.order_cols)

@@ -90,17 +90,15 @@ def cluster_snapshot(clusters: DataFrame, instances: DataFrame, max_workers: int
     member = _instance_struct(instances)
     masters = instances.where(F.col("role") == "Master").groupBy("cluster_id").agg(
         F.min_by(member, F.struct("launched_at", "instance_id")).alias("master"))
-    workers = bounded_groups(
-        instances.where(F.col("role") == "Worker"), "cluster_id", "instance_id", member, max_workers)
-    return (
-        clusters.join(masters, "cluster_id", "left")
-        .join(workers.select("cluster_id", "part", "parts", F.col("members").alias("workers")), "cluster_id", "left")
-        .withColumns({
-            "part": F.coalesce("part", F.lit(0)),
-            "parts": F.coalesce("parts", F.lit(1)),
-            "workers": F.coalesce("workers", F.array().cast(T.ArrayType(masters.schema["master"].dataType))),
-        })
-    )
+    nobody = F.lit(None).cast(masters.schema["master"].dataType)
+    workers = instances.where(F.col("role") == "Worker").select("cluster_id", "instance_id", member.alias("worker"))
+    # One row without a worker per cluster, so that every cluster comes out of the grouping and the
+    # join below can be an inner one, which Spark can split at a cluster with very many parts.
+    seats = workers.unionByName(clusters.select("cluster_id", F.lit("").alias("instance_id"), nobody.alias("worker")))
+    groups = bounded_groups(seats, "cluster_id", "instance_id", F.col("worker"), max_workers)
+    return groups.select("cluster_id", "part", "parts", F.col("members").alias("workers")).join(
+        clusters.join(masters, "cluster_id", "left"), "cluster_id").select(
+        *clusters.columns, "master", "workers", "part", "parts")
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:

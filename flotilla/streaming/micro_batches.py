@@ -41,9 +41,13 @@ def stepwise(stream: DataFrame, state: TableState, out_path: str, step: Step) ->
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        out, after = step(batch, state.before(spark, batch_id), batch_id)
-        out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        state.save(after, batch_id)
+        batch.persist()
+        try:
+            out, after = step(batch, state.before(spark, batch_id), batch_id)
+            out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            state.save(after, batch_id)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(run)
 
