@@ -586,7 +586,8 @@ where message_no <> prev_no + 1"""
 
 @query("sequence_gaps", SEQUENCE_GAPS)
 def sequence_gaps(t: Inputs) -> DataFrame:
-    return logs.sequence_gaps(t.view("message_log"), "server_id", "message_no").select(
+    log = t.landed("message_log", "server_id", "message_no")
+    return logs.sequence_gaps(log, "server_id", "message_no").select(
         "server_id", "message_no", "prev_no", "gap")
 
 
@@ -600,8 +601,9 @@ where prev_server <> server_id or message_no <> prev_no + 1"""
 
 @query("client_sequence_gaps", CLIENT_GAPS)
 def client_sequence_gaps(t: Inputs) -> DataFrame:
+    log = t.landed("client_log", "client_id", "ts", "event_id", "server_id", "message_no")
     return logs.sequence_gaps(
-        t.view("client_log"), "server_id", "message_no", ["client_id"], ["ts", "event_id"]).drop("ts")
+        log, "server_id", "message_no", ["client_id"], ["ts", "event_id"]).drop("ts")
 
 
 def _alive(prop: str) -> str:
@@ -700,9 +702,11 @@ def rank_images_top(t: Inputs) -> DataFrame:
 
 @query("default_choice", """
 select arg_min(instance_type, instance_type) as master_type,
-       arg_min(instance_type, instance_type) filter (is_spot_eligible) as worker_type from spec_dim""")
+       arg_min(instance_type, instance_type) filter (is_spot_eligible) as worker_type,
+       (select arg_min(subnet_id, pos) from subnet_choice) as subnet_id
+from spec_dim""")
 def default_choice(t: Inputs) -> DataFrame:
-    return prices.default_choice(t.view("spec_dim"), ["instance_type"])
+    return prices.default_choice(t.view("spec_dim"), ["instance_type"], t.view("subnet_choice"), ["pos"])
 
 
 # Sets

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..session import shared_dir
-from ..sources.inventory import snapshot_stream as open_stream
 from ..streaming import micro_batches, streams
 from .batch_queries import (CHANGE_EVENTS, CHANGE_PROPS, COLLECT_FIRST, LATEST_STATE, POLL_DIFF, SEQUENCE_GAPS, TIMEOUT,
                             first_wanted, shown_history)
@@ -74,13 +73,11 @@ def stream_timeout(t: Inputs) -> DataFrame:
 
 @query("stream_sequence_gaps", SEQUENCE_GAPS)
 def stream_sequence_gaps(t: Inputs) -> DataFrame:
-    landed = f"{shared_dir(t.spark, 'log')}"
-    log = t.view("message_log").select("server_id", "message_no")
-    log.write.parquet(landed)
+    # Only a batch can number the log, so it is landed first.
+    log = t.landed("message_log", "server_id", "message_no", stream=True)
     return _finish(
         t, "gaps",
-        lambda state, out: streams.stream_sequence_gaps(
-            open_stream(t.spark, landed, log.schema), "server_id", "message_no", state, out),
+        lambda state, out: streams.stream_sequence_gaps(log, "server_id", "message_no", state, out),
         "server_id string, message_no bigint, prev_no bigint, gap string")
 
 

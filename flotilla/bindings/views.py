@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.hot_keys import row_numbers
-from ..session import prepare
+from ..session import prepare, shared_dir
 from ..sources.inventory import snapshot_stream
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -362,6 +362,18 @@ class Inputs:
             return numbered.drop("server")
         return self.sql(_tag_scan(name) if name in TAG_VIEWS else VIEWS[name])
 
+    def landed(self, name: str, *columns: str, stream: bool = False) -> DataFrame:
+        """Columns of a view, written once to the shared folder and read back.
+
+        For a view that is dear to compute and read several times by one operator.
+        """
+        path = shared_dir(self.spark, name)
+        rows = self.view(name).select(*columns)
+        rows.write.parquet(path)
+        if stream:
+            return snapshot_stream(self.spark, path, rows.schema)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views; each name it mentions is passed in as a DataFrame."""
         views, tables = _mentions(text, VIEWS), _mentions(text, TABLES)

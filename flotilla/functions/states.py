@@ -57,18 +57,19 @@ def effective_matrix() -> list[tuple[str, str, str]]:
 
 def effective_container_state(state: Column, container: Column) -> Column:
     """Container state limited by the instance state; null for a name outside either list."""
-    out = F.when(container.isin(CONTAINER_STATES) & state.isin(INSTANCE_STATES), container)
-    bent = None
+    bent: dict[tuple[str, str], list[str]] = {}
     for own, machine, result in effective_matrix():
         if own != result:
-            test = (container == own) & (state == machine)
-            bent = F.when(test, result) if bent is None else bent.when(test, result)
-    return bent.otherwise(out)
+            bent.setdefault((machine, result), []).append(own)
+    chain = F
+    for (machine, result), owns in bent.items():
+        chain = chain.when((state == machine) & container.isin(owns), result)
+    return chain.when(container.isin(CONTAINER_STATES) & state.isin(INSTANCE_STATES), container)
 
 
 def provider_state(col: Column) -> Column:
     """Instance state of a provider state name, null when the name has none."""
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
+    chain = F
     for name, state in PROVIDER_STATES.items():
         chain = chain.when(col == name, state)
     return chain

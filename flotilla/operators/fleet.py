@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.groups import bounded_groups
+from ..plans.hot_keys import join_unique
 from .tags import tag_pivot
 
 
@@ -31,7 +32,8 @@ def assemble_clusters(instances: DataFrame, tag_rows: DataFrame, tag_prefix: str
         "ttl_hours", "idle_minutes", "bid_price")
     clusters = tags.dropna(subset=["name", "image", "worker_type", "subnet_id"]).join(masters, "cluster_id").select(
         *tags.columns, F.col("m.instance_id").alias("master_id"), F.col("m.launched_at").alias("launched_at"))
-    workers = instances.where(F.col("role") == "Worker").join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+    workers = join_unique(
+        instances.where(F.col("role") == "Worker"), clusters.select("cluster_id"), "cluster_id", "left_semi")
     members = clusters.select("cluster_id", F.col("master_id").alias("instance_id"), F.lit("Master").alias("role"))
     return clusters, members.unionByName(workers.select("cluster_id", "instance_id", "role"))
 
@@ -68,8 +70,9 @@ def snapshot_apply(prev: DataFrame, cur: DataFrame, key: str, sticky_cols: list[
     frozen = None
     if cluster_col is not None:
         seen = cur.groupBy(cluster_col).agg(F.max(F.coalesce(is_master, F.lit(False))).alias("led"))
-        frozen = prev.join(seen.where(~F.col("led")).select(cluster_col), cluster_col, "left_semi").select(*prev.columns)
-        cur = cur.join(seen.where("led").select(cluster_col), cluster_col, "left_semi").select(*prev.columns)
+        led = lambda rows, test: join_unique(
+            rows, seen.where(test).select(cluster_col), cluster_col, "left_semi").select(*prev.columns)
+        frozen, cur = led(prev, ~F.col("led")), led(cur, F.col("led"))
     cols = [c for c in prev.columns if c != key]
     nothing = F.lit(None).cast(prev.select(F.struct(*cols).alias("r")).schema["r"].dataType)
     both = prev.select(key, F.struct(*cols).alias("old"), nothing.alias("new")).unionByName(

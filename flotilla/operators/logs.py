@@ -30,19 +30,19 @@ def change_events(df: DataFrame, key: str, prop_cols: Sequence[str], order_cols:
     The first row of a key gives every property; those in ``set_only`` only when not null.
     """
     cols = [key, *order_cols, *prop_cols]
-    seen = previous_row(df.select(*dict.fromkeys(cols)), [key], order_cols, prop_cols, "prev", min_hot_rows)
+    seen = previous_row(df.select(*dict.fromkeys(cols)), [key], order_cols, prop_cols, "prev", min_hot_rows, drop_copies=True)
     return seen.select(key, *order_cols, F.inline(_changes(prop_cols, set_only)))
 
 
 def _changes(prop_cols: Sequence[str], set_only: Sequence[str]) -> Column:
     """Array of the ``property, value`` structs that differ from the struct column ``prev``."""
-    def change(prop: str) -> Column:
-        differs = F.col("prev").isNull() | ~F.col(prop).eqNullSafe(F.col(f"prev.{prop}"))
+    def change(prop: str) -> str:
+        differs = f"prev is null or not (`{prop}` <=> prev.`{prop}`)"
         if prop in set_only:
-            differs = differs & F.col(prop).isNotNull()
-        return F.when(differs, F.struct(F.lit(prop).alias("property"), F.col(prop).cast("string").alias("value")))
+            differs = f"({differs}) and `{prop}` is not null"
+        return f"if({differs}, named_struct('property', '{prop}', 'value', cast(`{prop}` as string)), null)"
 
-    return F.array_compact(F.array(*[change(p) for p in prop_cols]))
+    return F.expr(f"array_compact(array({', '.join(change(p) for p in prop_cols)}))")
 
 
 def message_number(df: DataFrame, server_col: str, order_cols: Sequence[str], min_hot_rows: int | None = None) -> DataFrame:
@@ -123,7 +123,8 @@ def validate_transitions(history: DataFrame, key: str, state_cols: Sequence[str]
     ``allowed`` has ``from_state, from_container, to_state, to_container``.
     """
     state, container = state_cols
-    seen = previous_row(history.select(key, *order_cols, state, container), [key], order_cols, state_cols, "prev", min_hot_rows)
+    rows = history.select(key, *order_cols, state, container)
+    seen = previous_row(rows, [key], order_cols, state_cols, "prev", min_hot_rows, drop_copies=True)
     moved = seen.where(
         F.col("prev").isNotNull()
         & ~(F.col(f"prev.{state}").eqNullSafe(F.col(state)) & F.col(f"prev.{container}").eqNullSafe(F.col(container))))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.hot_keys import join_unique
 from ..plans.rejects import split_rejects
 
 
@@ -50,13 +51,14 @@ def completion_barrier(targets: DataFrame, invocations: DataFrame) -> DataFrame:
 
     A command is finished when as many invocations have ended as it has targets.
     """
-    success = (F.col("status") == "Success").cast("int")
-    ended = F.col("status").isin("Success", "Cancelled", "Cancelling", "Failed", "TimedOut").cast("int")
-    zero = F.lit(0)
-    sides = targets.select("command_id", "instance_id", F.lit(1).alias("t"), zero.alias("e"), zero.alias("s")).unionByName(
-        invocations.select("command_id", "instance_id", zero.alias("t"), ended.alias("e"), success.alias("s")))
-    per_target = sides.groupBy("command_id", "instance_id").agg(
-        F.sum("t").alias("t"), F.sum("e").alias("e"), F.max("s").alias("s"))
-    finished = per_target.groupBy("command_id").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).where("t = e")
-    return per_target.where("t > 0 and s = 1").select("command_id", "instance_id").join(
-        finished.select("command_id"), "command_id", "left_semi")
+    ended = F.col("status").isin("Success", "Cancelled", "Cancelling", "Failed", "TimedOut").cast("bigint")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    counts = targets.select("command_id", one.alias("wanted"), zero.alias("ended")).unionByName(
+        invocations.select("command_id", zero.alias("wanted"), ended.alias("ended")))
+    finished = counts.groupBy("command_id").agg(F.sum("wanted").alias("wanted"), F.sum("ended").alias("ended")).where("wanted = ended")
+    succeeded = targets.select("command_id", "instance_id", F.lit(True).alias("target"), F.lit(False).alias("ok")).unionByName(
+        invocations.where(F.col("status") == "Success").select(
+            "command_id", "instance_id", F.lit(False).alias("target"), F.lit(True).alias("ok")))
+    per_target = succeeded.groupBy("command_id", "instance_id").agg(F.max("target").alias("target"), F.max("ok").alias("ok"))
+    done = per_target.where("target and ok").select("command_id", "instance_id")
+    return join_unique(done, finished.select("command_id"), "command_id", "left_semi")

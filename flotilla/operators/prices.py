@@ -52,12 +52,18 @@ def current_price(prices: DataFrame, key_cols: Sequence[str], default: float = 0
 
 def rank_images(images: DataFrame, tag_col: str, limit: int | None = None) -> DataFrame:
     """Images by build number, highest first; tags without a number come last."""
-    out = images.withColumn("build", build_number(F.col(tag_col))).orderBy(F.desc_nulls_last("build"), tag_col)
+    rest = [c for c in images.columns if c != tag_col]
+    out = images.withColumn("build", build_number(F.col(tag_col))).orderBy(F.desc_nulls_last("build"), tag_col, *rest)
     return out if limit is None else out.limit(limit)
 
 
-def default_choice(specs: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """One row: the first type for the master, and the first spot-eligible one for workers."""
+def default_choice(specs: DataFrame, order_cols: Sequence[str], subnets: DataFrame | None = None,
+                   subnet_order: Sequence[str] = ()) -> DataFrame:
+    """One row: the first type for the master, the first spot-eligible one for workers, the first subnet."""
     first = lambda test: F.min_by("instance_type", F.when(test, F.struct(*order_cols)))
-    return specs.agg(
+    choice = specs.agg(
         first(F.lit(True)).alias("master_type"), first(F.col("is_spot_eligible")).alias("worker_type"))
+    if subnets is None:
+        return choice
+    subnet = subnets.agg(F.min_by("subnet_id", F.struct(*subnet_order)).alias("subnet_id"))
+    return choice.withColumn("subnet_id", subnet.scalar())

@@ -40,7 +40,11 @@ def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame
         (F.col("termination_reason") if "termination_reason" in clusters.columns
          else F.lit(None).cast("string")).alias("termination_reason"))
     open_workers = workers.where(F.col("state") != "Terminated").select("instance_id", F.col("state").alias("worker_state"))
-    wide = requests.join(known, "cluster_id", "left").join(open_workers, "instance_id", "left")
+    # Each kind needs one lookup only. Joining all requests to both sides would also send every
+    # request without an instance id to one task.
+    about_worker = F.col("kind") == "TerminateWorker"
+    wide = requests.where(~about_worker).join(known, "cluster_id", "left").unionByName(
+        requests.where(about_worker).join(open_workers, "instance_id", "left"), allowMissingColumns=True)
     master, worker, underway = F.col("master_state"), F.col("worker_state"), F.col("termination_reason")
 
     def answer(kind: str, found: Column, target: str, broken: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import states, text
+from ..plans.hot_keys import join_unique
 from ..plans.rejects import split_rejects
 
 # Guard messages.
@@ -58,7 +59,7 @@ def lifecycle_filter(instances: DataFrame, which: str) -> DataFrame:
     if which == "running_clusters":
         effective = states.effective_container_state(F.col("state"), F.col("container_state"))
         live = instances.where((F.col("role") == "Master") & (effective == "ContainerRunning"))
-        return instances.join(live.select("cluster_id").distinct(), "cluster_id", "left_semi")
+        return join_unique(instances, live.select("cluster_id").distinct(), "cluster_id", "left_semi")
     raise ValueError(f"unknown filter {which}")
 
 

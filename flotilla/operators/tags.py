@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NAME_TAG, TAG_NAMES, is_system_tag, tag_number
+from ..plans.hot_keys import join_unique
 
 ENTITY = "cluster_id"
 
@@ -48,7 +49,7 @@ def validate_tags(tag_rows: DataFrame, tag_prefix: str) -> tuple[DataFrame, Data
     """
     rejects = tag_rows.where(is_system_tag(F.col("tag_key"), tag_prefix)).withColumn(
         "reason", F.concat(F.lit("Invalid tag key: "), F.col("tag_key")))
-    return tag_rows.join(rejects.select(ENTITY).distinct(), ENTITY, "left_anti"), rejects
+    return join_unique(tag_rows, rejects.select(ENTITY).distinct(), ENTITY, "left_anti"), rejects
 
 
 def merge_tags(base_rows: DataFrame, override_rows: DataFrame) -> DataFrame:
@@ -80,8 +81,7 @@ def build_tags(clusters: DataFrame, extra_rows: DataFrame, tag_prefix: str, role
         (key("name"), F.col("name")),
         (key("role"), F.lit(shown)),
     ])
-    extra = extra_rows.select(ENTITY, "tag_key", "tag_value").join(
-        clusters.select(ENTITY).distinct(), ENTITY, "left_semi")
+    extra = extra_rows.select(ENTITY, "tag_key", "tag_value").join(clusters.select(ENTITY), ENTITY, "left_semi")
     if role == "SpotRequest":
         return resource
     if role == "Worker":

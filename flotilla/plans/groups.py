@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hot_keys import hot_limit, split_join
+
 MAX_MEMBERS = 10_000
 
 
-def bounded_groups(df: DataFrame, key: str, spread_col: str, member: Column, max_members: int | None = None) -> DataFrame:
+def bounded_groups(df: DataFrame, key: str, spread_col: str, member: Column, max_members: int | None = None,
+                   min_hot_rows: int | None = None) -> DataFrame:
     """``key, n, part, parts, members``: each key's members as arrays of about ``max_members`` or fewer.
 
     A key with more members than that gets several parts, spread by a hash of ``spread_col``, so
@@ -19,9 +22,10 @@ def bounded_groups(df: DataFrame, key: str, spread_col: str, member: Column, max
     rows = df.select(key, member.alias("member"), F.xxhash64(spread_col).alias("spread"))
     counts = rows.groupBy(key).agg(F.count("member").alias("n"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(size)), F.lit(1)).cast("bigint")
-    sized = rows.join(counts.withColumn("parts", parts), key)
+    hot = counts.where(F.col("n") > hot_limit(rows, min_hot_rows)).select(key)
+    sized = split_join(rows, counts.withColumn("parts", parts), key, "inner", hot)
     part = F.when(F.col("member").isNull(), F.lit(0)).otherwise(F.pmod("spread", "parts"))
-    # The join leaves rows clustered by key, which would do for the grouping below and put a large
-    # key into one task. Repartitioning by part as well splits it, and lets the join be split too.
+    # Cut by part before grouping: rows clustered by key alone would do for the grouping below and
+    # put a large key into one task.
     split = sized.withColumn("part", part.cast("bigint")).repartition(key, "part")
     return split.groupBy(key, "n", "parts", "part").agg(F.array_sort(F.collect_list("member")).alias("members"))

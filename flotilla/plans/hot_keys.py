@@ -1,13 +1,17 @@
 """Ordered per-key computations that survive a key holding a large share of the rows.
 
 A window partitioned by a key puts each key into one task. Here a key that holds more than
-``HOT_SHARE`` of all rows is cut into consecutive ranges of its leading order column, the
-window runs per (key, range), and what crosses a range border is carried over by a small
-per-range aggregate. All other keys keep one range.
+``HOT_SHARE`` of all rows is cut into consecutive ranges of its order columns, the window runs
+per (key, range), and what crosses a range border is carried over by a small per-range aggregate.
+All other keys keep one range.
 
-The broadcast tables are bounded by construction: at most ``1 / HOT_SHARE`` keys can each
-hold more than ``HOT_SHARE`` of the rows, and together they get at most
-``2 * OVERSPLIT / HOT_SHARE`` ranges, whatever the data size.
+Ranges have equal width. Where that leaves one with too many rows (a burst), it is cut once more
+within its own bounds. Rows that are alike in all order columns cannot be told apart by order and
+stay together; ``previous_row`` can drop exact copies in hot keys before they are shuffled.
+
+The broadcast tables are bounded by construction: at most ``1 / HOT_SHARE`` keys, or ranges of the
+first cut, can each hold more than ``HOT_SHARE`` of the rows, and together they are cut into at
+most ``2 * OVERSPLIT / HOT_SHARE`` ranges, whatever the data size.
 """
 
 from __future__ import annotations
@@ -23,70 +27,128 @@ HOT_SHARE = 1 / 20_000
 MIN_HOT_ROWS = 1_000_000
 OVERSPLIT = 4
 
-_RANGE = "__range"
+_RANGES = ["__range1", "__range2"]
 
 
-def position(df: DataFrame, col: str) -> Column:
-    """The column as a bigint that sorts the same way (timestamps, dates, integers)."""
-    kind = df.schema[col].dataType
+def _position(col: str, kind: T.DataType) -> str | None:
+    """SQL for the column as a bigint that sorts the same way, None for types that have none."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(col).cast("timestamp"))
+        return f"unix_micros(cast(`{col}` as timestamp))"
     if isinstance(kind, T.IntegralType):
-        return F.col(col).cast("bigint")
-    raise TypeError(f"order column {col} must be a timestamp, date or integer, not {kind}")
+        return f"cast(`{col}` as bigint)"
+    return None
+
+
+def _positions(df: DataFrame, order_cols: Sequence[str]) -> list[str]:
+    """Positions of the leading order columns, up to the first that has none."""
+    schema = df.schema
+    out = [_position(col, schema[col].dataType) for col in order_cols]
+    count = next((i for i, pos in enumerate(out) if pos is None), len(out))
+    if count == 0:
+        raise TypeError(f"order column {order_cols[0]} must be a timestamp, date or integer")
+    return out[:count]
+
+
+def _hot_spans(df: DataFrame, keys: Sequence[str], positions: list[str], limit: Column) -> DataFrame:
+    """Per group of more than ``limit`` rows: how many ranges to cut, and of which column's span.
+
+    That is the first order column that is not constant in the group.
+    """
+    spans = ", ".join(f"struct(min({p}) as lo, max({p}) as hi)" for p in positions)
+    groups = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.count("*").alias("__rows"), F.expr(f"array({spans})").alias("__spans"))
+    return groups.where(F.col("__rows") > limit).select(
+        *[f"__k{i}" for i in range(len(keys))], "__spans",
+        F.expr("cast(greatest(array_position(transform(__spans, s -> s.lo < s.hi), true), 1) as int)").alias("__by"),
+        (F.ceil(F.col("__rows") / limit) * OVERSPLIT).cast("double").alias("__n"))
+
+
+def _on(keys: Sequence[str], prefix: str) -> Column:
+    return F.expr(" and ".join(f"`{k}` <=> {prefix}{i}" for i, k in enumerate(keys)))
 
 
-def hot_ranges(df: DataFrame, keys: Sequence[str], order_col: str, min_rows: int) -> DataFrame:
-    """``keys, __lo, __hi, __n``: one row per hot key with its span and number of ranges."""
-    pos = position(df, order_col)
-    limit = df.agg(F.greatest(F.count("*") * F.lit(HOT_SHARE), F.lit(float(min_rows))).alias("limit")).scalar()
-    per_key = df.groupBy(*keys).agg(F.count("*").alias("__rows"), F.min(pos).alias("__lo"), F.max(pos).alias("__hi"))
-    return per_key.where(F.col("__rows") > limit).select(
-        *keys, "__lo", "__hi", (F.ceil(F.col("__rows") / limit) * OVERSPLIT).alias("__n")
-    )
+def _cut(df: DataFrame, keys: Sequence[str], positions: list[str], spans: DataFrame, name: str, how: str) -> DataFrame:
+    """Add the range number of each row; 0 for a group that is not cut (``how`` left) or no row (inner)."""
+    at, span = f"element_at(array({', '.join(positions)}), __by)", "element_at(__spans, __by)"
+    share = f"cast({at} - {span}.lo as double) / cast({span}.hi - {span}.lo + 1 as double)"
+    number = F.expr(f"coalesce(floor({share} * __n), 0)").cast("bigint")
+    return df.join(F.broadcast(spans), _on(keys, "__k"), how).withColumn(name, number).drop(
+        "__spans", "__by", "__n", *[f"__k{i}" for i in range(len(keys))])
 
 
-def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def hot_limit(df: DataFrame, min_rows: int | None) -> Column:
+    """Rows above which a key of ``df`` is hot."""
+    least = F.lit(float(MIN_HOT_ROWS if min_rows is None else min_rows))
+    return df.agg(F.greatest(F.count("*") * F.lit(HOT_SHARE), least).alias("limit")).scalar()
+
+
+def split_join(rows: DataFrame, unique: DataFrame, key: str, how: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined to ``unique``, which has one row per key, with the ``hot`` keys of ``rows`` apart.
+
+    Hot keys' rows stay where they are and get their side of ``unique`` by broadcast; the others
+    are shuffled. (Spark splits a skewed join by itself only when both sides are plain exchanges,
+    not when one comes out of an aggregate.)
+    """
+    few = F.broadcast(hot)
+    warm = rows.join(few, key, "left_semi").join(F.broadcast(unique.join(few, key, "left_semi")), key, how)
+    return warm.unionByName(rows.join(few, key, "left_anti").join(unique, key, how))
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows: int | None = None) -> DataFrame:
+    """Join of ``rows``, where a key may be hot, to ``unique``, which has one row per key."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("__rows"))
+    hot = counts.where(F.col("__rows") > hot_limit(rows, min_rows)).select(key)
+    return split_join(rows, unique, key, how, hot)
 
 
 class RangeCut:
     """``df`` cut into ordered ranges; ``rows`` is all of it, ``hot`` only the hot keys' rows."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], min_rows: int | None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], min_rows: int | None,
+                 drop_copies: bool = False):
         self.keys, self.order_cols = list(keys), list(order_cols)
-        limit = MIN_HOT_ROWS if min_rows is None else min_rows
-        spans = F.broadcast(hot_ranges(df, self.keys, self.order_cols[0], limit).toDF(
-            *[f"__k{i}" for i in range(len(self.keys))], "__lo", "__hi", "__n"))
-        on = reduce(lambda a, b: a & b,
-                    [df[k].eqNullSafe(spans[f"__k{i}"]) for i, k in enumerate(self.keys)])
-        pos = position(df, self.order_cols[0])
-        share = (pos - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo") + 1).cast("double")
-        cut = F.coalesce(F.floor(share * F.col("__n")), F.lit(0)).cast("bigint").alias(_RANGE)
-        columns = [df[c] for c in df.columns]
+        self.groups = [*self.keys, *_RANGES]
+        positions = _positions(df, order_cols)
+        limit = hot_limit(df, min_rows)
+        first = _hot_spans(df, self.keys, positions, limit)
+        hot = _cut(df, self.keys, positions, first, _RANGES[0], "inner")
+        second = _hot_spans(hot, [*self.keys, _RANGES[0]], positions, limit)
+        again = lambda rows: _cut(rows, [*self.keys, _RANGES[0]], positions, second, _RANGES[1], "left")
+        self.hot = again(hot)
+        if drop_copies:
+            self.hot = self.hot.distinct()
+            cold = df.join(F.broadcast(first), _on(self.keys, "__k"), "left_anti")
+            rows = cold.withColumns({r: F.lit(0).cast("bigint") for r in _RANGES}).unionByName(self.hot)
+        else:
+            rows = again(_cut(df, self.keys, positions, first, _RANGES[0], "left"))
         # An explicit exchange by key and range: were the rows already clustered by key, Spark would
         # take that as good enough for the window and leave a hot key in one task.
-        self.rows = df.join(spans, on, "left").select(*columns, cut).repartition(*self.keys, _RANGE)
-        self.hot = df.join(spans, on, "inner").select(*columns, cut)
+        self.rows = rows.repartition(*self.groups)
 
     def window(self):
-        return Window.partitionBy(*self.keys, _RANGE).orderBy(*self.order_cols)
+        return Window.partitionBy(*self.groups).orderBy(*self.order_cols)
 
     def carried(self, partial: Column, carry) -> DataFrame:
         """Per range of each hot key: ``__carry`` computed from ``partial`` of the ranges before it."""
-        per_range = self.hot.groupBy(*self.keys, _RANGE).agg(partial.alias("__partial"))
-        over = Window.partitionBy(*self.keys).orderBy(_RANGE)
-        return per_range.select(*self.keys, _RANGE, carry(F.col("__partial"), over).alias("__carry"))
+        per_range = self.hot.groupBy(*self.groups).agg(partial.alias("__partial"))
+        over = Window.partitionBy(*self.keys).orderBy(*_RANGES)
+        return per_range.select(
+            *[F.col(c).alias(f"__g{i}") for i, c in enumerate(self.groups)],
+            carry(F.col("__partial"), over).alias("__carry"))
 
     def attach(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(carried), _same(rows, carried, [*self.keys, _RANGE]), "left").select(
-            *[rows[c] for c in rows.columns if c != _RANGE], carried["__carry"])
+        return rows.join(F.broadcast(carried), _on(self.groups, "__g"), "left").drop(
+            *_RANGES, *[f"__g{i}" for i in range(len(self.groups))])
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_cols: Sequence[str],
-                 name: str, min_rows: int | None = None) -> DataFrame:
-    """Add ``name``: a struct of the previous row's ``value_cols`` in key order, null on the first row."""
-    cut = RangeCut(df, keys, order_cols, min_rows)
+                 name: str, min_rows: int | None = None, drop_copies: bool = False) -> DataFrame:
+    """Add ``name``: a struct of the previous row's ``value_cols`` in key order, null on the first row.
+
+    ``drop_copies`` lets a hot key's exact copies of a row be dropped, for callers to whom a row
+    that equals the one before means nothing.
+    """
+    cut = RangeCut(df, keys, order_cols, min_rows, drop_copies)
     values = F.struct(*value_cols)
     rows = cut.rows.withColumn(name, F.lag(values).over(cut.window()))
     carried = cut.carried(F.max_by(values, F.struct(*order_cols)), lambda p, w: F.lag(p).over(w))

@@ -32,7 +32,7 @@ def price_history_scan(prices: DataFrame, types_df: DataFrame, zone: str, produc
     wanted = types_df.select("instance_type").distinct()
     picked = prices.where(
         (F.col("zone") == zone) & (F.col("product") == product) & (F.col("ts") >= F.lit(since).cast(prices.schema["ts"].dataType)))
-    return picked.join(wanted, "instance_type", "left_semi").orderBy("ts")
+    return picked.join(wanted, "instance_type", "left_semi").orderBy("ts", *[c for c in prices.columns if c != "ts"])
 
 
 APP_HISTORY = T.StructType([
@@ -109,6 +109,6 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
 def snapshot_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The inventory polls landing at ``path`` as a stream.
 
-    The poll interval belongs to the query that writes it: ``trigger(processingTime="5 seconds")``.
+    How often it is read belongs to the query that writes it, see ``run_every``.
     """
     return spark.readStream.schema(schema).parquet(path)

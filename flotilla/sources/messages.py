@@ -137,6 +137,11 @@ def message_encode(messages: DataFrame) -> DataFrame:
     return messages.select("event_id", F.to_json(wire).alias("line"))
 
 
+def write_lines(encoded: DataFrame, path: str) -> None:
+    """Land encoded messages as one JSON text per line."""
+    encoded.select("line").write.mode("overwrite").text(path)
+
+
 def message_conformance(lines: DataFrame, text_col: str) -> DataFrame:
     """``kind, rule, n``: how many lines of each kind break each schema rule."""
     raw = T.StructType(

@@ -13,7 +13,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+# How often the inventory is polled, and how often timeouts are checked.
+POLL_INTERVAL = "5 seconds"
+TIMEOUT_INTERVAL = "1 minute"
 
 Step = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
 
@@ -60,3 +64,8 @@ def output(spark: SparkSession, out_path: str, schema: T.StructType) -> DataFram
 def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
     """Process everything available, then stop."""
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_every(writer: DataStreamWriter, checkpoint: str, interval: str = POLL_INTERVAL) -> StreamingQuery:
+    """Keep processing what arrives, a micro-batch per interval."""
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -36,7 +36,7 @@ def stream_change_events(stream: DataFrame, key: str, prop_cols: Sequence[str],
 
     def step(batch: DataFrame, state: DataFrame, _batch_id: int):
         rows = _with_carry(batch, state, cols)
-        seen = previous_row(rows, [key], order_cols, prop_cols, "prev", min_hot_rows)
+        seen = previous_row(rows, [key], order_cols, prop_cols, "prev", min_hot_rows, drop_copies=True)
         changes = seen.where(~F.col("old")).select(key, *order_cols, F.inline(logs._changes(prop_cols, set_only)))
         return changes, _last_rows(rows, [key], cols, order_cols)
 

@@ -27,11 +27,11 @@ def rows(df):
 
 def test_hot_key_is_cut_into_bounded_ranges(skewed):
     cut = hot_keys.RangeCut(skewed, ["instance_id"], ["ts", "event_id"], 100)
-    sizes = cut.hot.groupBy("instance_id", "__range").count().collect()
+    sizes = cut.hot.groupBy("instance_id", "__range1", "__range2").count().collect()
     assert {r["instance_id"] for r in sizes} == {999, None}
     assert max(r["count"] for r in sizes) <= 100
     assert cut.rows.count() == skewed.count()
-    assert cut.rows.where("instance_id <> 999 and __range <> 0").count() == 0
+    assert cut.rows.where("instance_id <> 999 and __range1 <> 0").count() == 0
 
 
 def test_previous_row(skewed):
@@ -60,7 +60,7 @@ def test_already_clustered_input_is_still_cut(spark, skewed):
     split = hot_keys.row_numbers(clustered, ["instance_id"], ["ts", "event_id"], "no", MIN_ROWS)
     assert rows(split) == rows(hot_keys.row_numbers(skewed, ["instance_id"], ["ts", "event_id"], "no"))
     plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(instance_id" in plan and "__range" in plan
+    assert "hashpartitioning(instance_id" in plan and "__range1" in plan
 
 
 def test_operators_agree_with_and_without_splitting(spark, skewed, inputs):
@@ -78,6 +78,26 @@ def test_operators_agree_with_and_without_splitting(spark, skewed, inputs):
         assert rows(run(MIN_ROWS)) == rows(run(None))
 
 
+def test_a_burst_is_cut_again(spark):
+    """Most rows of the key fall into a thousandth of its span, and many share one moment."""
+    df = spark.range(2000).selectExpr(
+        "1 as k", "case when id < 3 then id * 1000000000 when id < 1000 then 500 + id else 77 end as at", "id")
+    cut = hot_keys.RangeCut(df, ["k"], ["at", "id"], 50)
+    sizes = [r["count"] for r in cut.hot.groupBy("__range1", "__range2").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1500 and len(sizes) > 20
+    w = Window.partitionBy("k").orderBy("at", "id")
+    want = df.withColumn("no", F.row_number().over(w).cast("bigint"))
+    assert rows(hot_keys.row_numbers(df, ["k"], ["at", "id"], "no", 50)) == rows(want)
+    want = df.withColumn("prev", F.lag(F.struct("at", "id")).over(w))
+    assert rows(hot_keys.previous_row(df, ["k"], ["at", "id"], ["at", "id"], "prev", 50)) == rows(want)
+
+
+def test_one_moment_is_cut_by_the_next_column(spark):
+    df = spark.range(1000).selectExpr("1 as k", "5 as at", "id")
+    cut = hot_keys.RangeCut(df, ["k"], ["at", "id"], 50)
+    assert cut.hot.groupBy("__range1", "__range2").count().agg(F.max("count")).first()[0] <= 50
+
+
 def test_copies_of_one_row(spark):
     rows_in = spark.createDataFrame([(1, 5, "a")] * 300 + [(1, 6, "b"), (2, 1, "a")], "k bigint, at bigint, v string")
     changes = logs.change_events(rows_in, "k", ["v"], ["at"], min_hot_rows=MIN_ROWS)
