@@ -69,9 +69,9 @@ from judged where reject is null
 union all
 select event_id, {", ".join(["null"] * 21)}, reject from judged where reject is not null""")
 def message_decode(t: Inputs) -> DataFrame:
-    rows, rejects = messages.message_decode(t.view("wire_text"), "line")
+    rows = messages.message_parse(t.view("wire_text"), "line")
     item = lambda c, i: F.try_element_at(c, F.lit(i))
-    flat = rows.select(
+    return rows.select(
         "event_id", "kind", "server_id", "message_no", "cluster_id", "instance_id", "count",
         F.col("docker_image.tag").alias("image_tag"), F.col("cluster_spec.name").alias("spec_name"),
         F.col("cluster_spec.ttl").alias("spec_ttl"), "bid_price", F.col("reason").alias("end_reason"),
@@ -80,8 +80,7 @@ def message_decode(t: Inputs) -> DataFrame:
         item("workers", 2)["launchedAt"].cast("timestamp_ntz").alias("worker_launched_at"),
         item(item("clusters", 1)["workers"], 2)["id"].alias("snapshot_worker"),
         item("worker_ids", 2).alias("worker_id"), item("cluster_ids", 1).alias("removed_cluster"), "error",
-        F.lit(None).cast("string").alias("reject"))
-    return flat.unionByName(rejects.select("event_id", F.col("reason").alias("reject")), allowMissingColumns=True)
+        "reject")
 
 
 @query("message_encode", f"with {_JSON.strip()} select event_id, line from judged where reject is null")

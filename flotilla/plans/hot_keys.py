@@ -69,8 +69,10 @@ def _on(keys: Sequence[str], prefix: str) -> Column:
 
 def _cut(df: DataFrame, keys: Sequence[str], positions: list[str], spans: DataFrame, name: str, how: str) -> DataFrame:
     """Add the range number of each row; 0 for a group that is not cut (``how`` left) or no row (inner)."""
-    at, span = f"element_at(array({', '.join(positions)}), __by)", "element_at(__spans, __by)"
-    share = f"cast({at} - {span}.lo as double) / cast({span}.hi - {span}.lo + 1 as double)"
+    at, lo, hi = f"element_at(array({', '.join(positions)}), __by)", "element_at(__spans, __by).lo", "element_at(__spans, __by).hi"
+    exact = f"cast({at} - {lo} as double) / (cast({hi} - {lo} as double) + 1)"
+    halves = f"cast({at} div 2 - {lo} div 2 as double) / (cast({hi} div 2 - {lo} div 2 as double) + 1)"
+    share = f"if(try_subtract({hi}, {lo}) is null, {halves}, {exact})"  # halves for a span beyond a bigint
     number = F.expr(f"coalesce(floor({share} * __n), 0)").cast("bigint")
     return df.join(F.broadcast(spans), _on(keys, "__k"), how).withColumn(name, number).drop(
         "__spans", "__by", "__n", *[f"__k{i}" for i in range(len(keys))])

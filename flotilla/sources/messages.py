@@ -93,12 +93,11 @@ def _parsed(lines: DataFrame, keep: list[str], text_col: str, schema: T.StructTy
     return lines.select(*keep, F.explode(F.array(parse)).alias("__m"))
 
 
-def message_decode(lines: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines to ``(messages, rejects)``.
+def message_parse(lines: DataFrame, text_col: str) -> DataFrame:
+    """Every line with ``kind``, one column per message field and ``reject``, from one parse of each text.
 
-    Messages keep the other columns of ``lines`` and get ``kind`` plus one column per message
-    field, null where the kind lacks it. Rejects keep the text and get the ``reason``; a line
-    that cannot be decoded never stops the others.
+    Fields a kind lacks are null; so are all fields of a line that cannot be decoded, and ``reject``
+    says why. To keep messages and rejects both, write this and read it back.
     """
     parsed = _parsed(lines, lines.columns, text_col, wire_schema())
     kind = F.col("__m").getField("$type")
@@ -116,15 +115,24 @@ def message_decode(lines: DataFrame, text_col: str) -> tuple[DataFrame, DataFram
         fault = _field_fault(value, Field(field.name, field.kind, field.many, True))
         if fault is not None:
             reason = reason.when(kind.isin(kinds_having(field.name)) & fault, f"invalid {field.name}")
-    checked = parsed.withColumn("__reason", reason)
-    keep = [F.col(c) for c in lines.columns]
+    checked = parsed.withColumn("reject", reason)
+    good = F.col("reject").isNull()
     columns = [
-        F.when(kind.isin(kinds_having(f.name)), _each(F.col("__m").getField(f.name), f, _typed)).alias(column_name(f.name))
+        F.when(good & kind.isin(kinds_having(f.name)), _each(F.col("__m").getField(f.name), f, _typed)).alias(column_name(f.name))
         for f in MESSAGE_FIELDS
     ]
-    messages = checked.where(F.col("__reason").isNull()).select(
-        *[c for c, n in zip(keep, lines.columns) if n != text_col], kind.alias("kind"), *columns)
-    rejects = checked.where(F.col("__reason").isNotNull()).select(*keep, F.col("__reason").alias("reason"))
+    return checked.select(*lines.columns, F.when(good, kind).alias("kind"), *columns, "reject")
+
+
+def message_decode(lines: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines to ``(messages, rejects)``.
+
+    Messages have the other columns of ``lines`` and those of ``message_parse``; rejects keep the
+    text and get the ``reason``. A line that cannot be decoded never stops the others.
+    """
+    parsed = message_parse(lines, text_col)
+    messages = parsed.where(F.col("reject").isNull()).drop(text_col, "reject")
+    rejects = parsed.where(F.col("reject").isNotNull()).select(*lines.columns, F.col("reject").alias("reason"))
     return messages, rejects
 
 

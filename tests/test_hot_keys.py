@@ -125,3 +125,20 @@ def test_large_cluster_snapshot_comes_in_parts(inputs):
     assert shown.where("cluster_id = 3").count() > 1
     workers = shown.select("cluster_id", F.explode("workers.instance_id").alias("instance_id"))
     assert rows(workers) == rows(instances.where("role = 'Worker'").select("cluster_id", "instance_id"))
+
+
+def test_order_columns_over_the_whole_bigint_range(spark):
+    df = spark.range(400).selectExpr("1 as k", "(id - 200) * 46000000000000000 as at")
+    w = Window.partitionBy("k").orderBy("at")
+    want = df.withColumn("no", F.row_number().over(w).cast("bigint"))
+    cut = hot_keys.RangeCut(df, ["k"], ["at"], 50)
+    assert cut.hot.groupBy("__range1").count().agg(F.max("count")).first()[0] <= 50
+    assert rows(hot_keys.row_numbers(df, ["k"], ["at"], "no", 50)) == rows(want)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_unique(spark, how):
+    left = spark.range(600).selectExpr("case when id % 3 = 0 then 7 else id % 50 end as k", "id")
+    right = spark.range(0, 40).selectExpr("id as k", "id * 10 as v")
+    assert rows(hot_keys.join_unique(left, right, "k", how, 50)) == rows(left.join(right, "k", how))
+    assert rows(hot_keys.join_unique(left, right, "k", how)) == rows(left.join(right, "k", how))
