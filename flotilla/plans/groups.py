@@ -22,7 +22,7 @@ def bounded_groups(df: DataFrame, key: str, spread_col: str, member: Column, max
     rows = df.select(key, member.alias("member"), F.xxhash64(spread_col).alias("spread"))
     counts = rows.groupBy(key).agg(F.count("member").alias("n"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(size)), F.lit(1)).cast("bigint")
-    hot = counts.where(F.col("n") > hot_limit(rows, min_hot_rows)).select(key)
+    hot = counts.where(F.col("n") > hot_limit(counts, F.sum("n"), min_hot_rows)).select(key)
     sized = split_join(rows, counts.withColumn("parts", parts), key, "inner", hot)
     part = F.when(F.col("member").isNull(), F.lit(0)).otherwise(F.pmod("spread", "parts"))
     # Cut by part before grouping: rows clustered by key alone would do for the grouping below and

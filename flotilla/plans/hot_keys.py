@@ -78,10 +78,10 @@ def _cut(df: DataFrame, keys: Sequence[str], positions: list[str], spans: DataFr
         "__spans", "__by", "__n", *[f"__k{i}" for i in range(len(keys))])
 
 
-def hot_limit(df: DataFrame, min_rows: int | None) -> Column:
-    """Rows above which a key of ``df`` is hot."""
+def hot_limit(df: DataFrame, rows: Column, min_rows: int | None) -> Column:
+    """Rows above which a key is hot, where ``rows`` aggregates ``df`` to the number of all rows."""
     least = F.lit(float(MIN_HOT_ROWS if min_rows is None else min_rows))
-    return df.agg(F.greatest(F.count("*") * F.lit(HOT_SHARE), least).alias("limit")).scalar()
+    return df.agg(F.greatest(rows * F.lit(HOT_SHARE), least).alias("limit")).scalar()
 
 
 def split_join(rows: DataFrame, unique: DataFrame, key: str, how: str, hot: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def split_join(rows: DataFrame, unique: DataFrame, key: str, how: str, hot: Data
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows: int | None = None) -> DataFrame:
     """Join of ``rows``, where a key may be hot, to ``unique``, which has one row per key."""
     counts = rows.groupBy(key).agg(F.count("*").alias("__rows"))
-    hot = counts.where(F.col("__rows") > hot_limit(rows, min_rows)).select(key)
+    hot = counts.where(F.col("__rows") > hot_limit(counts, F.sum("__rows"), min_rows)).select(key)
     return split_join(rows, unique, key, how, hot)
 
 
@@ -111,7 +111,7 @@ class RangeCut:
         self.keys, self.order_cols = list(keys), list(order_cols)
         self.groups = [*self.keys, *_RANGES]
         positions = _positions(df, order_cols)
-        limit = hot_limit(df, min_rows)
+        limit = hot_limit(df, F.count("*"), min_rows)
         first = _hot_spans(df, self.keys, positions, limit)
         hot = _cut(df, self.keys, positions, first, _RANGES[0], "inner")
         second = _hot_spans(hot, [*self.keys, _RANGES[0]], positions, limit)

@@ -93,12 +93,8 @@ def _parsed(lines: DataFrame, keep: list[str], text_col: str, schema: T.StructTy
     return lines.select(*keep, F.explode(F.array(parse)).alias("__m"))
 
 
-def message_parse(lines: DataFrame, text_col: str) -> DataFrame:
-    """Every line with ``kind``, one column per message field and ``reject``, from one parse of each text.
-
-    Fields a kind lacks are null; so are all fields of a line that cannot be decoded, and ``reject``
-    says why. To keep messages and rejects both, write this and read it back.
-    """
+def _checked(lines: DataFrame, text_col: str) -> DataFrame:
+    """``lines`` with ``__m``, the parsed text, and ``reject``, why it cannot be decoded."""
     parsed = _parsed(lines, lines.columns, text_col, wire_schema())
     kind = F.col("__m").getField("$type")
     reason = (
@@ -115,24 +111,40 @@ def message_parse(lines: DataFrame, text_col: str) -> DataFrame:
         fault = _field_fault(value, Field(field.name, field.kind, field.many, True))
         if fault is not None:
             reason = reason.when(kind.isin(kinds_having(field.name)) & fault, f"invalid {field.name}")
-    checked = parsed.withColumn("reject", reason)
-    good = F.col("reject").isNull()
-    columns = [
-        F.when(good & kind.isin(kinds_having(f.name)), _each(F.col("__m").getField(f.name), f, _typed)).alias(column_name(f.name))
+    return parsed.withColumn("reject", reason)
+
+
+def _columns(message: str) -> list[Column]:
+    """``kind`` and one typed column per message field, from a struct column of parsed fields."""
+    kind = F.col(message).getField("$type")
+    return [kind.alias("kind")] + [
+        F.when(kind.isin(kinds_having(f.name)), _each(F.col(message).getField(f.name), f, _typed)).alias(column_name(f.name))
         for f in MESSAGE_FIELDS
     ]
-    return checked.select(*lines.columns, F.when(good, kind).alias("kind"), *columns, "reject")
+
+
+def message_parse(lines: DataFrame, text_col: str) -> DataFrame:
+    """Every line with ``kind``, one column per message field and ``reject``, from one parse of each text.
+
+    Fields a kind lacks are null; so are all fields of a line that cannot be decoded, and ``reject``
+    says why. To keep messages and rejects both, write this and read it back.
+    """
+    checked = _checked(lines, text_col)
+    good = checked.select(*lines.columns, "reject", F.when(F.col("reject").isNull(), F.col("__m")).alias("__good"))
+    return good.select(*lines.columns, *_columns("__good"), "reject")
 
 
 def message_decode(lines: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines to ``(messages, rejects)``.
 
-    Messages have the other columns of ``lines`` and those of ``message_parse``; rejects keep the
-    text and get the ``reason``. A line that cannot be decoded never stops the others.
+    Messages have the other columns of ``lines``, ``kind`` and one column per message field, null
+    where the kind lacks it; rejects keep the text and get the ``reason``. A line that cannot be
+    decoded never stops the others.
     """
-    parsed = message_parse(lines, text_col)
-    messages = parsed.where(F.col("reject").isNull()).drop(text_col, "reject")
-    rejects = parsed.where(F.col("reject").isNotNull()).select(*lines.columns, F.col("reject").alias("reason"))
+    checked = _checked(lines, text_col)
+    others = [c for c in lines.columns if c != text_col]
+    messages = checked.where(F.col("reject").isNull()).select(*others, *_columns("__m"))
+    rejects = checked.where(F.col("reject").isNotNull()).select(*lines.columns, F.col("reject").alias("reason"))
     return messages, rejects
 
 
