@@ -8,7 +8,8 @@ from oracle import duck, duck_bag, spark_bag
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name not in entry.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name not in entry.LLM_ORACLES}
 
 
 @pytest.fixture(scope="module")
