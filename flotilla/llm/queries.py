@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import phrase_dedup
+from . import minhash, phrase_dedup
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,8 @@ def words_sha256(text):
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", "n_factors", words_sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op10_minhash_components")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
