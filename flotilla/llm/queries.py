@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, phrase_dedup
+from . import fertility, minhash, mixing, phrase_dedup, url_filter
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,49 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_components")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_tokeniser_fertility")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
+
+
+@query("op4_capped_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Sites whose pages are the list of query op5.
+SPAM_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+_SPAM = rf"(^|[.])({'|'.join(SPAM_SITES)})[.]"
+
+OP5_SQL = rf"""
+with parts as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+canonical as (
+  select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as canonical from parts),
+listed as (select distinct canonical from canonical where regexp_matches(host, '{_SPAM}')),
+ruled as (
+  select page_id, host, path, canonical in (select canonical from listed) as listed,
+    case when (host = 'example.org' or host like '%.example.org') and path like '/en/1%' then 'example.org/en/1'
+         when (host = 'example.org' or host like '%.example.org') and path like '/es/%' then 'example.org/es/'
+         when (host = 'com' or host like '%.com') and path like '/fr/%' then 'com/fr/'
+         when (host = 'com' or host like '%.com') and path like '/de/%' then 'com/de/'
+         when (host = 'org' or host like '%.org') and path like '/%' then 'org/' end as rule
+  from canonical)
+select page_id, host, path, rule, listed,
+  case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+       when listed then 'block' else 'allow' end as verdict
+from ruled
+"""
+
+
+@query("op5_url_filter", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    at, below = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
+    listed = pages.where(at.rlike(_SPAM)).select(url_filter.canonical(at, below).alias("url"))
+    return url_filter.judged(pages, listed).drop("url")
