@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tables import shuffle_partitions
 
 #: Bytes of text in a block. Larger blocks send fewer, longer messages and need more memory in a task.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 LEAST = -(1 << 63)
 ASKED = "bucket int, block int, phase int, keys binary"
 ANSWERED = "block int, bucket int, phase int, answer binary"
