@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, minhash, mixing, phrase_dedup, url_filter
+from . import fertility, minhash, mixing, phrase_dedup, pieces, url_filter
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, below = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
     listed = pages.where(at.rlike(_SPAM)).select(url_filter.canonical(at, below).alias("url"))
     return url_filter.judged(pages, listed).drop("url")
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decoded(pieces.encoded(docs))
+    return back.select("doc_id", "n_tokens", "n_byte_tokens", F.xxhash64("ids").alias("ids_hash"), "parity",
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
