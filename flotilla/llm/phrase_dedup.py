@@ -33,6 +33,7 @@ WIDTH = 20
 ANCHOR = 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _RESULTS = "kept_text string, n_words bigint, n_removed bigint, n_factors bigint"
+ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("phase", pa.int32()), ("keys", pa.binary())])
 
 
 class _Block:
@@ -100,16 +101,7 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
     return lead + b"".join(word for word, drop in zip(found, gone, strict=True) if not drop)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
-                   anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """Remove every word in a ``width``-word phrase that also starts earlier: in a smaller ``key``, or before it in its row.
-
-    Returns the rows of ``docs`` with ``kept_text`` (the text itself if nothing is removed), ``n_words``, ``n_removed``
-    and ``n_factors``. Null texts have no words and stay null. A null key comes before all others. Rows that repeat a
-    key are one place: neither makes the other a duplicate, however often a row is repeated. Texts shorter than
-    ``width`` words lose nothing. An empty table gives an empty table. Input columns stay; a result replaces an
-    input column of its name.
-    """
+def _cut_rows(docs: DataFrame, text: str, key: str, width: int, anchor: int, block_bytes: int) -> DataFrame:
     spark, n = docs.sparkSession, B.block_count(docs, text, block_bytes)
     buckets = shuffle_partitions(spark)
     rows = B.with_blocks(wrapped(docs, id=F.col(key).cast("long"), text=F.col(text)), "id", n)
@@ -149,8 +141,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     elsewhere = B.answers(asked, B.in_other_block)
     asked = rows.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(ask_phrases, B.ASKED)
     earlier = B.answers(asked, B.in_earlier_block)
-    out = rows.groupBy("block").cogroup(elsewhere.union(earlier).groupBy("block")).applyInArrow(cut, schema)
-    return unwrapped(out, {name: F.col(name) for name in ("kept_text", "n_words", "n_removed", "n_factors")})
+    return rows.groupBy("block").cogroup(elsewhere.union(earlier).groupBy("block")).applyInArrow(cut, schema)
 
 
-ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("phase", pa.int32()), ("keys", pa.binary())])
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
+                   anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """Remove every word in a ``width``-word phrase that also starts earlier: in a smaller ``key``, or before it in its row.
+
+    Returns the rows of ``docs`` with ``kept_text`` (the text itself if nothing is removed), ``n_words``, ``n_removed``
+    and ``n_factors``. Null texts have no words and stay null. A null key comes before all others. Rows that repeat a
+    key are one place: neither makes the other a duplicate, however often a row is repeated. Texts shorter than
+    ``width`` words lose nothing. An empty table gives an empty table. Input columns stay; a result replaces an
+    input column of its name.
+    """
+    rows = _cut_rows(docs, text, key, width, anchor, block_bytes)
+    return unwrapped(rows, {name: F.col(name) for name in rows.columns[1:]})
+
+
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, anchor: int = ANCHOR,
+                    block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` with their own columns only, ``text`` being what is kept."""
+    rows = _cut_rows(docs, text, key, width, anchor, block_bytes)
+    return rows.select(*[F.col("kept_text" if name == text else f"row.`{name}`").alias(name) for name in docs.columns])
