@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, minhash, mixing, phrase_dedup, pieces, url_filter
+from . import ball_tree, fertility, minhash, mixing, phrase_dedup, pieces, url_filter
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = pieces.decoded(pieces.encoded(docs))
     return back.select("doc_id", "n_tokens", "n_byte_tokens", F.xxhash64("ids").alias("ids_hash"), "parity",
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+OP2_SQL = """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op2_ball_tree", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(ball_tree.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", ball_tree.quantised(F.col("embedding")).alias("vector"))
+    return ball_tree.top_k(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
