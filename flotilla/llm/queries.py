@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, fertility, minhash, mixing, phrase_dedup, pieces, url_filter
+from . import ball_tree, fertility, line_crf, minhash, mixing, phrase_dedup, pieces, url_filter
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where(ball_tree.usable(F.col("embedding")))
     vectors = vectors.select("vec_id", ball_tree.quantised(F.col("embedding")).alias("vector"))
     return ball_tree.top_k(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+@query("op3_line_crf")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = line_crf.train(docs, labels.where(~line_crf.held_out(F.col("doc_id"))))
+    return line_crf.scored(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_lines", "n_good_lines")
