@@ -9,7 +9,7 @@ A key that occurs in a third of all documents costs a bucket one entry a block,
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,11 @@ from .tables import shuffle_partitions
 #: Bytes of text in a block. Larger blocks send fewer, longer messages and need more memory in a task.
 BLOCK_BYTES = 8 << 20
 LEAST = -(1 << 63)
-ASKED = "bucket int, block int, phase int, keys binary"
+ASKED = "bucket int, block int, phase int, keys binary, counts binary"
 ANSWERED = "block int, bucket int, phase int, answer binary"
-#: Blocks of one answer, to keep a bucket's arrays aligned with its messages.
-Answer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("phase", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+#: (sorted keys, block of each, how often it has it or None) -> an answer to each.
+Answer = Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray]
 
 
 def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
@@ -49,19 +50,18 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def questions(block: int, keys: np.ndarray, buckets: int, phase: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of ASKED for sorted distinct ``keys``."""
+def questions(block: int, keys: np.ndarray, buckets: int, phase: int = 0, counts: np.ndarray | None = None) -> pa.Table:
+    """Rows of ASKED for sorted distinct ``keys``, with how often the block has each, if that is asked."""
     cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cuts))
-    if len(full):
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32()),
-            "phase": pa.array(np.full(len(full), phase), pa.int32()),
-            "keys": pa.array([keys[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary())})
+    sent = lambda values: [values[cuts[b]:cuts[b + 1]].tobytes() for b in full]
+    same = lambda value: pa.array(np.full(len(full), value), pa.int32())
+    return pa.table([pa.array(full, pa.int32()), same(block), same(phase), pa.array(sent(keys), pa.binary()),
+                     pa.array([None] * len(full) if counts is None else sent(counts.astype(np.uint32)), pa.binary())], schema=ASKED_SCHEMA)
 
 
 def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None) -> DataFrame:
-    """Rows of ANSWERED: ``answer(sorted keys, block of each)``, equal keys by ascending block.
+    """Rows of ANSWERED, by what ``answer`` says of the sorted keys of a bucket, equal keys by ascending block.
 
     ``width`` None: answers are booleans, sent as bits.
     """
@@ -75,8 +75,9 @@ def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None) ->
             sizes = np.array([len(x) for x in held])
             keys, blocks = np.concatenate(held), np.repeat(part["block"].to_numpy(), sizes)
             order = np.argsort(keys, kind="stable")
+            counts = None if part["counts"].null_count else np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"].to_pylist()])[order]
             back = np.empty(len(keys), bool if width is None else width)
-            back[order] = answer(keys[order], blocks[order])
+            back[order] = answer(keys[order], blocks[order], counts)
             ends = np.concatenate(([0], np.cumsum(sizes)))
             for i, block in enumerate(part["block"].to_pylist()):
                 own = back[ends[i]:ends[i + 1]]
@@ -110,9 +111,15 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.repeat(np.diff(np.append(at, len(keys))), np.diff(np.append(at, len(keys))))
 
 
-def in_other_block(keys: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+def in_other_block(keys: np.ndarray, blocks: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
     return runs(keys)[1] > 1
 
 
-def in_earlier_block(keys: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+def in_earlier_block(keys: np.ndarray, blocks: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
     return ~runs(keys)[0]
+
+
+def in_all_blocks(keys: np.ndarray, blocks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of the blocks' counts."""
+    first = runs(keys)[0]
+    return np.add.reduceat(counts.astype(np.int64), np.flatnonzero(first))[np.cumsum(first) - 1]

@@ -33,7 +33,6 @@ WIDTH = 20
 ANCHOR = 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _RESULTS = "kept_text string, n_words bigint, n_removed bigint, n_factors bigint"
-ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("phase", pa.int32()), ("keys", pa.binary())])
 
 
 class _Block:
@@ -109,14 +108,14 @@ def _cut_rows(docs: DataFrame, text: str, key: str, width: int, anchor: int, blo
 
     def ask_anchors(group: pa.Table) -> pa.Table:
         own = _Block(group, width, anchor)
-        return pa.Table.from_batches(list(B.questions(group["block"][0].as_py(), own.keys, buckets)), ASKED)
+        return B.questions(group["block"][0].as_py(), own.keys, buckets)
 
     def ask_phrases(group: pa.Table, answered: pa.Table) -> pa.Table:
         if not len(group):
-            return ASKED.empty_table()
+            return B.ASKED_SCHEMA.empty_table()
         own = _Block(group, width, anchor)
         keys = np.unique(own.phrases[own.candidates(answered, buckets)])
-        return pa.Table.from_batches(list(B.questions(group["block"][0].as_py(), keys, buckets, 1)), ASKED)
+        return B.questions(group["block"][0].as_py(), keys, buckets, 1)
 
     def cut(group: pa.Table, answered: pa.Table) -> pa.Table:
         own = _Block(group, width, anchor)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, fertility, line_crf, minhash, mixing, phrase_dedup, pieces, url_filter
+from . import ball_tree, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, url_filter
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = line_crf.train(docs, labels.where(~line_crf.held_out(F.col("doc_id"))))
     return line_crf.scored(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_lines", "n_good_lines")
+
+
+OP1_SQL = r"""
+with words as (
+  select rowid_ as doc, doc_id, unnest(w) as word, generate_subscripts(w, 1) as place
+  from (select row_number() over () as rowid_, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents)),
+pairs as (select *, lag(word) over (partition by doc order by place) as previous from words),
+ones as (select word, count(*) as n from words group by word),
+twos as (select previous, word, count(*) as n from pairs where previous is not null group by previous, word),
+scored as (
+  select doc, doc_id, p.previous is not null and t.n < 2 as backed_off,
+    case when p.previous is null then o.n / total.n when t.n >= 2 then t.n / b.n else 0.4::double * (o.n / total.n) end as score
+  from pairs p join ones o using (word) left join ones b on b.word = p.previous
+  left join twos t on t.previous = p.previous and t.word = p.word cross join (select count(*) as n from words) total),
+sums as (select doc, count(*) as n_words, count(*) filter (where backed_off) as n_backed_off, sum(ln(score)) as log_score from scored group by doc)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_backed_off, 0) as n_backed_off, round(coalesce(log_score, 0), 4) as log_score
+from (select row_number() over () as doc, doc_id from documents) d left join sums using (doc)
+"""
+
+
+@query("op1_stupid_backoff", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores.scores(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
