@@ -51,19 +51,19 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def questions(block: int, keys: np.ndarray, buckets: int, phase: int = 0, counts: np.ndarray | None = None) -> pa.Table:
-    """Rows of ASKED for sorted distinct ``keys``, with how often the block has each, if that is asked."""
+    """Rows of ASKED for sorted distinct ``keys``, with a number for each (how often the block has it, say) if that is asked."""
     cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cuts))
     sent = lambda values: [values[cuts[b]:cuts[b + 1]].tobytes() for b in full]
     same = lambda value: pa.array(np.full(len(full), value), pa.int32())
     return pa.table([pa.array(full, pa.int32()), same(block), same(phase), pa.array(sent(keys), pa.binary()),
-                     pa.array([None] * len(full) if counts is None else sent(counts.astype(np.uint32)), pa.binary())], schema=ASKED_SCHEMA)
+                     pa.array([None] * len(full) if counts is None else sent(counts), pa.binary())], schema=ASKED_SCHEMA)
 
 
-def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None) -> DataFrame:
+def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None, sent: np.dtype = np.uint32) -> DataFrame:
     """Rows of ANSWERED, by what ``answer`` says of the sorted keys of a bucket, equal keys by ascending block.
 
-    ``width`` None: answers are booleans, sent as bits.
+    ``width`` None: answers are booleans, sent as bits. ``sent``: the type of the numbers that came with the keys.
     """
 
     def merge(group: pa.Table) -> pa.Table:
@@ -75,7 +75,7 @@ def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None) ->
             sizes = np.array([len(x) for x in held])
             keys, blocks = np.concatenate(held), np.repeat(part["block"].to_numpy(), sizes)
             order = np.argsort(keys, kind="stable")
-            counts = None if part["counts"].null_count else np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"].to_pylist()])[order]
+            counts = None if part["counts"].null_count else np.concatenate([np.frombuffer(x, sent) for x in part["counts"].to_pylist()])[order]
             back = np.empty(len(keys), bool if width is None else width)
             back[order] = answer(keys[order], blocks[order], counts)
             ends = np.concatenate(([0], np.cumsum(sizes)))

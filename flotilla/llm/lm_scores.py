@@ -47,12 +47,12 @@ class _Block:
 
 def _counted(block: int, grams: np.ndarray, buckets: int, phase: int) -> pa.Table:
     keys, counts = np.unique(grams, return_counts=True)
-    return B.questions(block, keys, buckets, phase, counts)
+    return B.questions(block, keys, buckets, phase, counts.astype(np.uint32))
 
 
 def _ask(group: pa.Table, order: int, buckets: int) -> pa.Table:
     own, block = _Block(group, order), group["block"][0].as_py()
-    asked = [B.questions(block, _ALL, buckets, 0, np.array([len(own.words)]))]
+    asked = [B.questions(block, _ALL, buckets, 0, np.array([len(own.words)], np.uint32))]
     for n in range(1, order + 1):
         asked.append(_counted(block, own.grams(n)[0], buckets, n))
     return pa.concat_tables(asked)

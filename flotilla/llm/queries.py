@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, url_filter
+from . import ball_tree, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, suffix_dedup, url_filter
 from .tables import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,9 @@ from (select row_number() over () as doc, doc_id from documents) d left join sum
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scores.scores(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
+
+
+@query("op8_suffix_array")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
