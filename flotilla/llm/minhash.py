@@ -1,7 +1,7 @@
 """MinHash near-duplicates: universal hash minima, banding, signature check, full check, alternating stars.
 
 Texts with equal shingle sets are one class from the start, so copies cost nothing after that. Classes meet in band
-buckets. First every class of a bucket is compared with the bucket's smallest one; what links is joined into
+buckets. First every class of a bucket is compared with the one that meets most others; what links is joined into
 components. Buckets whose classes are then in one component are done. In the others each pair from different
 components is compared too, so no pair of a bucket goes unseen, and a group of n alike texts costs about n comparisons.
 """
@@ -28,6 +28,8 @@ PERCENT = 75
 BANDS, ROWS = 28, 5
 #: Share of equal signature bytes below which a pair isn't compared in full: five standard deviations under the threshold.
 SIGNATURE_SHARE = 0.56
+#: Members of a bucket that are compared with as many others at once.
+CHUNK = 512
 SEED = 20_240_229
 LEAST = -(1 << 63)
 _SKETCH = "id bigint, high bigint, low bigint, n bigint, bands array<bigint>, signature binary"
@@ -117,6 +119,34 @@ def _long_enough(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _compared(percent: int):
+    def compare(group: pa.Table) -> pa.Table:
+        """Links between two chunks of a bucket, or within one, of pairs that no other link has joined yet."""
+        one, two, bucket = group["one"][0].as_py(), group["two"][0].as_py(), group["bucket"][0].as_py()
+        node, component, own = (group[name].to_numpy() for name in ("node", "component", "own"))
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(group), -1)
+        small = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(group), -1)
+        sets = group["shingles"].combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        links = []
+        for i in left:
+            j = right[(right > i) if one == two else slice(None)]
+            j = j[(component[j] != component[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            j = j[(small[j] == small[i]).mean(axis=1) >= SIGNATURE_SHARE]
+            # a pair that meets in several buckets is compared in the first of them
+            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == bucket]
+            if len(j):
+                mine = sets[int(i)].values.to_numpy()
+                for k in j:
+                    both = len(np.intersect1d(mine, sets[int(k)].values.to_numpy(), assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[k] - both):
+                        links.append((node[i], node[k]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``n_shingles``, ``component_id``, ``kept`` (is it the least id of its component?).
@@ -131,38 +161,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         sketches.where("n > 0").groupBy("high", "low")
         .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
-    centres = landed(centres, "centres")  # read again, the join below can split or broadcast as it needs
-    shared = landed(members.join(centres, "bucket"), "shared")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose full sets are similar enough."""
-        signed = classes.select("node", "n", "signature")
-        likely = (
-            pairs.join(signed.toDF("a", "n_a", "signature_a"), "a").join(signed.toDF("b", "n_b", "signature_b"), "b")
-            .where(_long_enough(F.col("n_a"), F.col("n_b"), percent))
-            .where(_agreement("signature_a", "signature_b") >= SIGNATURE_SHARE).select("a", "b"))
-        likely = landed(likely, "likely")
-        wanted = landed(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        sets = source.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>")
-        sets = landed(sets, "sets")
-        common = F.size(F.array_intersect("left", "right"))
-        return (
-            likely.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
-            .where(common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b").distinct())
-
-    found = landed(links(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    # what is landed here and below can be split or broadcast by the joins that read it
+    sizes = landed(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = landed(members.join(sizes, "bucket"), "shared")
+    # a text that many others are variants of meets them in most bands, so the centre is whoever meets most
+    weights = landed(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    heaviest = F.struct("weight", -F.col("node"))
+    weighed = shared.join(weights, "node")
+    centres = landed(weighed.groupBy("bucket").agg(F.max(heaviest).alias("top")).select("bucket", (-F.col("top.col2")).alias("centre")), "centres")
+    shared = shared.join(centres, "bucket")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Full sets of some nodes."""
+        wanted = landed(nodes.distinct().toDF("id"), "wanted")
+        return landed(source.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"), "sets")
+
+    signed = classes.select("node", "n", "signature")
+    likely = landed(
+        shared.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+        .join(signed.toDF("a", "n_a", "signature_a"), "a").join(signed.toDF("b", "n_b", "signature_b"), "b")
+        .where(_long_enough(F.col("n_a"), F.col("n_b"), percent))
+        .where(_agreement("signature_a", "signature_b") >= SIGNATURE_SHARE).select("a", "b"), "likely")
+    sets = sets_of(likely.select(F.explode(F.array("a", "b"))))
+    common = F.size(F.array_intersect("left", "right"))
+    found = landed(
+        likely.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
+        .where(common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b").distinct(), "links")
     labels = components(found)
-    placed = shared.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_buckets = (
-        placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most").select("bucket"))
-    rest = landed(placed.join(landed(open_buckets, "open"), "bucket", "left_semi"), "rest")
-    left, right = rest.toDF("bucket", "a", "n_a", "component_a"), rest.toDF("bucket", "b", "n_b", "component_b")
-    pairs = (
-        left.join(right, "bucket").where("a < b and component_a <> component_b").where(_long_enough(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b").distinct())
-    labels = components(found.union(links(pairs)))
+
+    placed = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    open_buckets = landed(
+        placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
+        .where("least <> most").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
+    rest = landed(placed.join(open_buckets, "bucket"), "rest")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rest = (
+        rest.join(classes.select("node", "bands", "signature"), "node").join(sets_of(rest.select("node")).toDF("node", "shingles"), "node")
+        .withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component", "bands", "signature", "shingles"))
+    further = rest.groupBy("bucket", "one", "two").applyInArrow(_compared(percent), "a bigint, b bigint")
+    labels = components(found.union(further))
     named = landed(classes.select("high", "low", "node").join(labels, "node", "left")
                    .select("high", "low", F.coalesce("component", "node").alias("component")), "named")
     least = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
