@@ -296,9 +296,10 @@ def optional_lookup(t: Inputs) -> DataFrame:
 
 
 @query("ordered_lookup", """
-select c.pos, c.subnet_id, s.zone from subnet_choice c left join subnet_dim s on c.subnet_id = s.subnet_id order by c.pos""")
+select c.pos, c.subnet_id, s.zone, case when s.subnet_id is null then concat('unknown subnet_id: ', c.subnet_id) end as reason
+from subnet_choice c left join subnet_dim s on c.subnet_id = s.subnet_id""")
 def ordered_lookup(t: Inputs) -> DataFrame:
-    return lookups.ordered_lookup(t.view("subnet_choice"), t.view("subnet_dim"), "subnet_id")
+    return _both(*lookups.ordered_lookup(t.view("subnet_choice"), t.view("subnet_dim"), "subnet_id"))
 
 
 _ASSEMBLED = """
@@ -341,13 +342,14 @@ def snapshot_diff(t: Inputs) -> DataFrame:
 
 
 POLL_DIFF = """
-select n.poll_no, n.id, 'added' as change from poll n
-where n.poll_no - 1 in (select poll_no from poll)
-  and not exists (select 1 from poll p where p.id = n.id and p.poll_no = n.poll_no - 1)
+with pairs as (select poll_no, lag(poll_no) over (order by poll_no) as previous from (select distinct poll_no from poll) d)
+select n.poll_no, n.id, 'added' as change from poll n join pairs on n.poll_no = pairs.poll_no
+where previous is not null and n.id is not null
+  and not exists (select 1 from poll p where p.id = n.id and p.poll_no = previous)
 union all
-select p.poll_no + 1, p.id, 'removed' from poll p
-where p.poll_no + 1 in (select poll_no from poll)
-  and not exists (select 1 from poll n where n.id = p.id and n.poll_no = p.poll_no + 1)"""
+select pairs.poll_no, p.id, 'removed' from poll p join pairs on p.poll_no = previous
+where p.id is not null
+  and not exists (select 1 from poll n where n.id = p.id and n.poll_no = pairs.poll_no)"""
 
 
 @query("poll_diff", POLL_DIFF)
@@ -395,8 +397,13 @@ def price_asof(t: Inputs) -> DataFrame:
 @query("request_outcome", """
 select r.request_id,
        case kind when 'AddWorkers' then 'WorkerAdditionAttempt' when 'TerminateCluster' then 'ClusterTerminationAttempt'
-            when 'TerminateWorker' then 'WorkerTerminationAttempt' else 'DockerImageChangeAttempt' end as attempt,
+            when 'TerminateWorker' then 'WorkerTerminationAttempt' when 'ChangeDockerImage' then 'DockerImageChangeAttempt'
+            else 'ClusterLaunchAttempt' end as attempt,
        case kind
+         when 'LaunchCluster' then case when tag_a = 'Name' then concat('Failed to launch cluster for spec ', spec,
+                ': Invalid instance tags: Invalid tag key: Name, Invalid tag key: x:cluster_ttl') end
+         when 'LaunchSpotCluster' then case when tag_a = 'Name' then concat('Failed to launch spot cluster with bid price ', bid_price, ' for spec ', spec,
+                ': Invalid instance tags: Invalid tag key: Name, Invalid tag key: x:cluster_ttl') end
          when 'AddWorkers' then case
            when c.cluster_id is null then concat('Add workers: no cluster with id ', r.cluster_id)
            when c.master_state <> 'Running' then concat('Failed to add workers to cluster with id ', r.cluster_id,
@@ -421,7 +428,8 @@ select r.request_id,
 from request_log r left join cluster_dim c on r.cluster_id = c.cluster_id
 left join worker_dim w on r.instance_id = w.instance_id and w.state <> 'Terminated'""")
 def request_outcome(t: Inputs) -> DataFrame:
-    return requests.request_outcome(t.view("request_log"), t.view("cluster_dim"), t.view("worker_dim"))
+    log = t.view("request_log").withColumn("extra_tags", F.create_map(F.coalesce("tag_a", F.lit("team")), F.lit("1"), F.coalesce("tag_b", F.lit("owner")), F.lit("2")))
+    return requests.request_outcome(log, t.view("cluster_dim"), t.view("worker_dim"))
 
 
 @query("completion_barrier", """
@@ -444,11 +452,16 @@ select r.cluster_id, g.n, r.instance_id from raw_instance r
 join (select cluster_id, count(*) as n from raw_instance where cluster_id is not null group by cluster_id) g
   on r.cluster_id = g.cluster_id""")
 def group_members(t: Inputs) -> DataFrame:
-    groups = fleet.group_members(t.view("raw_instance"), "cluster_id")
-    return groups.select("cluster_id", "n", F.explode("members").alias("instance_id"))
+    return fleet.group_members(t.view("raw_instance"), "cluster_id")
 
 
-@query("cluster_capacity", """
+# Some types are missing from the catalogue, so that there are rejects.
+_LISTED = "instance_type % 97 <> 0"
+
+
+@query("cluster_capacity", f"""
+select cluster_id, cores, memory_bytes, storage_bytes, hourly_price,
+       cast(null as string) as instance_id, cast(null as bigint) as instance_type, cast(null as string) as reason from (
 select c.cluster_id,
        cast(coalesce(sum(case when i.state = 'Running' then s.cores end), 0) as bigint) as cores,
        cast(coalesce(sum(case when i.state = 'Running' then s.memory_bytes end), 0) as bigint) as memory_bytes,
@@ -456,10 +469,15 @@ select c.cluster_id,
        cast(coalesce(sum(s.hourly_price), 0) as decimal(38,4)) as hourly_price
 from cluster_dim c
 left join instance_fact i on c.cluster_id = i.cluster_id and i.role = 'Worker' and i.state <> 'Terminated'
-left join spec_dim s on i.instance_type = s.instance_type
-group by c.cluster_id""")
+left join spec_dim s on i.instance_type = s.instance_type and s.{_LISTED}
+group by c.cluster_id) known
+union all
+select cluster_id, null, null, null, null, instance_id, instance_type, concat('unknown instance_type: ', instance_type)
+from instance_fact where role = 'Worker' and state <> 'Terminated'
+  and instance_type not in (select instance_type from spec_dim where {_LISTED})""")
 def cluster_capacity(t: Inputs) -> DataFrame:
-    return totals.cluster_capacity(t.view("cluster_dim"), t.view("instance_fact"), t.view("spec_dim"))
+    shown, rejects = totals.cluster_capacity(t.view("cluster_dim"), t.view("instance_fact"), t.view("spec_dim").where(_LISTED))
+    return _both(shown, rejects)
 
 
 _FIRST_MASTER = """
@@ -607,7 +625,7 @@ def client_sequence_gaps(t: Inputs) -> DataFrame:
 
 
 def _alive(prop: str) -> str:
-    return f"case when gone is null or {prop}_at > gone then {prop}_val end as {prop}"
+    return f"case when present and {prop}_at > since then {prop}_val end as {prop}"
 
 
 _PROPS = {"state": "InstanceState", "container_state": "InstanceContainerState", "ip_address": "InstanceIpAddress",
@@ -624,10 +642,13 @@ folded as (
          max(no) filter (kind = 'DockerImageChangeRequest' or (kind = 'DockerImageChangeAttempt' and error is null)) as changing_at,
          arg_max(kind = 'DockerImageChangeRequest', no)
            filter (kind = 'DockerImageChangeRequest' or (kind = 'DockerImageChangeAttempt' and error is null)) as changing_val
-  from numbered group by entity_id)
+  from numbered group by entity_id),
+known as (
+  select f.*, (select min(no) from numbered n where n.entity_id = f.entity_id and n.kind = 'WorkersAdded'
+               and (f.gone is null or n.no > f.gone)) as since from folded f)
 select entity_id, present, {", ".join(_alive(p) for p in _PROPS)}, {_alive("image")},
-       coalesce(changing_val and (gone is null or changing_at > gone), false) as image_change_in_progress
-from folded where present is not null"""
+       coalesce(present and changing_val and changing_at > since, false) as image_change_in_progress
+from known where present is not null"""
 
 
 @query("latest_state", LATEST_STATE)

@@ -170,7 +170,7 @@ select c.cluster_id, c.name, m.instance_id as master_id, m.effective_state as ma
 from cluster_dim c left join master m on c.cluster_id = m.cluster_id
 left join shown w on c.cluster_id = w.cluster_id and w.role = 'Worker'""")
 def cluster_snapshot(t: Inputs) -> DataFrame:
-    nested = inventory.cluster_snapshot(t.view("cluster_dim"), t.view("instance_fact"))
+    nested = inventory.cluster_snapshot(t.view("cluster_dim"), t.view("instance_fact"), part_size=1000)
     flat = nested.select("cluster_id", "name", "master", F.explode_outer("workers").alias("w"))
     return flat.select(
         "cluster_id", "name", F.col("master.instance_id").alias("master_id"),

@@ -6,14 +6,16 @@ Each result must equal the batch form, so each has the batch form's SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sets import dedupe_last
 from ..session import shared_dir
 from ..streaming import micro_batches, streams
 from .batch_queries import (CHANGE_EVENTS, CHANGE_PROPS, COLLECT_FIRST, LATEST_STATE, POLL_DIFF, SEQUENCE_GAPS, TIMEOUT,
                             first_wanted, shown_history)
 from .registry import query
-from .views import NOW, Inputs
+from .views import NOW, SLICES, Inputs
 
 
 def _finish(t: Inputs, label: str, start, schema: str) -> DataFrame:
@@ -42,33 +44,36 @@ def stream_change_events(t: Inputs) -> DataFrame:
 
 @query("stream_latest_state", LATEST_STATE)
 def stream_latest_state(t: Inputs) -> DataFrame:
-    current = streams.stream_latest_state(t.stream().view("fold_log"), "entity_id", ["ts", "event_id"])
-
-    def sink(state: str, out: str):
-        replace = lambda rows, batch_id: rows.write.mode("overwrite").parquet(out)
-        return current.writeStream.outputMode("complete").foreachBatch(replace)
-
-    return _finish(
-        t, "latest", sink,
+    log = t.stream().view("fold_log").select("entity_id", "ts", "event_id", "kind", "val", "error")
+    shown = _finish(
+        t, "latest", lambda state, out: streams.stream_latest_state(log, "entity_id", ["ts", "event_id"], state, out),
         "entity_id bigint, present boolean, state string, container_state string, ip_address string, subnet string, "
-        "terminated_at string, image string, image_change_in_progress boolean")
+        "terminated_at string, image string, image_change_in_progress boolean, batch_id int")
+    return dedupe_last(shown, "entity_id", ["batch_id"]).drop("batch_id")
 
 
 @query("stream_snapshot_diff", POLL_DIFF)
 def stream_snapshot_diff(t: Inputs) -> DataFrame:
-    polls = t.stream().table("events").selectExpr("user_id as id", "cast(extract(day from ts) as int) as poll_no")
+    polls = t.stream().table("events").where("extract(day from ts) <> 7").selectExpr(
+        "case when extract(day from ts) <> 11 then user_id end as id", "cast(extract(day from ts) as int) as poll_no")
     return _finish(
         t, "diff", lambda state, out: streams.stream_snapshot_diff(polls, "id", "poll_no", state, out),
         "poll_no int, id bigint, change string")
 
 
-@query("stream_timeout", f"select * from ({TIMEOUT}) v where verdict is not null")
+LAST_READING = TIMEOUT.replace("from app_run", """from (
+  select * from app_reading r where seen_at = (select max(seen_at) from app_reading l where l.cluster_id = r.cluster_id)) app_run""")
+
+
+@query("stream_timeout", f"select * from ({LAST_READING}) v where verdict is not null")
 def stream_timeout(t: Inputs) -> DataFrame:
-    return _finish(
+    verdicts = _finish(
         t, "timeout",
         lambda state, out: streams.stream_timeout(
-            t.stream().view("app_run"), t.view("app_cluster"), state, out, lambda batch_id: NOW),
-        "cluster_id bigint, verdict string")
+            t.stream().view("app_reading"), lambda: t.view("app_cluster"), state, out, lambda batch_id: NOW),
+        "cluster_id bigint, verdict string, batch_id int")
+    # every batch judges all clusters, so the last one says what holds at the end
+    return verdicts.where(F.col("batch_id") == SLICES - 1).drop("batch_id")
 
 
 @query("stream_sequence_gaps", SEQUENCE_GAPS)

@@ -18,6 +18,8 @@ from ..sources.inventory import snapshot_stream
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 NOW = "2024-01-30 12:00:00"
+#: Micro-batches of a table that is read as a stream.
+SLICES = 4
 
 # Tag views: (key, value, condition) per row that an order gives.
 _TAG_ROWS = [
@@ -222,6 +224,10 @@ from events where event_type = 'purchase'""",
     "app_run": """
 select event_id, user_id as cluster_id, ts as start_at, cast(floor(value * 60000) as bigint) as duration_ms,
        event_type = 'error' and ts >= timestamp '2024-01-30 00:00:00' as active
+from events where ts < timestamp '2024-01-30 12:00:00'""",
+    "app_reading": """
+select event_id, user_id as cluster_id, date_trunc('day', ts) as seen_at, ts as start_at,
+       cast(floor(value * 60000) as bigint) as duration_ms, event_type = 'error' as active
 from events where ts < timestamp '2024-01-30 12:00:00'""",
     "app_cluster": """
 select distinct user_id as cluster_id, timestamp '2024-01-01 00:00:00' as launched_at,
@@ -255,7 +261,8 @@ select id, id % 50 as cluster_id, case when id < 50 then 'Master' else 'Worker'
     "fleet_cur": """
 select id, id % 50 as cluster_id, case when id < 50 then 'Master' else 'Worker' end as role, state, address from snapshot_cur""",
     "poll": """
-select distinct user_id as id, cast(extract(day from ts) as int) as poll_no from events""",
+select distinct case when extract(day from ts) <> 11 then user_id end as id, cast(extract(day from ts) as int) as poll_no
+from events where extract(day from ts) <> 7""",
     "user_tags": """
 select cluster_id, tag_key, tag_value from tag_rows where tag_key <> 'x:cluster_name'""",
     "subnet_dim": """
@@ -283,10 +290,13 @@ from lineitem""",
     "request_log": """
 select event_id as request_id, ts, user_id * 101 as cluster_id,
        case event_type when 'signup' then 'AddWorkers' when 'error' then 'TerminateCluster'
-            when 'view' then 'TerminateWorker' else 'ChangeDockerImage' end as kind,
+            when 'view' then 'TerminateWorker' when 'click' then 'ChangeDockerImage'
+            else case when user_id % 2 = 0 then 'LaunchCluster' else 'LaunchSpotCluster' end end as kind,
        case when event_type = 'signup' then cast(floor(value) as int) - 5 end as worker_count,
-       case when event_type = 'view' then concat('w-', user_id) end as instance_id
-from events where event_type in ('signup', 'error', 'click', 'view')""",
+       case when event_type = 'view' then concat('w-', user_id) end as instance_id,
+       case when event_type = 'purchase' then concat('job-', user_id) end as spec, cast(0.25 as decimal(18,4)) as bid_price,
+       case when event_id % 3 = 0 then 'Name' end as tag_a, case when event_id % 3 = 0 then 'x:cluster_ttl' end as tag_b
+from events""",
     "worker_dim": """
 select concat('w-', s_suppkey) as instance_id, case s_nationkey % 5 when 0 then 'Pending' when 1 then 'Starting'
        when 2 then 'Running' when 3 then 'Terminating' else 'Terminated' end as state from supplier""",
@@ -344,10 +354,20 @@ class Inputs:
         self.spark, self.sf_dir, self.streaming = prepare(spark), sf_dir, streaming
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        rows = self.spark.read.parquet(path)
-        # A file stream wants a folder or a pattern, hence the one-letter class.
-        return snapshot_stream(self.spark, f"{path[:-1]}[t]", rows.schema) if self.streaming else rows
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._arriving(rows, name) if self.streaming else rows
+
+    def _arriving(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` landed in the order of time, as ``SLICES`` spans of whole days, and read as one micro-batch for each."""
+        path = shared_dir(self.spark, f"{name}-landing")
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        days = F.unix_date(F.col("ts").cast("date"))
+        low, high = rows.agg(F.min(days), F.max(days)).first()
+        for i in range(SLICES):
+            cut = lambda k: F.lit(low + (high + 1 - low) * k // SLICES)
+            part = rows.where((days >= cut(i)) & (days < cut(i + 1)))
+            part.repartition(files).write.mode("append").parquet(path)
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
     def stream(self) -> Inputs:
         """The same tables and views, read as streams."""

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.groups import bounded_groups
 from ..plans.hot_keys import join_unique
 from .tags import tag_pivot
 
 
-def group_members(instances: DataFrame, key: str, max_members: int | None = None) -> DataFrame:
-    """``key, n, part, parts, members``: instance ids per key, without rows that have no key.
+def group_members(instances: DataFrame, key: str) -> DataFrame:
+    """``key, n, instance_id``: each member of each group with the group's size, without rows that have no key.
 
-    Large groups come in several parts.
+    ``plans.groups.nested`` makes arrays of them, in parts of a size its caller gives.
     """
-    rows = instances.where(F.col(key).isNotNull())
-    return bounded_groups(rows, key, "instance_id", F.col("instance_id"), max_members)
+    rows = instances.where(F.col(key).isNotNull()).select(key, "instance_id")
+    return join_unique(rows, rows.groupBy(key).agg(F.count("*").alias("n")), key, "inner").select(key, "n", "instance_id")
 
 
 def assemble_clusters(instances: DataFrame, tag_rows: DataFrame, tag_prefix: str) -> tuple[DataFrame, DataFrame]:
@@ -46,17 +45,20 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame, key: str) -> DataFrame:
 
 
 def poll_diff(polls: DataFrame, key: str, poll_col: str) -> DataFrame:
-    """``poll, key, change``: the added and removed keys of every poll against the one numbered before it.
+    """``poll, key, change``: the added and removed keys of every poll against the last one before it that took place.
 
-    A poll without predecessor in ``polls`` is only compared against.
+    A failed poll is simply missing. A row with a null key says that its poll took place, so one that found nothing is such a row
+    alone. The first poll is only compared against.
     """
-    now = polls.select(key, F.col(poll_col).alias(poll_col), F.lit(0).alias("old"), F.lit(1).alias("new"))
-    then = polls.select(key, (F.col(poll_col) + 1).alias(poll_col), F.lit(1).alias("old"), F.lit(0).alias("new"))
+    # one row a poll, so the order of all polls is a small matter
+    follows = polls.select(poll_col).distinct().withColumn("__next", F.lead(poll_col).over(Window.orderBy(poll_col)))
+    first = follows.agg(F.min(poll_col)).scalar()
+    held = polls.where(F.col(key).isNotNull())
+    now = held.where(F.col(poll_col) > first).select(key, poll_col, F.lit(0).alias("old"), F.lit(1).alias("new"))
+    then = held.join(follows.where("__next is not null"), poll_col).select(
+        key, F.col("__next").alias(poll_col), F.lit(1).alias("old"), F.lit(0).alias("new"))
     seen = now.unionByName(then).groupBy(poll_col, key).agg(F.max("old").alias("old"), F.max("new").alias("new"))
-    moved = seen.where("old <> new").select(poll_col, key, F.when(F.col("old") == 0, "added").otherwise("removed").alias("change"))
-    numbers = polls.select(poll_col).distinct()
-    both = numbers.join(numbers.select((F.col(poll_col) + 1).alias(poll_col)), poll_col)
-    return moved.join(both, poll_col, "left_semi")
+    return seen.where("old <> new").select(poll_col, key, F.when(F.col("old") == 0, "added").otherwise("removed").alias("change"))
 
 
 def snapshot_apply(prev: DataFrame, cur: DataFrame, key: str, sticky_cols: list[str], overwrite_cols: list[str],

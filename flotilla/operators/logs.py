@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.hot_keys import previous_row, row_numbers
+from ..plans.hot_keys import join_unique, previous_row, row_numbers
 
 # Which message kind sets which property of an instance.
 PROPERTY_KINDS = {
@@ -27,10 +27,11 @@ def change_events(df: DataFrame, key: str, prop_cols: Sequence[str], order_cols:
                   set_only: Sequence[str] = (), min_hot_rows: int | None = None) -> DataFrame:
     """``key, order columns, property, value`` whenever a property's value differs from the row before.
 
-    The first row of a key gives every property; those in ``set_only`` only when not null.
+    The first row of a key gives every property; those in ``set_only`` only when not null. Rows alike in all
+    order columns come in the order of their values.
     """
     cols = [key, *order_cols, *prop_cols]
-    seen = previous_row(df.select(*dict.fromkeys(cols)), [key], order_cols, prop_cols, "prev", min_hot_rows, drop_copies=True)
+    seen = previous_row(df.select(*dict.fromkeys(cols)), [key], order_cols, prop_cols, "prev", min_hot_rows)
     return seen.select(key, *order_cols, F.inline(_changes(prop_cols, set_only)))
 
 
@@ -76,12 +77,17 @@ def flag_gaps(seen: DataFrame, server_col: str, no_col: str) -> DataFrame:
 def latest_state(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
     """Current state per entity from a log of ``kind, val`` and, where there is one, ``error``.
 
-    Each property has its last value, ``present`` follows the last add or remove, and values from
-    before the last remove are gone with it. An image change request raises
+    ``present`` follows the last add or remove. An entity is known from the add that made it present, the
+    first one after its last remove; each property has its last value from then on, and what came
+    before is ignored, as is everything about an absent entity. An image change request raises
     ``image_change_in_progress``; only an attempt without error lowers it and sets ``image``.
-    Entities never added or removed, and kinds not named here, leave no trace. Works on a
-    batch and, as a running aggregate, on a stream.
+    Entities never added or removed, and kinds not named here, leave no trace.
     """
+    return _shown(folded_log(log, key, order_cols), key)
+
+
+def folded_log(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
+    """Per entity: ``presence``, ``since`` and, per property, the last value, each with the row's order as ``at``."""
     order = F.struct(*order_cols)
     kind = F.col("kind")
     failed = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
@@ -90,16 +96,36 @@ def latest_state(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFra
     def latest(test: Column, value: Column) -> Column:
         return F.max(F.when(test, F.struct(order.alias("at"), value.alias("value"))))
 
-    folded = log.groupBy(key).agg(
+    last = log.groupBy(key).agg(
         latest(kind.isin(ADDED_KINDS + REMOVED_KINDS), kind.isin(ADDED_KINDS)).alias("presence"),
         F.max(F.when(kind.isin(REMOVED_KINDS), order)).alias("gone"),
         latest(done, F.col("val")).alias("image"),
         latest(done | (kind == IMAGE_REQUEST), kind == IMAGE_REQUEST).alias("changing"),
         *[latest(kind == name, F.col("val")).alias(prop) for prop, name in PROPERTY_KINDS.items()],
     ).where("presence is not null")
+    adds = join_unique(log.where(kind.isin(ADDED_KINDS)).select(key, order.alias("at")), last.select(key, "gone"), key, "inner")
+    since = adds.where(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).groupBy(key).agg(F.min("at").alias("since"))
+    return last.drop("gone").join(since, key, "left")
+
+
+def live_rows(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
+    """The rows of ``log`` that its ``latest_state`` rests on; the fold of them and of what comes later is that of the whole log."""
+    order, kind = F.struct(*order_cols), F.col("kind")
+    known = folded_log(log, key, order_cols).select(key, "presence", "since")
+    rows = join_unique(log.withColumn("at", order), known, key, "inner").where(
+        F.when(F.col("presence.value"), F.col("at") >= F.col("since")).otherwise(F.col("at") == F.col("presence.at")))
+    # of the adds the first one, of every other kind, failed and not, the last
+    failed = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
+    place = F.when(kind.isin(ADDED_KINDS), F.lit("added")).otherwise(F.coalesce(kind, F.lit("")))
+    whole = F.struct(*log.columns)
+    last = rows.groupBy(key, place.alias("place"), failed.alias("failed")).agg(
+        F.min(F.struct("at", whole.alias("row"))).alias("first"), F.max(F.struct("at", whole.alias("row"))).alias("last"))
+    return last.select(F.when(F.col("place") == "added", F.col("first.row")).otherwise(F.col("last.row")).alias("row")).select("row.*")
+
 
+def _shown(folded: DataFrame, key: str) -> DataFrame:
     def alive(prop: str) -> Column:
-        return F.when(F.col("gone").isNull() | (F.col(f"{prop}.at") > F.col("gone")), F.col(f"{prop}.value"))
+        return F.when(F.col("presence.value") & (F.col(f"{prop}.at") > F.col("since")), F.col(f"{prop}.value"))
 
     return folded.select(
         key, F.col("presence.value").alias("present"),
@@ -124,7 +150,7 @@ def validate_transitions(history: DataFrame, key: str, state_cols: Sequence[str]
     """
     state, container = state_cols
     rows = history.select(key, *order_cols, state, container)
-    seen = previous_row(rows, [key], order_cols, state_cols, "prev", min_hot_rows, drop_copies=True)
+    seen = previous_row(rows, [key], order_cols, state_cols, "prev", min_hot_rows)
     moved = seen.where(
         F.col("prev").isNotNull()
         & ~(F.col(f"prev.{state}").eqNullSafe(F.col(state)) & F.col(f"prev.{container}").eqNullSafe(F.col(container))))

@@ -29,21 +29,22 @@ def optional_lookup(fact: DataFrame, dim: DataFrame, key: str, strict: bool = Fa
     return rows.drop("__hit"), rejects.select(*fact.columns, "reason")
 
 
-def ordered_lookup(ids: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """``dim`` rows for a list ``(pos, key)``, in list order; an unknown id has null columns."""
-    return ids.select("pos", key).join(dim, key, "left").orderBy("pos")
+def ordered_lookup(ids: DataFrame, dim: DataFrame, key: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: ``dim`` rows for a list ``(pos, key)``, in list order; an unknown id is a reject."""
+    rows, rejects = strict_lookup(ids.select("pos", key), dim, key, strict)
+    return rows.orderBy("pos"), rejects
 
 
 def owner_lookup(events: DataFrame, members: DataFrame, instance_col: str) -> tuple[DataFrame, DataFrame]:
     """``(rows with cluster_id, unknown)``: route events to the cluster that owns the instance."""
     owners = members.groupBy(F.col("instance_id").alias(instance_col)).agg(F.max("cluster_id").alias("cluster_id"))
-    routed = events.join(owners, instance_col, "left")
+    routed = join_unique(events, owners, instance_col, "left")
     return routed.where(F.col("cluster_id").isNotNull()), routed.where(F.col("cluster_id").isNull()).drop("cluster_id")
 
 
 def member_semi(df: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key is among ``ids``; all rows without such a set."""
-    return df if ids is None else df.join(ids.select(key).distinct(), key, "left_semi")
+    return df if ids is None else df.join(ids.select(key), key, "left_semi")
 
 
 def completion_barrier(targets: DataFrame, invocations: DataFrame) -> DataFrame:

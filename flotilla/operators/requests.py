@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_system_tag
 from .states import guard
 
 # What answers each request kind, and the texts of its failures.
 ATTEMPTS = {
+    "LaunchCluster": "ClusterLaunchAttempt",
+    "LaunchSpotCluster": "ClusterLaunchAttempt",
     "AddWorkers": "WorkerAdditionAttempt",
     "ChangeDockerImage": "DockerImageChangeAttempt",
     "TerminateCluster": "ClusterTerminationAttempt",
@@ -27,13 +30,31 @@ FAILED = {
     "TerminateWorker": "Failed to terminate worker with instance id ",
 }
 REQUIREMENT = "requirement failed: "
+LAUNCH_FAILED = "Failed to launch cluster for spec "
+SPOT_LAUNCH_FAILED = ("Failed to launch spot cluster with bid price ", " for spec ")
+INVALID_TAGS = ": Invalid instance tags: "
+INVALID_KEY = "Invalid tag key: "
+LAUNCHES = ("LaunchCluster", "LaunchSpotCluster")
 
 
-def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame) -> DataFrame:
+def _launch_error(requests: DataFrame, tag_prefix: str) -> Column:
+    """Launches fail on system tags among the extra tags; keys are named in the order of the map."""
+    if not {"spec", "bid_price", "extra_tags"} <= set(requests.columns):
+        return F.lit(None).cast("string")
+    bad = F.filter(F.map_keys("extra_tags"), lambda key: is_system_tag(key, tag_prefix))
+    said = F.concat(F.lit(INVALID_TAGS), F.array_join(F.transform(bad, lambda key: F.concat(F.lit(INVALID_KEY), key)), ", "))
+    spot, spec = SPOT_LAUNCH_FAILED, F.coalesce("spec", F.lit(""))
+    start = F.when(F.col("kind") == "LaunchCluster", F.concat(F.lit(LAUNCH_FAILED), spec)).otherwise(
+        F.concat(F.lit(spot[0]), F.coalesce(F.col("bid_price").cast("string"), F.lit("")), F.lit(spot[1]), spec))
+    return F.when(F.size(bad) > 0, F.concat(start, said))
+
+
+def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame, tag_prefix: str = "x:") -> DataFrame:
     """``request_id, attempt, error``: the answer to each request; a null error is acceptance.
 
-    ``requests`` has ``kind``, ``cluster_id``, ``worker_count`` and ``instance_id``; ``clusters``
-    has ``master_state`` and may have ``termination_reason``. Only unterminated workers are found.
+    ``requests`` has ``kind``, ``cluster_id``, ``worker_count`` and ``instance_id`` and, where launches are among
+    them, ``spec`` (as text), ``bid_price`` and ``extra_tags`` (a map). ``clusters`` has ``master_state`` and may have
+    ``termination_reason``. Only unterminated workers are found. A request of no known kind has no attempt, and an error that says so.
     """
     known = clusters.select(
         "cluster_id", "master_state",
@@ -43,8 +64,11 @@ def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame
     # Each kind needs one lookup only. Joining all requests to both sides would also send every
     # request without an instance id to one task.
     about_worker = F.col("kind") == "TerminateWorker"
-    wide = requests.where(~about_worker).join(known, "cluster_id", "left").unionByName(
-        requests.where(about_worker).join(open_workers, "instance_id", "left"), allowMissingColumns=True)
+    other = requests.where(F.col("kind").isNull() | F.col("kind").isin(*LAUNCHES) | ~F.col("kind").isin(list(ATTEMPTS)))
+    about_cluster = F.col("kind").isin([kind for kind in ATTEMPTS if kind not in (*LAUNCHES, "TerminateWorker")])
+    wide = requests.where(about_cluster).join(known, "cluster_id", "left").unionByName(
+        requests.where(about_worker).join(open_workers, "instance_id", "left"), allowMissingColumns=True).unionByName(
+        other, allowMissingColumns=True)
     master, worker, underway = F.col("master_state"), F.col("worker_state"), F.col("termination_reason")
 
     def answer(kind: str, found: Column, target: str, broken: Column) -> Column:
@@ -62,10 +86,11 @@ def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame
             required(guard("terminate_cluster", master)))),
         "TerminateWorker": answer("TerminateWorker", worker, "instance_id", required(guard("terminate_instance", worker))),
     }
+    errors |= dict.fromkeys(LAUNCHES, _launch_error(requests, tag_prefix))
     attempt = F.lit(None).cast("string")
-    error = F.lit(None).cast("string")
+    error = F.concat(F.lit("unknown request kind: "), F.coalesce("kind", F.lit("(none)")))
     for kind, text in errors.items():
         attempt = F.when(F.col("kind") == kind, ATTEMPTS[kind]).otherwise(attempt)
         error = F.when(F.col("kind") == kind, text).otherwise(error)
-    return wide.where(F.col("kind").isin(list(ATTEMPTS))).select(
+    return wide.select(
         "request_id", attempt.alias("attempt"), error.alias("error"))

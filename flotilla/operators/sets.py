@@ -36,7 +36,7 @@ def upsert(a: DataFrame, b: DataFrame, key: str, partial: bool = False) -> DataF
 
 
 def remove_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_anti")
+    return df.join(ids.select(key), key, "left_anti")
 
 
 def distinct_union(a: DataFrame, b: DataFrame) -> DataFrame:

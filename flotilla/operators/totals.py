@@ -11,26 +11,31 @@ from pyspark.sql import functions as F
 
 from ..functions.states import effective_container_state
 from ..functions.text import plus_seconds
+from .lookups import strict_lookup
 
 MONEY = "decimal(38,4)"
 
 
-def cluster_capacity(clusters: DataFrame, instances: DataFrame, specs: DataFrame) -> DataFrame:
-    """Cores, memory and storage of the running workers, hourly price of the unterminated ones.
+def cluster_capacity(clusters: DataFrame, instances: DataFrame, specs: DataFrame,
+                     strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(totals, rejects)``: cores, memory and storage of the running workers, hourly price of the unterminated ones.
 
-    Each worker counts with its own type; a cluster without workers shows zeros.
+    Each worker counts with its own type; a cluster without workers shows zeros. Unterminated workers of a
+    type that ``specs`` doesn't have are rejects, and count for nothing.
     """
     live = instances.where((F.col("role") == "Worker") & (F.col("state") != "Terminated"))
     running = F.col("state") == "Running"
     total = lambda amount: F.sum(F.when(running, amount).otherwise(0)).cast("bigint")
-    sums = live.select("cluster_id", "instance_type", "state").join(specs, "instance_type").groupBy("cluster_id").agg(
+    known, rejects = strict_lookup(live.select("cluster_id", "instance_id", "instance_type", "state"), specs, "instance_type", strict)
+    sums = known.groupBy("cluster_id").agg(
         total(F.col("cores")).alias("cores"),
         total(F.col("memory_bytes")).alias("memory_bytes"),
         total(F.col("devices") * F.col("bytes_per_device")).alias("storage_bytes"),
         F.sum("hourly_price").alias("hourly_price"))
     zero = lambda c, kind="bigint": F.coalesce(c, F.lit(0)).cast(kind).alias(c)
-    return clusters.select("cluster_id").join(sums, "cluster_id", "left").select(
+    shown = clusters.select("cluster_id").join(sums, "cluster_id", "left").select(
         "cluster_id", zero("cores"), zero("memory_bytes"), zero("storage_bytes"), zero("hourly_price", MONEY))
+    return shown, rejects.select("cluster_id", "instance_id", "instance_type", "reason")
 
 
 def _reduce(instances: DataFrame, amounts: dict[str, Column], master: Column) -> DataFrame:

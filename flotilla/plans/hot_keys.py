@@ -5,9 +5,12 @@ A window partitioned by a key puts each key into one task. Here a key that holds
 per (key, range), and what crosses a range border is carried over by a small per-range aggregate.
 All other keys keep one range.
 
-Ranges have equal width. Where that leaves one with too many rows (a burst), it is cut once more
-within its own bounds. Rows that are alike in all order columns cannot be told apart by order and
-stay together; ``previous_row`` can drop exact copies in hot keys before they are shuffled.
+Ranges are of equal width in the first order column that is not constant. Where that leaves one with
+too many rows (a burst), it is cut once more within its own bounds, by the first column that is not
+constant there. So a range holds at most a few times the limit if two cuts in numbers or times can tell its rows
+apart; rows alike in those columns, nulls in them among others, stay together in one task.
+
+Results don't depend on what is hot: the window's order is the order columns and then the values, and no row is dropped.
 
 The broadcast tables are bounded by construction: at most ``1 / HOT_SHARE`` keys, or ranges of the
 first cut, can each hold more than ``HOT_SHARE`` of the rows, and together they are cut into at
@@ -17,7 +20,6 @@ most ``2 * OVERSPLIT / HOT_SHARE`` ranges, whatever the data size.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,16 +51,20 @@ def _positions(df: DataFrame, order_cols: Sequence[str]) -> list[str]:
     return out[:count]
 
 
-def _hot_spans(df: DataFrame, keys: Sequence[str], positions: list[str], limit: Column) -> DataFrame:
+def _spans(df: DataFrame, keys: Sequence[str], positions: list[str]) -> DataFrame:
+    """Per group: its rows and the span of each order column."""
+    spans = ", ".join(f"struct(min({p}) as lo, max({p}) as hi)" for p in positions)
+    return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.count("*").alias("__rows"), F.expr(f"array({spans})").alias("__spans"))
+
+
+def _hot(groups: DataFrame, keys: int, limit: Column) -> DataFrame:
     """Per group of more than ``limit`` rows: how many ranges to cut, and of which column's span.
 
     That is the first order column that is not constant in the group.
     """
-    spans = ", ".join(f"struct(min({p}) as lo, max({p}) as hi)" for p in positions)
-    groups = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
-        F.count("*").alias("__rows"), F.expr(f"array({spans})").alias("__spans"))
     return groups.where(F.col("__rows") > limit).select(
-        *[f"__k{i}" for i in range(len(keys))], "__spans",
+        *[f"__k{i}" for i in range(keys)], "__spans",
         F.expr("cast(greatest(array_position(transform(__spans, s -> s.lo < s.hi), true), 1) as int)").alias("__by"),
         (F.ceil(F.col("__rows") / limit) * OVERSPLIT).cast("double").alias("__n"))
 
@@ -104,28 +110,28 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows
 
 
 class RangeCut:
-    """``df`` cut into ordered ranges; ``rows`` is all of it, ``hot`` only the hot keys' rows."""
+    """``df`` cut into ordered ranges; ``rows`` is all of it, ``hot`` the hot keys' rows.
+
+    The input is read once for the counts and spans of all keys, once for the bursts of hot keys, and once for ``rows``;
+    what is carried over is summed from the exchanged ``rows``.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], min_rows: int | None,
-                 drop_copies: bool = False):
-        self.keys, self.order_cols = list(keys), list(order_cols)
+                 value_cols: Sequence[str] = ()):
+        self.keys, self.order_cols = list(keys), list(dict.fromkeys([*order_cols, *value_cols]))
         self.groups = [*self.keys, *_RANGES]
         positions = _positions(df, order_cols)
-        limit = hot_limit(df, F.count("*"), min_rows)
-        first = _hot_spans(df, self.keys, positions, limit)
+        counts = _spans(df, self.keys, positions)
+        limit = hot_limit(counts, F.sum("__rows"), min_rows)
+        first = _hot(counts, len(self.keys), limit)
         hot = _cut(df, self.keys, positions, first, _RANGES[0], "inner")
-        second = _hot_spans(hot, [*self.keys, _RANGES[0]], positions, limit)
-        again = lambda rows: _cut(rows, [*self.keys, _RANGES[0]], positions, second, _RANGES[1], "left")
-        self.hot = again(hot)
-        if drop_copies:
-            self.hot = self.hot.distinct()
-            cold = df.join(F.broadcast(first), _on(self.keys, "__k"), "left_anti")
-            rows = cold.withColumns({r: F.lit(0).cast("bigint") for r in _RANGES}).unionByName(self.hot)
-        else:
-            rows = again(_cut(df, self.keys, positions, first, _RANGES[0], "left"))
+        second = _hot(_spans(hot, [*self.keys, _RANGES[0]], positions), len(self.keys) + 1, limit)
+        rows = _cut(_cut(df, self.keys, positions, first, _RANGES[0], "left"), [*self.keys, _RANGES[0]], positions, second, _RANGES[1], "left")
         # An explicit exchange by key and range: were the rows already clustered by key, Spark would
         # take that as good enough for the window and leave a hot key in one task.
         self.rows = rows.repartition(*self.groups)
+        hot_keys = first.select(*[f"__k{i}" for i in range(len(self.keys))])
+        self.hot = self.rows.join(F.broadcast(hot_keys), _on(self.keys, "__k"), "left_semi")
 
     def window(self):
         return Window.partitionBy(*self.groups).orderBy(*self.order_cols)
@@ -144,16 +150,15 @@ class RangeCut:
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_cols: Sequence[str],
-                 name: str, min_rows: int | None = None, drop_copies: bool = False) -> DataFrame:
+                 name: str, min_rows: int | None = None) -> DataFrame:
     """Add ``name``: a struct of the previous row's ``value_cols`` in key order, null on the first row.
 
-    ``drop_copies`` lets a hot key's exact copies of a row be dropped, for callers to whom a row
-    that equals the one before means nothing.
+    Rows alike in all order columns come in the order of their values.
     """
-    cut = RangeCut(df, keys, order_cols, min_rows, drop_copies)
+    cut = RangeCut(df, keys, order_cols, min_rows, value_cols)
     values = F.struct(*value_cols)
     rows = cut.rows.withColumn(name, F.lag(values).over(cut.window()))
-    carried = cut.carried(F.max_by(values, F.struct(*order_cols)), lambda p, w: F.lag(p).over(w))
+    carried = cut.carried(F.max_by(values, F.struct(*cut.order_cols)), lambda p, w: F.lag(p).over(w))
     out = cut.attach(rows, carried)
     return out.withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.states import effective_container_state
 from ..functions.text import TAG_NAMES
-from ..plans.groups import bounded_groups
+from ..plans.groups import nested
 
 
 def inventory_scan(reservations: DataFrame, tag_prefix: str) -> DataFrame:
@@ -29,10 +29,9 @@ def available_groups(groups: DataFrame, state_col: str, name_col: str, wanted: s
 
 def price_history_scan(prices: DataFrame, types_df: DataFrame, zone: str, product: str, since) -> DataFrame:
     """Prices of the wanted types in a zone from ``since`` on, by time. No types, no rows."""
-    wanted = types_df.select("instance_type").distinct()
     picked = prices.where(
         (F.col("zone") == zone) & (F.col("product") == product) & (F.col("ts") >= F.lit(since).cast(prices.schema["ts"].dataType)))
-    return picked.join(wanted, "instance_type", "left_semi").orderBy("ts", *[c for c in prices.columns if c != "ts"])
+    return picked.join(types_df.select("instance_type"), "instance_type", "left_semi").orderBy("ts", *[c for c in prices.columns if c != "ts"])
 
 
 APP_HISTORY = T.StructType([
@@ -81,11 +80,10 @@ def _instance_struct(instances: DataFrame) -> Column:
     return F.struct(*fields)
 
 
-def cluster_snapshot(clusters: DataFrame, instances: DataFrame, max_workers: int | None = None) -> DataFrame:
-    """Each cluster with a ``master`` struct and a ``workers`` array.
+def cluster_snapshot(clusters: DataFrame, instances: DataFrame, part_size: int) -> DataFrame:
+    """Each cluster with a ``master`` struct and a ``workers`` array, in rows of about ``part_size`` workers.
 
-    A cluster with more than ``max_workers`` workers is given in several rows, numbered ``part``
-    of ``parts``, each repeating the cluster and its master.
+    Rows are numbered ``part`` of ``parts``, each repeating the cluster and its master; a cluster of up to that size is one row.
     """
     member = _instance_struct(instances)
     masters = instances.where(F.col("role") == "Master").groupBy("cluster_id").agg(
@@ -95,7 +93,7 @@ def cluster_snapshot(clusters: DataFrame, instances: DataFrame, max_workers: int
     # One row without a worker per cluster, so that every cluster comes out of the grouping and the
     # join below can be an inner one, which Spark can split at a cluster with very many parts.
     seats = workers.unionByName(clusters.select("cluster_id", F.lit("").alias("instance_id"), nobody.alias("worker")))
-    groups = bounded_groups(seats, "cluster_id", "instance_id", F.col("worker"), max_workers)
+    groups = nested(seats, "cluster_id", "instance_id", F.col("worker"), part_size)
     return groups.select("cluster_id", "part", "parts", F.col("members").alias("workers")).join(
         clusters.join(masters, "cluster_id", "left"), "cluster_id").select(
         *clusters.columns, "master", "workers", "part", "parts")

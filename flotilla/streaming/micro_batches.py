@@ -19,6 +19,14 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 POLL_INTERVAL = "5 seconds"
 TIMEOUT_INTERVAL = "1 minute"
 
+
+
+def seconds_of(interval: str) -> int:
+    """``"5 seconds"`` is 5, ``"1 minute"`` 60."""
+    number, unit = interval.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
+
+
 Step = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
 
 
@@ -40,16 +48,23 @@ class TableState:
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._slot(batch_id))
 
 
-def stepwise(stream: DataFrame, state: TableState, out_path: str, step: Step) -> DataStreamWriter:
-    """A writer that maps each micro-batch and the state before it to output rows and the next state."""
+def stepwise(stream: DataFrame, state: TableState, out_path: str, step: Step,
+             written: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A writer that maps each micro-batch and the state before it to output rows and the next state.
+
+    ``written`` gets the output, read from where it was written, and the batch id, once the state is saved too.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
             out, after = step(batch, state.before(spark, batch_id), batch_id)
-            out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            place = f"{out_path}/batch={batch_id}"
+            out.write.mode("overwrite").parquet(place)
             state.save(after, batch_id)
+            if written is not None:
+                written(spark.read.schema(out.schema).parquet(place), batch_id)
         finally:
             batch.unpersist()
 

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import fleet, logs, totals
-from ..plans.hot_keys import previous_row
-from .micro_batches import TableState, stepwise
+from ..plans.hot_keys import join_unique, previous_row
+from .micro_batches import TIMEOUT_INTERVAL, TableState, seconds_of, stepwise
 
 
 def _with_carry(batch: DataFrame, state: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -36,20 +36,32 @@ def stream_change_events(stream: DataFrame, key: str, prop_cols: Sequence[str],
 
     def step(batch: DataFrame, state: DataFrame, _batch_id: int):
         rows = _with_carry(batch, state, cols)
-        seen = previous_row(rows, [key], order_cols, prop_cols, "prev", min_hot_rows, drop_copies=True)
+        seen = previous_row(rows, [key], order_cols, prop_cols, "prev", min_hot_rows)
         changes = seen.where(~F.col("old")).select(key, *order_cols, F.inline(logs._changes(prop_cols, set_only)))
         return changes, _last_rows(rows, [key], cols, order_cols)
 
     return stepwise(stream, TableState(state_path, _part(stream.schema, cols)), out_path, step)
 
 
-def stream_latest_state(stream: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
-    """``latest_state`` as a running aggregate; write it in complete or update mode."""
-    return logs.latest_state(stream, key, order_cols)
+def stream_latest_state(stream: DataFrame, key: str, order_cols: Sequence[str], state_path: str, out_path: str) -> DataStreamWriter:
+    """``latest_state`` of the entities that a micro-batch names, with its ``batch_id``; an entity's last row counts.
+
+    The state is the part of the log that still matters: of an entity that is there, the add that it is known from and the last row of
+    each kind after it; of one that isn't, its last remove.
+    """
+    cols = list(dict.fromkeys([key, *order_cols, "kind", "val", *(["error"] if "error" in stream.columns else [])]))
+
+    def step(batch: DataFrame, state: DataFrame, batch_id: int):
+        rows = state.select(*cols).unionByName(batch.select(*cols))
+        named = batch.select(key).distinct()
+        out = logs.latest_state(rows, key, order_cols).join(named, key, "left_semi").withColumn("batch_id", F.lit(batch_id))
+        return out, logs.live_rows(rows, key, order_cols).select(*cols)
+
+    return stepwise(stream, TableState(state_path, _part(stream.schema, cols)), out_path, step)
 
 
 def stream_snapshot_diff(stream: DataFrame, key: str, poll_col: str, state_path: str, out_path: str) -> DataStreamWriter:
-    """Added and removed keys of each poll against the poll numbered before it.
+    """Added and removed keys of each poll against the last one before it; a row with a null key marks a poll, see ``poll_diff``.
 
     A micro-batch must hold whole polls: land a poll's files together, or one poll per file with
     ``maxFilesPerTrigger``. The state is the last poll.
@@ -62,30 +74,47 @@ def stream_snapshot_diff(stream: DataFrame, key: str, poll_col: str, state_path:
     return stepwise(stream, TableState(state_path, _part(stream.schema, [key, poll_col])), out_path, step)
 
 
-def stream_timeout(stream: DataFrame, clusters: DataFrame, state_path: str, out_path: str,
+def stream_timeout(stream: DataFrame, clusters: Callable[[], DataFrame], state_path: str, out_path: str,
                    now_fn: Callable[[int], object]) -> DataStreamWriter:
-    """``timeout_verdict`` after every micro-batch of application runs, at ``now_fn(batch_id)``.
+    """``timeout_verdict`` of all clusters in every micro-batch, at ``now_fn(batch_id)``.
 
-    The state is, per cluster, one row for its last completed run and one for its active runs.
-    Only the verdicts that are not null are written, with the ``batch_id`` that reached them.
+    The stream has application histories: rows of one ``cluster_id`` and ``seen_at`` are one reading of a cluster's
+    history, a row with null ``start_at`` being one without runs, and the last reading alone counts. Rows with a null
+    ``cluster_id`` are ticks: they say nothing but make a micro-batch, so that quiet clusters are judged too (see ``ticking``).
+    ``clusters`` is asked for the clusters of the moment each time. The state is, of each cluster's last reading, one row for the
+    last completed run and one for active runs. Only verdicts that are not null are written, with the ``batch_id`` that reached them.
     """
-    cols = ["cluster_id", "start_at", "duration_ms", "active"]
+    cols = ["cluster_id", "seen_at", "start_at", "duration_ms", "active"]
 
     def step(batch: DataFrame, state: DataFrame, batch_id: int):
-        runs = state.unionByName(batch.select(*cols))
-        end = F.unix_micros(F.col("start_at").cast("timestamp")) + F.col("duration_ms") * 1000
-        after = runs.groupBy("cluster_id", "active").agg(F.max_by(F.struct(*cols), end).alias("r")).select("r.*")
-        verdicts = totals.timeout_verdict(clusters, runs, now_fn(batch_id)).where("verdict is not null")
+        readings = state.unionByName(batch.select(*cols).where("cluster_id is not null"))
+        latest = readings.groupBy("cluster_id").agg(F.max("seen_at").alias("latest"))
+        current = join_unique(readings, latest, "cluster_id", "inner").where("seen_at = latest").select(*cols)
+        end = F.coalesce(F.unix_micros(F.col("start_at").cast("timestamp")) + F.col("duration_ms") * 1000, F.lit(0))
+        after = current.groupBy("cluster_id", "active").agg(F.max_by(F.struct(*cols), end).alias("r")).select("r.*")
+        runs = after.where("start_at is not null")
+        verdicts = totals.timeout_verdict(clusters(), runs, now_fn(batch_id)).where("verdict is not null")
         return verdicts.withColumn("batch_id", F.lit(batch_id)), after
 
     return stepwise(stream, TableState(state_path, _part(stream.schema, cols)), out_path, step)
 
 
+def ticking(stream: DataFrame, every: str = TIMEOUT_INTERVAL) -> DataFrame:
+    """``stream`` with a row of nulls every so often, by a rate source: something arrives even when nothing happens."""
+    seconds = seconds_of(every)
+    ticks = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % seconds == 0)
+    return stream.unionByName(ticks.select(*[F.lit(None).cast(field.dataType).alias(field.name) for field in stream.schema]))
+
+
 def stream_sequence_gaps(stream: DataFrame, server_col: str, no_col: str, state_path: str, out_path: str,
                          stream_cols: Sequence[str] | None = None, order_cols: Sequence[str] | None = None,
                          on_gap: Callable[[DataFrame, int], None] | None = None,
                          min_hot_rows: int | None = None) -> DataStreamWriter:
-    """``sequence_gaps`` on a stream; ``on_gap`` gets each batch's gaps, to reload a snapshot."""
+    """``sequence_gaps`` on a stream; ``on_gap`` gets each batch's gaps as written, to reload a snapshot.
+
+    It is called after the batch's output and state are saved, with the batch id: a replay calls it again with that id
+    and the same rows, so what it does should be keyed on the id.
+    """
     keys = list(stream_cols) if stream_cols else [server_col]
     order = list(order_cols) if order_cols else [no_col]
     cols = list(dict.fromkeys([*keys, *order, server_col, no_col]))
@@ -94,11 +123,9 @@ def stream_sequence_gaps(stream: DataFrame, server_col: str, no_col: str, state_
         rows = _with_carry(batch, state, cols)
         seen = previous_row(rows, keys, order, [server_col, no_col], "prev", min_hot_rows)
         gaps = logs.flag_gaps(seen.where(~F.col("old")), server_col, no_col).drop("old")
-        if on_gap is not None:
-            on_gap(gaps, batch_id)
         return gaps, _last_rows(rows, keys, cols, order)
 
-    return stepwise(stream, TableState(state_path, _part(stream.schema, cols)), out_path, step)
+    return stepwise(stream, TableState(state_path, _part(stream.schema, cols)), out_path, step, on_gap)
 
 
 def stream_collect_first(stream: DataFrame, key: str, predicate: Column, value: Column, order_cols: Sequence[str],

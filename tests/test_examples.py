@@ -128,10 +128,15 @@ def test_latest_state_forgets_what_was_before_a_remove(spark):
         ("c", 1, "ClustersAdded", None, None), ("c", 2, "DockerImageChangeRequest", "i2", None),
         ("c", 3, "DockerImageChangeAttempt", "i2", None), ("c", 4, "InstanceDockerImage", "ignored", None),
         ("d", 1, "InstanceState", "Running", None), ("e", 1, "WorkersRemoved", None, None),
+        ("f", 1, "InstanceState", "early", None), ("f", 2, "WorkersAdded", None, None),
+        ("g", 1, "WorkersAdded", None, None), ("g", 2, "WorkersRemoved", None, None), ("g", 3, "InstanceState", "ghost", None),
+        ("h", 1, "WorkersAdded", None, None), ("h", 2, "WorkersRemoved", None, None), ("h", 3, "InstanceState", "between", None),
+        ("h", 4, "WorkersAdded", None, None),
     ], "id string, no int, kind string, val string, error string")
     got = table(logs.latest_state(log, "id", ["no"]), "id", "present", "state", "ip_address", "image", "image_change_in_progress")
     assert got == [("a", True, None, "ip", None, False), ("b", True, None, None, None, True),
-                   ("c", True, None, None, "i2", False), ("e", False, None, None, None, False)]
+                   ("c", True, None, None, "i2", False), ("e", False, None, None, None, False), ("f", True, None, None, None, False),
+                   ("g", False, None, None, None, False), ("h", True, None, None, None, False)]
 
 
 def test_snapshot_apply_columns(spark):
@@ -152,7 +157,7 @@ def test_snapshot_diff_invariants(inputs):
 
 
 def test_folding_poll_diffs_gives_the_last_poll(inputs):
-    polls = inputs.view("poll")
+    polls = inputs.view("poll").where("poll_no <> 11")  # one that found nothing would be the end of all before it
     first, last = polls.agg(F.min("poll_no"), F.max("poll_no")).first()
     start = polls.where(F.col("poll_no") == first).select("id", F.lit(0).alias("no"), F.lit("WorkersAdded").alias("kind"))
     diffs = fleet.poll_diff(polls, "id", "poll_no").select(

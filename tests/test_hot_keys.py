@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flotilla.functions.states import allowed_transitions
 from flotilla.operators import fleet, logs, prices
 from flotilla.plans import hot_keys
+from flotilla.plans.groups import nested
 from flotilla.sources.inventory import cluster_snapshot
 
 MIN_ROWS = 20
@@ -98,29 +99,34 @@ def test_one_moment_is_cut_by_the_next_column(spark):
     assert cut.hot.groupBy("__range1", "__range2").count().agg(F.max("count")).first()[0] <= 50
 
 
-def test_copies_of_one_row(spark):
-    rows_in = spark.createDataFrame([(1, 5, "a")] * 300 + [(1, 6, "b"), (2, 1, "a")], "k bigint, at bigint, v string")
-    changes = logs.change_events(rows_in, "k", ["v"], ["at"], min_hot_rows=MIN_ROWS)
-    assert rows(changes) == rows(spark.createDataFrame(
-        [(1, 5, "v", "a"), (1, 6, "v", "b"), (2, 1, "v", "a")], "k bigint, at bigint, property string, value string"))
-    numbered = logs.message_number(rows_in, "k", ["at"], min_hot_rows=MIN_ROWS).where("k = 1")
-    assert sorted(r["message_no"] for r in numbered.collect()) == list(range(1, 302))
+def test_ties_copies_and_nulls_are_alike_hot_and_cold(spark):
+    """Rows of a key at one moment, copies among them, give the same changes whatever counts as hot."""
+    pattern = ["a", "b", "a", "a", "b", None]
+    rows_in = spark.createDataFrame(
+        [(1, 5, pattern[i % 6]) for i in range(120)] + [(1, 6, "b"), (1, None, "c"), (2, 1, "a"), (2, 1, "a"), (None, 3, "z")], "k bigint, at bigint, v string")
+    cold = logs.change_events(rows_in, "k", ["v"], ["at"], min_hot_rows=10**9)
+    hot = logs.change_events(rows_in, "k", ["v"], ["at"], min_hot_rows=1)
+    assert rows(cold) == rows(hot)
+    assert cold.where("k = 1").count() == 4  # c, then null, a and b at moment 5; b goes on at 6
+    numbered = logs.message_number(rows_in, "k", ["at"], min_hot_rows=1).where("k = 1")
+    assert sorted(r["message_no"] for r in numbered.collect()) == list(range(1, 123))
 
 
 def test_groups_have_bounded_parts(inputs):
     instances = inputs.view("instance_fact").withColumn("cluster_id", F.expr("case when cluster_id % 3 = 0 then 3 else cluster_id end"))
-    groups = fleet.group_members(instances, "cluster_id", max_members=50).cache()
+    members = fleet.group_members(instances, "cluster_id")
+    assert rows(members.select("cluster_id", "instance_id")) == rows(instances.select("cluster_id", "instance_id"))
+    groups = nested(members, "cluster_id", "instance_id", F.col("instance_id"), 50).cache()
     assert groups.where("parts > 1").count() > 1
     assert groups.agg(F.max(F.size("members"))).first()[0] < 200
-    members = groups.select("cluster_id", F.explode("members").alias("instance_id"))
-    assert rows(members) == rows(instances.select("cluster_id", "instance_id"))
+    assert rows(groups.select("cluster_id", F.explode("members").alias("instance_id"))) == rows(members.select("cluster_id", "instance_id"))
     assert groups.groupBy("cluster_id").agg(F.sum(F.size("members")).alias("s"), F.max("n").alias("n")).where("s <> n").count() == 0
 
 
 def test_large_cluster_snapshot_comes_in_parts(inputs):
     instances = inputs.view("instance_fact").withColumn("cluster_id", F.expr("case when cluster_id % 3 = 0 then 3 else cluster_id end"))
     clusters = inputs.view("cluster_dim")
-    shown = cluster_snapshot(clusters, instances, max_workers=50).cache()
+    shown = cluster_snapshot(clusters, instances, part_size=50).cache()
     assert shown.select("cluster_id").distinct().count() == clusters.count()
     assert shown.where("cluster_id = 3").count() > 1
     workers = shown.select("cluster_id", F.explode("workers.instance_id").alias("instance_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flotilla.operators import fleet, logs, totals
+from flotilla.operators.sets import dedupe_last
 from flotilla.sources.inventory import snapshot_stream
 from flotilla.streaming import streams
 from flotilla.streaming.micro_batches import TableState, output, run_to_end, stepwise
@@ -66,11 +67,11 @@ def test_change_events(spark, folder, land, inputs, hot):
 
 def test_latest_state(spark, folder, land, inputs):
     log = inputs.view("fold_log")
-    current = streams.stream_latest_state(land(log, DAYS, F.col("ts")), "entity_id", ORDER)
-    writer = current.writeStream.outputMode("complete").foreachBatch(
-        lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+    log = log.select("entity_id", *ORDER, "kind", "val", "error")
+    writer = streams.stream_latest_state(land(log, DAYS, F.col("ts")), "entity_id", ORDER, f"{folder}/state", f"{folder}/out")
     want = logs.latest_state(log, "entity_id", ORDER)
-    assert rows(finish(spark, folder, writer, want.schema)) == rows(want)
+    got = finish(spark, folder, writer, T.StructType([*want.schema.fields, T.StructField("batch_id", T.IntegerType())]))
+    assert rows(dedupe_last(got, "entity_id", ["batch_id"]).drop("batch_id")) == rows(want)
 
 
 def test_snapshot_diff(spark, folder, land, inputs):
@@ -81,17 +82,46 @@ def test_snapshot_diff(spark, folder, land, inputs):
 
 
 def test_timeout(spark, folder, land, inputs):
-    runs, clusters = inputs.view("app_run"), inputs.view("app_cluster")
+    runs, clusters = inputs.view("app_reading"), inputs.view("app_cluster")
     now = lambda batch_id: datetime.datetime(2024, 1, 28 + batch_id, 12) if batch_id < 3 else datetime.datetime(2024, 1, 30, 12)
-    writer = streams.stream_timeout(land(runs, DAYS, F.col("start_at")), clusters, f"{folder}/state", f"{folder}/out", now)
+    writer = streams.stream_timeout(land(runs, DAYS, F.col("start_at")), lambda: clusters, f"{folder}/state", f"{folder}/out", now)
     got = finish(spark, folder, writer, "cluster_id bigint, verdict string, batch_id int")
     seen = runs
     for batch_id, end in enumerate([*DAYS, None]):
         seen = runs if end is None else runs.where(F.col("start_at") < F.lit(end))
-        want = totals.timeout_verdict(clusters, seen, now(batch_id)).where("verdict is not null")
+        latest = seen.groupBy("cluster_id").agg(F.max("seen_at").alias("seen_at"))
+        want = totals.timeout_verdict(clusters, seen.join(latest, ["cluster_id", "seen_at"]), now(batch_id)).where("verdict is not null")
         assert rows(got.where(F.col("batch_id") == batch_id).drop("batch_id")) == rows(want)
 
 
+def test_timeout_of_what_ended_and_of_quiet_clusters(spark, folder):
+    """An active run that has ended, a fleet from which nothing comes but ticks, and a cluster launched on the way."""
+    at = lambda day, hour=0: datetime.datetime(2024, 1, day, hour)
+    schema = "cluster_id int, seen_at timestamp, start_at timestamp, duration_ms long, active boolean"
+    batches = [
+        [(1, at(1), at(1), 1000, True), (2, at(1), at(1), 3_600_000, False)],
+        [(1, at(2), at(1), 1000, False), (3, at(2), None, None, None)],
+        [(None, None, None, None, None)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+    kind = "cluster_id int, launched_at timestamp, ttl_hours int, idle_minutes int, master_address string, master_state string, master_container string"
+    fleet_now = [(i, at(1), None, 60, "a", "Running", "ContainerRunning") for i in (1, 2, 3)]
+    calls = []
+
+    def clusters():
+        calls.append(1)
+        late = [(4, at(3), 1, None, "a", "Running", "ContainerRunning")] if len(calls) == 3 else []
+        return spark.createDataFrame(fleet_now + late, kind)
+
+    now = lambda batch_id: [at(1, 1), at(2), at(4)][batch_id]
+    got = finish(spark, folder, streams.stream_timeout(stream, clusters, f"{folder}/state", f"{folder}/out", now), "cluster_id int, verdict string, batch_id int")
+    assert sorted(tuple(r) for r in got.select("batch_id", "cluster_id", "verdict").collect()) == [
+        (1, 1, "IdleTimeout"), (1, 2, "IdleTimeout"), (1, 3, "IdleTimeout"),
+        (2, 1, "IdleTimeout"), (2, 2, "IdleTimeout"), (2, 3, "IdleTimeout"), (2, 4, "TTLExpired")]
+
+
 @pytest.mark.parametrize("per_client", [False, True])
 def test_sequence_gaps(spark, folder, land, inputs, per_client):
     log = inputs.view("client_log")
