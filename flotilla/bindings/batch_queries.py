@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.states import CONTAINER_STATES, INSTANCE_STATES, allowed_transitions, effective_matrix, legal_moves
+from ..functions.states import CONTAINER_STATES, INSTANCE_STATES, allowed_transitions
 from ..operators import fleet, logs, lookups, prices, requests, sets, states, tags, totals
 from .registry import query
 from .views import NOW, Inputs
@@ -14,12 +14,16 @@ PREFIX = "x:"
 _NTZ = "timestamp_ntz"
 
 
-def _values(rows, columns: str) -> str:
-    body = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
-    return f"(select * from (values {body}) v({columns}))"
-
-
-EFFECTIVE = _values(effective_matrix(), "container_state, state, effective_state")
+# The effective container state by container state (rows) and instance state (columns).
+EFFECTIVE = """(
+  select container_state, unnest(['Pending', 'Starting', 'Running', 'Terminating', 'Terminated']) as state,
+         'Container' || unnest(cells) as effective_state
+  from (values
+    ('ContainerPending',  ['Pending', 'Pending',  'Pending',  'Stopping', 'Stopped']),
+    ('ContainerStarting', ['Pending', 'Starting', 'Starting', 'Stopping', 'Stopped']),
+    ('ContainerRunning',  ['Pending', 'Starting', 'Running',  'Stopping', 'Stopped']),
+    ('ContainerStopping', ['Stopped', 'Stopping', 'Stopping', 'Stopping', 'Stopped']),
+    ('ContainerStopped',  ['Stopped', 'Stopped',  'Stopped',  'Stopped',  'Stopped'])) v(container_state, cells))"""
 SPEC_NULLS = "cast(null as string)"
 
 
@@ -598,14 +602,13 @@ def message_number(t: Inputs) -> DataFrame:
 
 SEQUENCE_GAPS = """
 select server_id, message_no, prev_no, 'out of sequence' as gap from (
-  select server_id, message_no, lag(message_no) over (partition by server_id order by message_no) as prev_no from message_log) l
+  select server_id, message_no, lag(message_no) over (partition by server_id order by message_no) as prev_no from gapped_log) l
 where message_no <> prev_no + 1"""
 
 
 @query("sequence_gaps", SEQUENCE_GAPS)
 def sequence_gaps(t: Inputs) -> DataFrame:
-    log = t.landed("message_log", "server_id", "message_no")
-    return logs.sequence_gaps(log, "server_id", "message_no").select(
+    return logs.sequence_gaps(t.view("gapped_log").select("server_id", "message_no"), "server_id", "message_no").select(
         "server_id", "message_no", "prev_no", "gap")
 
 
@@ -619,7 +622,7 @@ where prev_server <> server_id or message_no <> prev_no + 1"""
 
 @query("client_sequence_gaps", CLIENT_GAPS)
 def client_sequence_gaps(t: Inputs) -> DataFrame:
-    log = t.landed("client_log", "client_id", "ts", "event_id", "server_id", "message_no")
+    log = t.view("client_log")
     return logs.sequence_gaps(
         log, "server_id", "message_no", ["client_id"], ["ts", "event_id"]).drop("ts")
 
@@ -680,14 +683,22 @@ def find_first(t: Inputs) -> DataFrame:
     return sets.find_first(rows, "cluster_id", ["launched_at", "instance_id"], F.col("role") == "Master").drop("role")
 
 
-@query("validate_transitions", f"""
-with moves as {_values(legal_moves(), "a, b, c, d")}
+@query("validate_transitions", """
 select * from (
   select instance_id, ts, event_id, lag(state) over w as from_state, lag(container_state) over w as from_container,
          state as to_state, container_state as to_container
   from state_history window w as (partition by instance_id order by ts, event_id)) h
 where from_state is not null and (from_state <> to_state or from_container <> to_container)
-  and not exists (select 1 from moves where a = from_state and b = from_container and c = to_state and d = to_container)""")
+  and not (to_state = from_state and to_container = 'ContainerStopping')
+  and (to_state, to_container) is distinct from case
+    when from_container = 'ContainerStopping' then ('Running', 'ContainerStopped')
+    when from_state = 'Running' and from_container = 'ContainerStopped' then ('Terminating', 'ContainerStopped')
+    when from_state = 'Pending' then ('Starting', 'ContainerPending')
+    when from_state = 'Starting' then ('Running', 'ContainerPending')
+    when from_state = 'Running' and from_container = 'ContainerPending' then ('Running', 'ContainerStarting')
+    when from_state = 'Running' and from_container = 'ContainerStarting' then ('Running', 'ContainerRunning')
+    when from_state = 'Terminating' then ('Terminated', 'ContainerStopped')
+    else (from_state, from_container) end""")
 def validate_transitions(t: Inputs) -> DataFrame:
     return logs.validate_transitions(
         t.view("state_history"), "instance_id", ["state", "container_state"], allowed_transitions(t.spark), ["ts", "event_id"])

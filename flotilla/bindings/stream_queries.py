@@ -79,7 +79,7 @@ def stream_timeout(t: Inputs) -> DataFrame:
 @query("stream_sequence_gaps", SEQUENCE_GAPS)
 def stream_sequence_gaps(t: Inputs) -> DataFrame:
     # Only a batch can number the log, so it is landed first.
-    log = t.landed("message_log", "server_id", "message_no", stream=True)
+    log = t.landed("gapped_log", "server_id", "message_no", stream=True)
     return _finish(
         t, "gaps",
         lambda state, out: streams.stream_sequence_gaps(log, "server_id", "message_no", state, out),
@@ -89,7 +89,7 @@ def stream_sequence_gaps(t: Inputs) -> DataFrame:
 @query("stream_collect_first", COLLECT_FIRST)
 def stream_collect_first(t: Inputs) -> DataFrame:
     # The log's numbers are not needed here, and only a batch can number it.
-    events = t.stream().table("events").where("event_id % 97 <> 0")
+    events = t.stream().table("events")
     log = events.selectExpr(
         "user_id as entity_id", "case event_type when 'click' then 'InstanceState' else 'other' end as kind",
         "concat('v', cast(floor(value) as int) % 5) as val", "ts", "event_id")

@@ -133,9 +133,12 @@ select event_id, ts, concat('srv-', user_id % 4) as server_id, message_no,
             when 'signup' then 'InstanceDockerImage' when 'purchase' then 'WorkersAdded'
             else 'WorkersRemoved' end as kind,
        user_id as entity_id, concat('v', cast(floor(value) as int) % 5) as val
-from numbered_event where event_id % 97 <> 0""",
+from numbered_event""",
+    # what was lost on the way
+    "gapped_log": """
+select * from message_log where event_id % 97 <> 0""",
     "client_log": """
-select event_id, ts, concat('client-', entity_id % 40) as client_id, server_id, message_no from message_log""",
+select event_id, ts, concat('client-', entity_id % 40) as client_id, server_id, message_no from gapped_log""",
     "fold_log": """
 select event_id, ts, user_id as entity_id,
        case cast(floor(value * 100) as bigint) % 9
@@ -251,11 +254,11 @@ from events""",
     "snapshot_prev": """
 select user_id as id, event_type as state, case when value >= 5 then value end as address from (
   select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events
-  where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-06 00:00:00') d where rn = 1""",
+  where ts < timestamp '2024-01-15 00:00:00') d where rn = 1 and event_type <> 'error'""",
     "snapshot_cur": """
 select user_id as id, event_type as state, case when value >= 5 then value end as address from (
-  select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events
-  where ts >= timestamp '2024-01-06 00:00:00' and ts < timestamp '2024-01-07 00:00:00') d where rn = 1""",
+  select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) d
+where rn = 1 and event_type <> 'error'""",
     "fleet_prev": """
 select id, id % 50 as cluster_id, case when id < 50 then 'Master' else 'Worker' end as role, state, address from snapshot_prev""",
     "fleet_cur": """

@@ -71,7 +71,7 @@ def test_operators_agree_with_and_without_splitting(spark, skewed, inputs):
     for run in (
         lambda n: logs.change_events(known, "instance_id", ["state", "container_state"], order, min_hot_rows=n),
         lambda n: logs.message_number(known.withColumn("s", F.lit("one")), "s", order, min_hot_rows=n),
-        lambda n: logs.sequence_gaps(inputs.view("message_log"), "server_id", "message_no", min_hot_rows=n),
+        lambda n: logs.sequence_gaps(inputs.view("gapped_log"), "server_id", "message_no", min_hot_rows=n),
         lambda n: logs.validate_transitions(known, "instance_id", ["state", "container_state"], moves, order, min_hot_rows=n),
         lambda n: prices.price_asof(
             inputs.view("price_probe"), inputs.view("price_history"), ["instance_type", "zone"], "ts", min_hot_rows=n),
