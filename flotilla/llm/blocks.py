@@ -39,7 +39,7 @@ def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> i
 def with_blocks(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Add ``block``: the range of ``key`` that a row is in, ascending, 0 for null."""
     bounds = rows.stat.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
+    splits = [-math.inf, *(sorted(set(bounds)) or [0.0]), math.inf]
     whole = Bucketizer(splits=splits, inputCol="__key", outputCol="__block").transform(
         rows.withColumn("__key", F.coalesce(F.col(key), F.lit(LEAST)).cast("double")))
     return whole.withColumn("block", F.col("__block").cast("int")).drop("__key", "__block")
@@ -50,14 +50,29 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps between them, in as many bytes as the largest gap needs."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    gaps = np.zeros((len(body) + 1, 8), np.uint8)
+    gaps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    gaps[1:, :data[0]] = body
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def questions(block: int, keys: np.ndarray, buckets: int, phase: int = 0, counts: np.ndarray | None = None) -> pa.Table:
     """Rows of ASKED for sorted distinct ``keys``, with a number for each (how often the block has it, say) if that is asked."""
     cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cuts))
-    sent = lambda values: [values[cuts[b]:cuts[b + 1]].tobytes() for b in full]
+    parts = lambda values: [values[cuts[b]:cuts[b + 1]] for b in full]
     same = lambda value: pa.array(np.full(len(full), value), pa.int32())
-    return pa.table([pa.array(full, pa.int32()), same(block), same(phase), pa.array(sent(keys), pa.binary()),
-                     pa.array([None] * len(full) if counts is None else sent(counts), pa.binary())], schema=ASKED_SCHEMA)
+    return pa.table([pa.array(full, pa.int32()), same(block), same(phase), pa.array(map(packed, parts(keys)), pa.binary()),
+                     pa.array([None] * len(full) if counts is None else [x.tobytes() for x in parts(counts)], pa.binary())], schema=ASKED_SCHEMA)
 
 
 def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None, sent: np.dtype = np.uint32) -> DataFrame:
@@ -71,7 +86,7 @@ def answers(asked: DataFrame, answer: Answer, width: np.dtype | None = None, sen
         out: dict[str, list] = {"block": [], "bucket": [], "phase": [], "answer": []}
         for phase in np.unique(group["phase"].to_numpy()):
             part = group.filter(pc.equal(group["phase"], int(phase)))
-            held = [np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()]
+            held = [unpacked(x) for x in part["keys"].to_pylist()]
             sizes = np.array([len(x) for x in held])
             keys, blocks = np.concatenate(held), np.repeat(part["block"].to_numpy(), sizes)
             order = np.argsort(keys, kind="stable")
