@@ -302,3 +302,34 @@ def test_no_rows(no_docs, ready):
     for result in (phrase_dedup.remove_repeats(no_docs), suffix_dedup.remove_repeats(no_docs), minhash.near_duplicates(no_docs), minhash.drop_near_duplicates(no_docs),
                    fertility.judged(no_docs), lm_scores.scores(no_docs), mixing.mix(no_docs), mixing.repeated(no_docs), pieces.decoded(pieces.encoded(no_docs)), line_crf.scored(no_docs, model)):
         assert result.collect() == []
+
+
+def test_workers_that_forget(monkeypatch, rows):
+    """Dropping remembered words changes nothing."""
+    from pathlib import Path
+
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 60)
+    monkeypatch.setattr(fertility, "REMEMBERED", 60)
+    texts = [r[1] for r in rows if r[1]]
+    model = Path(pieces.MODEL).read_bytes()
+    codec, own = pieces._Codec(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    files = Path(fertility.VOCABULARY).read_bytes(), Path(fertility.PIECES).read_bytes()
+    worker = fertility._Vocabularies(*files)
+    for text in texts[:40]:
+        ids, ends, same = codec.encode([text, text])
+        assert [list(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)] == own.encode([text, text]) and same.all()
+        found = fertility.measures([text.encode()], [None], worker, fertility.BANDS)
+        fresh = fertility.measures([text.encode()], [None], fertility._Vocabularies(*files), fertility.BANDS) if len(text) < 300 else found
+        assert all(np.array_equal(found[name], fresh[name]) for name in found)
+    assert len(codec.known) < 500
+
+
+def test_sorted_keys_travel_as_gaps():
+    from flotilla.llm.blocks import packed, unpacked
+
+    rnd = np.random.default_rng(4)
+    for keys in ([0], [2**64 - 1], [0, 2**64 - 1], [5, 6, 7], rnd.integers(0, 2**64, 5000, dtype=np.uint64), rnd.integers(0, 2**40, 300)):
+        keys = np.unique(np.array(keys, np.uint64))
+        assert np.array_equal(unpacked(packed(keys)), keys)
