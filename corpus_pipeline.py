@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every row, checked by decoding them again."""
-    back = pieces.decoded(pieces.encoded(docs.select("doc_id", "lang", "source", "text")))
+    back = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), decode=True)
     return back.select("doc_id", "lang", "source", "ids", "n_tokens", "n_byte_tokens", "parity",
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

@@ -27,8 +27,9 @@ from . import words as W
 from .tables import unwrapped, wrapped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that a worker remembers at most; then it starts over.
-REMEMBERED = 400_000
+#: Words that a worker remembers at most; then it keeps those that came again.
+REMEMBERED = 200_000
+CHUNK_BYTES = 1 << 20
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values: trainer_spec.model_type
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # fixed values: piece.type
@@ -68,6 +69,11 @@ def rebuilt(model: bytes) -> Tokenizer:
     return made
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class _Codec:
     def __init__(self, model: bytes):
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
@@ -81,33 +87,47 @@ class _Codec:
         self.other = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.is_byte = np.array([kind == BYTE for kind in kinds])
         self.data = [bytes([int(n[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(names, kinds, strict=True)]
-        self._forget()
+        self.lone = [self.other.piece_to_id(SPACE)]
+        self.known: dict[str, int] = {}
+        self.sizes, self.hits, self.agrees, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes, self.agrees, self.ids = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
+        """Keep the words that came again, nothing else."""
+        often = np.flatnonzero(self.hits > 1)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = self.ids[_spans(starts[often], self.sizes[often])]
+        self.sizes, self.agrees = self.sizes[often], self.agrees[often]
+        kept = np.full(len(self.hits), -1)
+        kept[often] = np.arange(len(often))
+        self.known = {word: at for word, place in self.known.items() if (at := int(kept[place])) >= 0}
+        self.hits = self.hits[often] // 4
 
     def _look_up(self, words: list[str]) -> np.ndarray:
+        """The place of each word in ``sizes`` and ``agrees``; ``ids`` has their ids in order."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [word for word in dict.fromkeys(words) if word not in self.known]
-        if new:
+        places = list(map(self.known.get, words))
+        missing = [i for i, place in enumerate(places) if place is None]
+        if missing:
+            new = list(dict.fromkeys([words[i] for i in missing]))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             ids = [x.ids for x in self.words.encode_batch_fast(new, add_special_tokens=False)]
-            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))))
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.int32)))
+            self.sizes = np.concatenate((self.sizes, np.array([len(x) for x in ids], np.int64)))
+            self.ids = np.concatenate((self.ids, np.array(list(chain.from_iterable(ids)), np.int32)))
             self.agrees = np.concatenate((self.agrees, self._parity(new, ids)))
-        return np.fromiter((self.known[word] for word in words), np.int64, len(words))
+            self.hits = np.concatenate((self.hits, np.zeros(len(new), np.int64)))
+            for i in missing:
+                places[i] = self.known[words[i]]
+        found = np.array(places, np.int64)
+        self.hits += np.bincount(found, minlength=len(self.hits))
+        return found
 
     def _parity(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
         """Does the sentencepiece library give the same ids?"""
-        if not (self.plain_rules and self.prefix):
-            return np.ones(len(words), bool)  # words come normalised here; whole texts are compared instead
-        # the library puts the marker before a text itself, so it gets a word without its first one
-        led = [word[0] == SPACE for word in words]
-        expected = self.other.encode([word[1:].replace(SPACE, " ") if x else word for word, x in zip(words, led, strict=True)], num_threads=1)
-        lone = [self.other.piece_to_id(SPACE)]  # a marker without a word is nothing but its piece
-        return np.array([(lone if word == SPACE else a) == b for word, a, b in zip(words, expected, ids, strict=True)])
+        # it puts the marker before a text itself, so it gets a word without its first one
+        expected = self.other.encode([word[1:] if word[0] == SPACE else word for word in words], num_threads=1)
+        # a marker without a word is nothing but its piece
+        return np.array([a == b if a else b == self.lone for a, b in zip(expected, ids, strict=True)], bool)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, where each text's begin (one more at the end), and parity of each text."""
@@ -119,7 +139,7 @@ class _Codec:
         ends = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
         places = self._look_up(list(chain.from_iterable(split)))
         sizes = self.sizes[places]
-        at = np.repeat((np.cumsum(self.sizes) - self.sizes)[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        at = _spans((np.cumsum(self.sizes) - self.sizes)[places], sizes)
         wrong = np.concatenate(([0], np.cumsum(~self.agrees[places])))
         return self.ids[at], np.concatenate(([0], np.cumsum(sizes)))[ends], np.diff(wrong[ends]) == 0
 
@@ -137,26 +157,33 @@ def _codec(model: bytes) -> _Codec:
     return _Codec(model)
 
 
-def encoded(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """Rows of ``docs`` with ``ids``, ``n_tokens``, ``n_byte_tokens`` and ``parity``.
+def _texts(codec: _Codec, ids: pa.ListArray) -> pa.Array:
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    texts = codec.decode([flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    return pa.array([None if null else x for null, x in zip(ids.is_null().to_pylist(), texts, strict=True)], pa.string())
+
+
+def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, decode: bool = False) -> DataFrame:
+    """Rows of ``docs`` with ``ids``, ``n_tokens``, ``n_byte_tokens``, ``parity`` and, with ``decode``, ``decoded``: the text of the ids.
 
     ``model`` is a file on the driver; its bytes go to the workers. Null texts give null ids, no tokens and parity; empty texts give
     empty ids. Input columns stay; a result replaces one of its name. Nothing is shuffled. Empty in, empty out.
     """
     file = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
     rows = wrapped(docs, text=F.col(text))
-    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_ENCODED).fields])
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_ENCODED + (", decoded string" if decode else "")).fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file.value)
         for batch in batches:
-            for at, texts in W.chunks(batch.column("text")):
+            for at, texts in W.chunks(batch.column("text"), CHUNK_BYTES):
                 ids, ends, same = codec.encode([x.decode(errors="replace") for x in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=batch.column("text").slice(at, len(texts)).is_null())
                 in_bytes = np.concatenate(([0], np.cumsum(codec.is_byte[ids])))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(at, len(texts)), lists, pa.array(np.diff(ends)), pa.array(np.diff(in_bytes[ends]).astype(np.int64)), pa.array(same)],
-                    ["row", *[f.name for f in schema.fields[1:]]])
+                own = [batch.column("row").slice(at, len(texts)), lists, pa.array(np.diff(ends)), pa.array(np.diff(in_bytes[ends]).astype(np.int64)), pa.array(same)]
+                if decode:
+                    own.append(_texts(codec, lists))
+                yield pa.RecordBatch.from_arrays(own, [f.name for f in schema.fields])
 
     out = rows.mapInArrow(encode, schema)
     return unwrapped(out, {f.name: F.col(f.name) for f in schema.fields[1:]})
@@ -171,10 +198,6 @@ def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", model: str
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file.value)
         for batch in batches:
-            own = batch.column("ids")
-            flat, ends = own.values.to_numpy(zero_copy_only=False), own.offsets.to_numpy()
-            texts = codec.decode([flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)])
-            nulls = own.is_null().to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([None if null else x for null, x in zip(nulls, texts, strict=True)], pa.string())], ["row", into])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _texts(codec, batch.column("ids"))], ["row", into])
 
     return unwrapped(held.mapInArrow(decode, schema), {into: F.col(into)})

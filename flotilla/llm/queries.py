@@ -92,7 +92,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = pieces.decoded(pieces.encoded(docs))
+    back = pieces.encoded(docs, decode=True)
     return back.select("doc_id", "n_tokens", "n_byte_tokens", F.xxhash64("ids").alias("ids_hash"), "parity",
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
