@@ -50,15 +50,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: For Python workers: freed memory goes back to the system and not into pools, of which a worker would keep its peak for good.
+FRUGAL = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch between Spark and a Python worker; both sides hold a few.
 BATCH_BYTES = 8 << 20
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (elsewhere ship it with ``--py-files``), and bound their batches."""
+    """Let Python workers import this package from where the driver has it (elsewhere ship it with ``--py-files``), and bound what they hold."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    for name, value in FRUGAL.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
