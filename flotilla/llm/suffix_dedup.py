@@ -28,8 +28,9 @@ from .tables import shuffle_partitions
 WIDTH = 200
 ANCHOR = 64
 #: Bytes whose hashes are worked on at once, and bytes of stretches in a suffix array. A longer text or stretch is not cut.
-CHUNK_BYTES = 1 << 20
-SHARD_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+SHARD_BYTES = 1 << 19
+BLOCK_BYTES = 4 << 20
 UNIQUE, REPEATED, OPEN = 0, 1, 2
 _RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 _BYTE = np.random.default_rng(64).integers(0, 1 << 64, 258, dtype=np.uint64)  # a fixed 64-bit value for each byte and for a border
@@ -181,7 +182,7 @@ def _twice(keys: np.ndarray, blocks: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, anchor: int = ANCHOR,
-                   block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of each row: its UTF-8 bytes without those in a repeated string of ``width`` bytes.
 
     Strings don't cross rows. All places of a repeated string go, the first included. Null texts are empty. Every row is a
