@@ -166,9 +166,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     shared = landed(members.join(sizes, "bucket"), "shared")
     # a text that many others are variants of meets them in most bands, so the centre is whoever meets most
     weights = landed(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    heaviest = F.struct("weight", -F.col("node"))
     weighed = shared.join(weights, "node")
-    centres = landed(weighed.groupBy("bucket").agg(F.max(heaviest).alias("top")).select("bucket", (-F.col("top.col2")).alias("centre")), "centres")
+    centres = landed(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre")), "centres")
     shared = shared.join(centres, "bucket")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -193,14 +192,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     open_buckets = landed(
         placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         .where("least <> most").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
-    rest = landed(placed.join(open_buckets, "bucket"), "rest")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    rest = (
-        rest.join(classes.select("node", "bands", "signature"), "node").join(sets_of(rest.select("node")).toDF("node", "shingles"), "node")
-        .withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component", "bands", "signature", "shingles"))
-    further = rest.groupBy("bucket", "one", "two").applyInArrow(_compared(percent), "a bigint, b bigint")
-    labels = components(found.union(further))
+    if not open_buckets.isEmpty():
+        labels = components(labels.toDF("b", "a").select("a", "b").union(_links_in(placed, open_buckets, classes, sets_of, percent)))
     named = landed(classes.select("high", "low", "node").join(labels, "node", "left")
                    .select("high", "low", F.coalesce("component", "node").alias("component")), "named")
     least = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
@@ -210,6 +203,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         .select(own(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), own(least).alias("component_id"), (F.col("id") == least).alias("kept")))
 
 
+def _links_in(placed: DataFrame, open_buckets: DataFrame, classes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """All links between classes of different components that share a bucket."""
+    rest = landed(placed.join(open_buckets, "bucket"), "rest")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rest = (
+        rest.join(classes.select("node", "bands", "signature"), "node").join(sets_of(rest.select("node")).toDF("node", "shingles"), "node")
+        .withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component", "bands", "signature", "shingles"))
+    return rest.groupBy("bucket", "one", "two").applyInArrow(_compared(percent), "a bigint, b bigint")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component, with all their columns."""
     gone = near_duplicates(docs, text, key, **options).groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select("id")
