@@ -18,7 +18,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or leave a band of tokeniser fertility go."""
+    """Documents that fail the base rule, leave a band of tokeniser fertility or have more symbols than words go."""
     return fertility.kept(docs)
 
 

@@ -175,6 +175,20 @@ def test_fertility_measures():
     assert list(found["kept"][:2]) == [True, False] and found["band"][2:] == ["other", "Latin"]
 
 
+def test_fertility_keeps_clean_prose():
+    """Formal prose and a plain list, neither in the words of the generated tables, are within the bands."""
+    from pathlib import Path
+
+    own = fertility._Vocabularies(Path(fertility.VOCABULARY).read_bytes(), Path(fertility.PIECES).read_bytes())
+    formal = ("The holder of the licence shall keep the records of the sale of the goods for the term of the licence, and the holder of the records "
+              "shall give the court of the district a copy of the records at the end of the term of the sale.")
+    items = "Sold here: apples, pears, plums, cherries, grapes, lemons, oranges, peaches, figs, dates, melons, berries, nuts, olives, beans, peas, corn, rice, wheat, barley, oats."
+    debris = " ".join(word + "*#$%"[i % 4] * 3 for i, word in enumerate(formal.split()))
+    found = fertility.measures([formal.encode(), items.encode(), debris.encode()], ["en"] * 3, own, fertility.BANDS)
+    assert not found["base_failed"].any()
+    assert list(found["kept"]) == [True, True, False]
+
+
 def test_stupid_backoff(docs, rows):
     words = [split(text) for _, text, *_ in rows]
     ones, twos = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
