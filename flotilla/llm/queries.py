@@ -147,6 +147,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
 
 
+OP1_ORDER3_SQL = r"""
+with words as (
+  select rowid_ as doc, unnest(w) as word, generate_subscripts(w, 1) as place
+  from (select row_number() over () as rowid_, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents)),
+runs as (select *, lag(word) over (partition by doc order by place) as previous, lag(word, 2) over (partition by doc order by place) as first from words),
+ones as (select word, count(*) as n from words group by word),
+twos as (select previous, word, count(*) as n from runs where previous is not null group by previous, word),
+threes as (select first, previous, word, count(*) as n from runs where first is not null group by first, previous, word),
+shorter as (
+  select r.doc, r.first, r.previous, r.word, t.n as pair_n,
+    case when r.previous is null then o.n / total.n when t.n >= 2 then t.n / b.n else 0.4::double * (o.n / total.n) end as score
+  from runs r join ones o using (word) left join ones b on b.word = r.previous
+  left join twos t on t.previous = r.previous and t.word = r.word cross join (select count(*) as n from words) total),
+scored as (
+  select s.doc, case when s.first is null then s.previous is not null and s.pair_n < 2 else h.n < 2 end as backed_off,
+    case when s.first is null then s.score when h.n >= 2 then h.n / c.n else 0.4::double * s.score end as score
+  from shorter s left join threes h on h.first = s.first and h.previous = s.previous and h.word = s.word
+  left join twos c on c.previous = s.first and c.word = s.previous),
+sums as (select doc, count(*) as n_words, count(*) filter (where backed_off) as n_backed_off, sum(ln(score)) as log_score from scored group by doc)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_backed_off, 0) as n_backed_off, round(coalesce(log_score, 0), 4) as log_score
+from (select row_number() over () as doc, doc_id from documents) d left join sums using (doc)
+"""
+
+
+@query("op1_stupid_backoff_order3", OP1_ORDER3_SQL)
+def op1_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores.scores(table(spark, sf_dir, "documents"), order=3)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
+
+
 @query("op8_suffix_array")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))

@@ -214,6 +214,23 @@ def test_three_words(ready):
     assert math.isclose(found[3], 1 / 11 * (0.4 * 4 / 11) * (0.4 * 3 / 4))
 
 
+def test_order_three_query(ready):
+    """The registered query of order 3 equals its SQL."""
+    from llm_rows import SF_DIR
+    from oracle import duck, duck_bag
+
+    from flotilla.llm import queries
+
+    name = "op1_stupid_backoff_order3"
+    found = queries.QUERIES[name](ready, SF_DIR)
+    order = sorted(found.columns)
+    names, expected = duck_bag(duck(SF_DIR), queries.ORACLES[name])
+    assert order == names
+    mine, theirs = (sorted((r[0], r[2], r[3], r[1]) for r in rows) for rows in ([tuple(r) for r in found.select(order).collect()], expected.elements()))
+    assert [r[:3] for r in mine] == [r[:3] for r in theirs]
+    assert all(math.isclose(a[3], b[3], abs_tol=2e-4) for a, b in zip(mine, theirs, strict=True))
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
     assert mixing.water_fill([1, 100, 100], [1, 1, 1], 3)[0] == 3
