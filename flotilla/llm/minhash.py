@@ -1,6 +1,6 @@
 """MinHash near-duplicates: universal hash minima, banding, signature check, full check, alternating stars.
 
-Texts with equal shingle sets are one class from the start, so copies cost nothing after that. Classes meet in band
+Texts with equal shingle sets are one class from the start, so copies cost nothing after that, whatever ids they have. Classes meet in band
 buckets. First every class of a bucket is compared with the one that meets most others; what links is joined into
 components. Buckets whose classes are then in one component are done. In the others each pair from different
 components is compared too, so no pair of a bucket goes unseen, and a group of n alike texts costs about n comparisons.
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .stars import components
-from .tables import landed
+from .tables import landed, wrapped
 
 SHINGLE = 5
 PERCENT = 75
@@ -32,7 +32,7 @@ SIGNATURE_SHARE = 0.56
 CHUNK = 512
 SEED = 20_240_229
 LEAST = -(1 << 63)
-_SKETCH = "id bigint, high bigint, low bigint, n bigint, bands array<bigint>, signature binary"
+_SKETCH = "id bigint, place bigint, high bigint, low bigint, n bigint, bands array<bigint>, signature binary"
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def _minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int) -> n
 def _sketcher(bands: int, rows: int, seed: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id")
+            ids, places = batch.column("id"), batch.column("place")
             for at, texts in W.chunks(batch.column("text"), 1 << 20):
                 values, ends = shingle_sets(texts)
                 n, full = np.diff(ends), np.flatnonzero(np.diff(ends))
@@ -89,7 +89,7 @@ def _sketcher(bands: int, rows: int, seed: int):
                     for j, i in enumerate(full):
                         small[i] = tail[j].tobytes()
                 yield pa.RecordBatch.from_pydict({
-                    "id": ids.slice(at, len(texts)), "high": keys[:, 0], "low": keys[:, 1], "n": n.astype(np.int64),
+                    "id": ids.slice(at, len(texts)), "place": places.slice(at, len(texts)), "high": keys[:, 0], "low": keys[:, 1], "n": n.astype(np.int64),
                     "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(own.ravel())),
                     "signature": pa.array(small, pa.binary())})
 
@@ -101,7 +101,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, texts in W.chunks(batch.column("text"), 1 << 20):
             values, ends = shingle_sets(texts)
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id").slice(at, len(texts)),
+                "node": batch.column("node").slice(at, len(texts)),
                 "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int64)))})
 
 
@@ -149,17 +149,32 @@ def _compared(percent: int):
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: ``id``, ``n_shingles``, ``component_id``, ``kept`` (is it the least id of its component?).
+    """One row for each row of ``docs``: ``id``, ``n_shingles``, ``component_id`` (the least id of its component), ``kept`` (is it that id?).
 
     Two texts are linked if 100 * common shingles >= ``percent`` * shingles of either. Null texts and texts without words
-    are linked with nothing. A null id is an id of its own, before all others. Rows that repeat an id are one node, so
-    they are kept or dropped together if their texts are alike. Other columns are not read. An empty table gives none.
+    are linked with nothing. A null id is an id before all others. An id links nothing: rows that repeat one, or have none, are
+    together only if their texts are alike. Other columns are not read. An empty table gives none.
     """
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("id"), F.col(text).alias("text"))
-    sketches = landed(source.mapInArrow(_sketcher(bands, rows, seed), _SKETCH), "sketches")
+    rows = _marked(docs, text, key, percent, bands, rows, seed)
+    own = lambda c: F.when(c != LEAST, c)
+    return rows.select(own(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), own(F.col("least")).alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+
+
+def _placed(docs: DataFrame, text: str, key: str) -> list[Column]:
+    """The id of a row, least for null, and the hash of its text: rows that agree in both hold one text."""
+    return [F.coalesce(docs[key].cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(docs[text]).alias("place")]
+
+
+def _marked(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,
+            bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """(id, place, n, least, first) of each row; ``first`` is true for one row of a component. Nodes are classes, numbered when they are written."""
+    source = docs.select(*_placed(docs, text, key), docs[text].alias("text"))
+    sketches = landed(source.mapInArrow(_sketcher(bands, rows, seed), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = landed(
         sketches.where("n > 0").groupBy("high", "low")
-        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+        .agg(F.min(F.struct("id", "place", "row")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"),
+             F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
     # what is landed here and below can be split or broadcast by the joins that read it
     sizes = landed(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
@@ -171,9 +186,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     shared = shared.join(centres, "bucket")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        """Full sets of some nodes."""
-        wanted = landed(nodes.distinct().toDF("id"), "wanted")
-        return landed(source.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"), "sets")
+        """The full set of each of some nodes, once."""
+        wanted = landed(nodes.distinct().toDF("node").join(classes.select("node", "least.id", "least.place", "copies"), "node"), "wanted")
+        texts = source.join(wanted, ["id", "place"]).select("node", "copies", "text")
+        # grouped by another column than the join's, so that the join can split a hot id and each part sends one of its copies
+        texts = texts.where("copies = 1").select("node", "text").union(texts.where("copies > 1").groupBy("node").agg(F.first("text").alias("text")))
+        return landed(texts.mapInArrow(_sets, "node bigint, shingles array<bigint>"), "sets")
 
     signed = classes.select("node", "n", "signature")
     likely = landed(
@@ -194,13 +212,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         .where("least <> most").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
     if not open_buckets.isEmpty():
         labels = components(labels.toDF("b", "a").select("a", "b").union(_links_in(placed, open_buckets, classes, sets_of, percent)))
-    named = landed(classes.select("high", "low", "node").join(labels, "node", "left")
-                   .select("high", "low", F.coalesce("component", "node").alias("component")), "named")
-    least = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    own = lambda c: F.when(c != LEAST, c)
+    named = landed(classes.select("high", "low", "node", "least").join(labels, "node", "left")
+                   .select("high", "low", "least", F.coalesce("component", "node").alias("component")), "named")
+    firsts = landed(named.groupBy("component").agg(F.min("least").alias("first")), "firsts")
+    named = landed(named.join(firsts, "component").select("high", "low", F.col("first.id").alias("least"), F.col("first.row").alias("first_row")), "named")
     return (
-        sketches.select("id", "n", "high", "low").join(named, ["high", "low"], "left")
-        .select(own(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), own(least).alias("component_id"), (F.col("id") == least).alias("kept")))
+        sketches.select("id", "place", "row", "n", "high", "low").join(named, ["high", "low"], "left")
+        .select("id", "place", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("least"),
+                F.when(F.col("n") > 0, F.col("row") == F.col("first_row")).otherwise(F.lit(True)).alias("first")))
 
 
 def _links_in(placed: DataFrame, open_buckets: DataFrame, classes: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -208,13 +227,34 @@ def _links_in(placed: DataFrame, open_buckets: DataFrame, classes: DataFrame, se
     rest = landed(placed.join(open_buckets, "bucket"), "rest")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rest = (
-        rest.join(classes.select("node", "bands", "signature"), "node").join(sets_of(rest.select("node")).toDF("node", "shingles"), "node")
+        rest.join(classes.select("node", "bands", "signature"), "node").join(sets_of(rest.select("node")), "node")
         .withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component", "bands", "signature", "shingles"))
     return rest.groupBy("bucket", "one", "two").applyInArrow(_compared(percent), "a bigint, b bigint")
 
 
+def _held(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return wrapped(docs, **dict(zip(("id", "place"), _placed(docs, text, key), strict=True)))
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component, with all their columns."""
-    gone = near_duplicates(docs, text, key, **options).groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select("id")
-    return docs.join(gone, docs[key].eqNullSafe(gone["id"]), "left_anti")
+    gone = _marked(docs, text, key, **options).where("id <> least").select("id", "place").distinct()
+    return _held(docs, text, key).join(gone, ["id", "place"], "left_anti").select("row.*")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """One row of each component, of its least id, with all its columns; every row without words stays."""
+    marked = landed(_marked(docs, text, key, **options), "marked")
+    ids = marked.groupBy("id").agg(F.count("*").alias("times"), F.max("first").alias("first"))
+    gone = ids.where("times > 1 or not first").select("id")
+    held = _held(docs, text, key)
+    alone = held.join(gone, "id", "left_anti").select("row")
+    # ids that come again: their rows are told apart by their texts, and of copies of one text one stays
+    shared = landed(marked.where("first").join(ids.where("times > 1").select("id"), "id").select("id", "place", "n").distinct(), "shared")
+    blank = held.join(shared.where("n = 0").select("id", "place"), ["id", "place"], "left_semi").select("row")
+    number = landed(shared.where("n > 0").select("id", "place").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    again = (
+        held.join(number, ["id", "place"]).groupBy("number")
+        .agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return alone.union(blank).union(again).select("row.*")

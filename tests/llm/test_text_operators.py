@@ -111,6 +111,21 @@ def test_near_duplicates(docs, rows):
     assert dropped == Counter({key: n for key, n in Counter(r[0] for r in rows).items() if any(f[0] == key and f[3] for f in found)})
 
 
+def test_near_duplicates_under_one_id(ready):
+    """Null and repeated ids link nothing, and of copies under them one row stays."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = one.replace("a39", "a0")
+    rows = [(None, one, 0), (None, one, 0), (None, two, 0), (None, near, 1), (5, two, 1), (5, three, 2), (5, three, 2), (6, one, 3), (7, None, 4), (7, None, 4), (7, " ", 4)]
+    df = ready.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    assert minhash.one_of_each(df).columns == df.columns
+    stay = Counter(tuple(r) for r in minhash.one_of_each(df).collect())
+    ones = [r for r in stay if r[1] in (one, near)]
+    assert len(ones) == 1 and ones[0][0] is None and stay.pop(ones[0]) == 1
+    assert stay == Counter({(None, two, 0): 1, (5, three, 2): 1, (7, None, 4): 2, (7, " ", 4): 1})
+    found = Counter((r.id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect())
+    assert found[5, 36, 5] == 2 and found[5, 36, None] == 1 and found[None, 36, None] == 4 and found[6, 36, None] == 1
+
+
 def test_variants_of_one_text(ready):
     """Variants that are near the base but not near each other: the centre isn't the least id, and the rest must be compared too."""
     import random
