@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, suffix_dedup, url_filter
-from .tables import importable, table
+from . import ball_tree, fertility, filter_audit, line_crf, lm_scores, minhash, mixing, periodic_runs, phrase_dedup, pieces, secret_scan, suffix_dedup, url_filter
+from .tables import importable, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,3 +182,106 @@ def op1_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def made_periodic(doc_id, text):
+    """The text of op11: of every tenth document by hash, the words from some place on repeat the first few of them."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    repeated = F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))
+    whole = F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), repeated), F.lit(1), n)
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.array_join(whole, " ")).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    length = -F.col("best.shorter")
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+OP12_SQL = r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as least from docs),
+failing as (
+  select part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+    100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+    coalesce(doc_id > least, false) as e,
+    coalesce(doc_id in (select doc_id from labels where quality = 1), false) as good,
+    coalesce(doc_id in (select doc_id from labels where toxic = 1), false) as toxic
+  from words),
+fails as (
+  select part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: case x when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end) as f,
+    count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from failing group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select [p.x, q.x, u.x, v.x, w.x] as o from letters p join letters q on q.x <> p.x join letters u on u.x not in (p.x, q.x)
+  join letters v on v.x not in (p.x, q.x, u.x) join letters w on w.x not in (p.x, q.x, u.x, v.x)),
+steps as (select o, unnest(range(1, 6)) as step from orders),
+judged as (
+  select part, o, step, n, good, toxic, list_contains(f, o[step]) as fails, list_has_any(f, o[:step - 1]) as gone, f = [o[step]] as alone
+  from steps cross join fails),
+counted as (
+  select part, array_to_string(o, '') as filter_order, step, o[step] as letter,
+    sum(n) filter (where not fails and not gone) as kept, sum(n) filter (where fails and not gone) as removed,
+    sum(n) filter (where fails and gone) as redundant, sum(n) filter (where alone) as unique_fails,
+    sum(good) filter (where fails and not gone) as good_lost, sum(toxic) filter (where fails and not gone) as toxic_lost
+  from judged group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+  coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost,
+  coalesce(toxic_lost, 0)::bigint as toxic_lost, (sum(coalesce(removed, 0)) over (partition by part, letter))::bigint as shapley
+from counted
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op13_kind(place: int, rule: secret_scan.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""select r, {place} as place, '{rule.kind}' as kind, {rule.least} as least, string_split_regex(t, '{pattern}') as gaps,
+      regexp_extract_all(t, '{pattern}') as whole, regexp_extract_all(t, '{pattern}', {rule.group}) as part
+    from docs where regexp_matches(t, '{pattern}')"""
+
+
+OP13_SQL = f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+matched as ({" union all ".join(_op13_kind(i, rule) for i, rule in enumerate(secret_scan.RULES))}),
+each as (select *, unnest(range(1, len(whole) + 1)) as i from matched),
+spans as (
+  select r, place, kind, len(whole[i]) as n,
+    list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) as a
+  from each where length(part[i]) >= least),
+found as (
+  select r, count(*) filter (where place = 0) as n_assign, count(*) filter (where place = 1) as n_access, count(*) filter (where place = 2) as n_hex,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, place) filter (where place < 3) as base,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, place) as spans
+  from spans group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join found using (r)
+"""
+
+
+@query("op13_secret_scan", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secret_scan.open_ledger(spark, f"{shared_folder(spark)}/blob-ledger-{uuid.uuid4().hex}")
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger)
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    count = lambda kind: F.size(of(kind)).cast("bigint").alias(f"n_{kind}")
+    base = [rule.kind for rule in secret_scan.BASE]
+    return found.select("doc_id", *map(count, base), F.sha2(secret_scan.listed(of(*base)).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
