@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.states import CONTAINER_STATES, INSTANCE_STATES, TERMINATION_REASONS
+from ..operators import folds
+from ..session import shared_dir
 from ..sources import inventory, messages
 from ..sources.kinds import KINDS, MESSAGE_FIELDS, UUID_PATTERN, kinds_having, kinds_requiring
 from .batch_queries import EFFECTIVE, PREFIX
@@ -181,3 +183,79 @@ def cluster_snapshot(t: Inputs) -> DataFrame:
 @query("available_groups", "select group_name from group_state where state = 'available'")
 def available_groups(t: Inputs) -> DataFrame:
     return inventory.available_groups(t.view("group_state"), "state", "group_name")
+
+
+# The cluster of a user's messages is the user's own, and all its instances are one: the message that counts is a matter of order alone.
+_FOLDED = f"""
+{_JSON.strip()},
+ok as (select *, case when pick = 8 then m -> '$.clusters[0]' end as snapshot from judged where reject is null),
+present as (
+  select user_id, added, snapshot from (
+    select user_id, max(event_id) filter (where pick = 8) as added, max(event_id) filter (where pick = 9) as gone from ok group by user_id) c
+  join (select event_id, snapshot from ok where pick = 8) s on s.event_id = c.added where gone is null or gone < added),
+later as (select o.* from ok o join present p on o.user_id = p.user_id and o.event_id > p.added)"""
+_CLUSTER_ID = "concat('00000000-0000-4000-8000-', lpad(cast(p.user_id as varchar), 12, '0'))"
+
+
+def _snap(path: str, of: str = "snapshot") -> str:
+    return f"json_extract_string({of}, '$.{path}')"
+
+
+def _stamp(path: str, of: str) -> str:
+    return f"cast(replace({_snap(path, of)}, 'Z', '') as timestamp)"
+
+
+def _folded(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The fold of what is decoded, landed first since it is read several times."""
+    decoded, _ = messages.message_decode(t.view("wire_text"), "line")
+    path = shared_dir(t.spark, "decoded")
+    decoded.write.parquet(path)
+    return folds.fold_messages(t.spark.read.schema(decoded.schema).parquet(path), ["event_id"])
+
+
+@query("fold_clusters", f"""
+with {_FOLDED},
+image as (
+  select user_id, arg_max({_text('dockerImage.tag')}, event_id) filter (where pick = 10) as tag, arg_max(pick = 11, event_id) as changing
+  from later where pick = 11 or (pick = 10 and {_text('error')} is null) group by user_id)
+select {_CLUSTER_ID} as cluster_id, {_snap('name')} as name, {_snap('workerInstanceType')} as worker_instance_type, {_snap('subnet.id')} as subnet_id,
+       {_stamp('launchedAt', 'snapshot')} as launched_at, {_snap('master.id')} as master_id,
+       coalesce(tag, {_snap('dockerImage.tag')}) as image_tag, coalesce(changing, false) as image_change_in_progress
+from present p left join image i on p.user_id = i.user_id""")
+def fold_clusters(t: Inputs) -> DataFrame:
+    clusters, _ = _folded(t)
+    return clusters.select(
+        "cluster_id", "name", "worker_instance_type", F.col("subnet.id").alias("subnet_id"), F.col("launched_at").cast("timestamp_ntz").alias("launched_at"),
+        "master_id", F.col("docker_image.tag").alias("image_tag"), "image_change_in_progress")
+
+
+@query("fold_members", f"""
+with {_FOLDED},
+said as (
+  select user_id, max(event_id) filter (where pick = 15) as state_at, max(event_id) filter (where pick = 12) as container_at,
+         max(event_id) filter (where pick = 14) as address_at, max(event_id) filter (where pick = 16) as subnet_at,
+         max(event_id) filter (where pick = 17) as terminated_at
+  from later group by user_id),
+removed as (select user_id, max(event_id) as removed from later where pick = 21 group by user_id),
+start as (
+  select p.user_id, min(o.event_id) as start from present p join ok o on o.user_id = p.user_id and o.event_id >= p.added and o.pick in (8, 20)
+  left join removed r on r.user_id = p.user_id where r.removed is null or o.event_id > r.removed group by p.user_id),
+workers as (
+  select s.user_id, case o.pick when 8 then o.snapshot -> '$.workers[0]' else o.m -> '$.workers[0]' end as w from start s join ok o on o.event_id = s.start)
+select {_CLUSTER_ID} as cluster_id, {_snap('master.id')} as instance_id, 'Master' as role,
+       case when state_at is null then {_snap('master.state')} else json_extract_string(s1.m, '$.state') end as state,
+       case when container_at is null then {_snap('master.containerState')} else json_extract_string(s2.m, '$.containerState') end as container_state,
+       case when address_at is null then {_snap('master.ipAddress')} else json_extract_string(s3.m, '$.ipAddress') end as ip_address,
+       case when subnet_at is null then {_snap('master.subnet.id')} else json_extract_string(s4.m, '$.subnet.id') end as subnet_id,
+       cast(replace(json_extract_string(s5.m, '$.terminatedAt'), 'Z', '') as timestamp) as terminated_at, {_stamp('master.launchedAt', 'p.snapshot')} as launched_at
+from present p left join said x on p.user_id = x.user_id left join ok s1 on s1.event_id = state_at left join ok s2 on s2.event_id = container_at
+  left join ok s3 on s3.event_id = address_at left join ok s4 on s4.event_id = subnet_at left join ok s5 on s5.event_id = x.terminated_at
+union all
+select {_CLUSTER_ID}, {_snap('id', 'w')}, 'Worker', {_snap('state', 'w')}, {_snap('containerState', 'w')}, {_snap('ipAddress', 'w')},
+       {_snap('subnet.id', 'w')}, null, {_stamp('launchedAt', 'w')}
+from workers p""".replace("json_extract_string(snapshot", "json_extract_string(p.snapshot"))
+def fold_members(t: Inputs) -> DataFrame:
+    _, members = _folded(t)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return members.select("cluster_id", "instance_id", "role", "state", "container_state", "ip_address", F.col("subnet.id").alias("subnet_id"),
+                          ntz("terminated_at"), ntz("launched_at"))

@@ -5,13 +5,18 @@ Each result must equal the batch form, so each has the batch form's SQL.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import logs
 from ..operators.sets import dedupe_last
 from ..session import shared_dir
+from ..sources.polls import PollLog
 from ..streaming import micro_batches, streams
+from ..streaming.fleet_state import BucketedState
 from .batch_queries import (CHANGE_EVENTS, CHANGE_PROPS, COLLECT_FIRST, LATEST_STATE, POLL_DIFF, SEQUENCE_GAPS, TIMEOUT,
                             first_wanted, shown_history)
 from .registry import query
@@ -48,17 +53,62 @@ def stream_latest_state(t: Inputs) -> DataFrame:
     shown = _finish(
         t, "latest", lambda state, out: streams.stream_latest_state(log, "entity_id", ["ts", "event_id"], state, out),
         "entity_id bigint, present boolean, state string, container_state string, ip_address string, subnet string, "
-        "terminated_at string, image string, image_change_in_progress boolean, batch_id int")
+        "terminated_at string, image string, image_change_in_progress boolean, batch_id bigint")
     return dedupe_last(shown, "entity_id", ["batch_id"]).drop("batch_id")
 
 
+@query("stream_reloaded_state", LATEST_STATE.replace("fold_log", "received_log"))
+def stream_reloaded_state(t: Inputs) -> DataFrame:
+    """What is received has lost messages; the servers have their whole logs, and snapshots of halfway through."""
+    order = ["ts", "event_id"]
+    whole = t.landed("message_log", "event_id", "ts", "server_id", "message_no", "entity_id", "kind", "val")
+    half = whole.groupBy("server_id").agg(F.floor(F.max("message_no") / 2).alias("as_of"))
+    early = whole.join(half, "server_id").where("message_no <= as_of")
+    snapshots = logs.folded_rows(early, "entity_id", order).withColumn("server_id", F.expr("concat('srv-', entity_id % 4)")).join(half, "server_id")
+    path = shared_dir(t.spark, "snapshots")
+    snapshots.write.parquet(path)
+    snapshots = t.spark.read.parquet(path)
+    reload = lambda servers: logs.reloaded(servers, snapshots, whole, "entity_id", order, "server_id", "message_no")
+    received = t.arriving(whole.where("event_id % 97 <> 0"), "received")
+    shown = _finish(
+        t, "reloaded",
+        lambda state, out: streams.stream_reloaded_state(received, "entity_id", order, "server_id", "message_no", reload, state, out),
+        "entity_id bigint, present boolean, state string, container_state string, ip_address string, subnet string, "
+        "terminated_at string, image string, image_change_in_progress boolean, batch_id bigint")
+    return dedupe_last(shown, "entity_id", ["batch_id"]).drop("batch_id")
+
+
+def _polls(t: Inputs, view: str, key: str) -> PollLog:
+    rows = t.view(view)
+    log = PollLog(shared_dir(t.spark, view), rows.schema)
+    log.land_all(rows, key, SLICES)
+    return log
+
+
 @query("stream_snapshot_diff", POLL_DIFF)
 def stream_snapshot_diff(t: Inputs) -> DataFrame:
-    polls = t.stream().table("events").where("extract(day from ts) <> 7").selectExpr(
-        "case when extract(day from ts) <> 11 then user_id end as id", "cast(extract(day from ts) as int) as poll_no")
-    return _finish(
-        t, "diff", lambda state, out: streams.stream_snapshot_diff(polls, "id", "poll_no", state, out),
-        "poll_no int, id bigint, change string")
+    polls = _polls(t, "poll", "id")
+    diff = _finish(
+        t, "diff", lambda state, out: streams.stream_snapshot_diff(polls, t.spark, "id", state, out), "poll_no bigint, id bigint, change string")
+    return diff.withColumn("poll_no", F.col("poll_no").cast("int"))
+
+
+@query("stream_snapshot_apply", """
+with gone as (
+  select c.id, max(p.poll_no) as since
+  from (select distinct id from fleet_poll where id is not null) c cross join (select distinct poll_no from fleet_poll) p
+  left join fleet_poll f on f.id = c.id and f.poll_no = p.poll_no where f.id is null group by c.id),
+held as (
+  select f.* from fleet_poll f left join gone g on g.id = f.id where f.id is not null and f.poll_no > coalesce(g.since, -1))
+select id, arg_max(state, poll_no) as state, arg_max(address, poll_no) filter (where address is not null) as address,
+       arg_min(first_event, poll_no) as first_event
+from held group by id""")
+def stream_snapshot_apply(t: Inputs) -> DataFrame:
+    polls = _polls(t, "fleet_poll", "id")
+    fleet_now = BucketedState(shared_dir(t.spark, "fleet"), T.StructType.fromDDL("id bigint, state string, address double, first_event bigint"), "id")
+    writer = streams.stream_snapshot_apply(polls, t.spark, "id", ["address"], ["state"], fleet_now)
+    micro_batches.run_to_end(writer, shared_dir(t.spark, "fleet-checkpoint"))
+    return fleet_now.latest(t.spark)
 
 
 LAST_READING = TIMEOUT.replace("from app_run", """from (
@@ -67,13 +117,12 @@ LAST_READING = TIMEOUT.replace("from app_run", """from (
 
 @query("stream_timeout", f"select * from ({LAST_READING}) v where verdict is not null")
 def stream_timeout(t: Inputs) -> DataFrame:
+    clusters = t.opened(t.view("app_cluster").selectExpr("*", "launched_at as as_of", "false as gone"), "clusters")
     verdicts = _finish(
         t, "timeout",
-        lambda state, out: streams.stream_timeout(
-            t.stream().view("app_reading"), lambda: t.view("app_cluster"), state, out, lambda batch_id: NOW),
-        "cluster_id bigint, verdict string, batch_id int")
-    # every batch judges all clusters, so the last one says what holds at the end
-    return verdicts.where(F.col("batch_id") == SLICES - 1).drop("batch_id")
+        lambda state, out: streams.stream_timeout(t.stream().view("app_reading"), clusters, out, clock=lambda ms: datetime.datetime.fromisoformat(NOW)),
+        "cluster_id bigint, judged_at bigint, verdict string")
+    return dedupe_last(verdicts, "cluster_id", ["judged_at"]).where("verdict is not null").drop("judged_at")
 
 
 @query("stream_sequence_gaps", SEQUENCE_GAPS)
@@ -95,5 +144,5 @@ def stream_collect_first(t: Inputs) -> DataFrame:
         "concat('v', cast(floor(value) as int) % 5) as val", "ts", "event_id")
     return _finish(
         t, "first",
-        lambda state, out: streams.stream_collect_first(log, "entity_id", *first_wanted(), ["ts", "event_id"], state, out),
+        lambda state, out: streams.stream_collect_first(log, "entity_id", *first_wanted(), ["ts", "event_id"], out),
         "entity_id bigint, value string, ts timestamp_ntz, event_id bigint")

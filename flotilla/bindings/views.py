@@ -266,6 +266,19 @@ select id, id % 50 as cluster_id, case when id < 50 then 'Master' else 'Worker'
     "poll": """
 select distinct case when extract(day from ts) <> 11 then user_id end as id, cast(extract(day from ts) as int) as poll_no
 from events where extract(day from ts) <> 7""",
+    # three days a poll; one did not take place, one found nothing
+    "fleet_poll": """
+select poll_no, user_id as id, event_type as state, case when value >= 5 then value end as address, event_id as first_event from (
+  select *, row_number() over (partition by user_id, poll_no order by ts desc, event_id desc) as rn from (
+    select *, cast(floor((extract(day from ts) - 1) / 3) as int) as poll_no from events where event_type <> 'error') e) d
+where rn = 1 and poll_no not in (2, 5)
+union all
+select 2, cast(null as bigint), cast(null as varchar(20)), cast(null as double), cast(null as bigint)""",
+    # what the servers of gapped_log had said when it ended
+    "received_log": """
+select m.event_id, m.ts, m.entity_id, m.kind, m.val, cast(null as varchar(20)) as error
+from message_log m join (select server_id, max(message_no) as upto from gapped_log group by server_id) r
+  on m.server_id = r.server_id and m.message_no <= r.upto""",
     "user_tags": """
 select cluster_id, tag_key, tag_value from tag_rows where tag_key <> 'x:cluster_name'""",
     "subnet_dim": """
@@ -358,14 +371,14 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return self._arriving(rows, name) if self.streaming else rows
+        return self.arriving(rows, name) if self.streaming else rows
 
-    def _arriving(self, rows: DataFrame, name: str) -> DataFrame:
-        """``rows`` landed in the order of time, as ``SLICES`` spans of whole days, and read as one micro-batch for each."""
+    def arriving(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` landed in the order of ``ts``, as ``SLICES`` spans of whole days, and read as one micro-batch for each."""
         path = shared_dir(self.spark, f"{name}-landing")
         files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         days = F.unix_date(F.col("ts").cast("date"))
-        low, high = rows.agg(F.min(days), F.max(days)).first()
+        low, high = rows.agg(F.coalesce(F.min(days), F.lit(0)), F.coalesce(F.max(days), F.lit(0))).first()
         for i in range(SLICES):
             cut = lambda k: F.lit(low + (high + 1 - low) * k // SLICES)
             part = rows.where((days >= cut(i)) & (days < cut(i + 1)))
@@ -385,6 +398,12 @@ class Inputs:
             return numbered.drop("server")
         return self.sql(_tag_scan(name) if name in TAG_VIEWS else VIEWS[name])
 
+    def opened(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` landed and read as a stream, all at once."""
+        path = shared_dir(self.spark, name)
+        rows.write.parquet(path)
+        return snapshot_stream(self.spark, path, rows.schema)
+
     def landed(self, name: str, *columns: str, stream: bool = False) -> DataFrame:
         """Columns of a view, written once to the shared folder and read back.
 

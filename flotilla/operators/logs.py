@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.hot_keys import join_unique, previous_row, row_numbers
+from ..plans.hot_keys import previous_row, row_numbers
 
 # Which message kind sets which property of an instance.
 PROPERTY_KINDS = {
@@ -21,6 +21,8 @@ ADDED_KINDS = ["ClustersAdded", "WorkersAdded"]
 REMOVED_KINDS = ["ClustersRemoved", "WorkersRemoved"]
 IMAGE_REQUEST = "DockerImageChangeRequest"
 IMAGE_ATTEMPT = "DockerImageChangeAttempt"
+#: What ``folded_rows`` keeps of an entity besides its presence.
+FOLDED_PROPS = ["image", "changing", *PROPERTY_KINDS]
 
 
 def change_events(df: DataFrame, key: str, prop_cols: Sequence[str], order_cols: Sequence[str],
@@ -74,7 +76,7 @@ def flag_gaps(seen: DataFrame, server_col: str, no_col: str) -> DataFrame:
     }).where(F.col("prev").isNotNull() & F.col("gap").isNotNull()).drop("prev")
 
 
-def latest_state(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
+def latest_state(log: DataFrame, key: str, order_cols: Sequence[str], min_hot_rows: int | None = None) -> DataFrame:
     """Current state per entity from a log of ``kind, val`` and, where there is one, ``error``.
 
     ``present`` follows the last add or remove. An entity is known from the add that made it present, the
@@ -83,47 +85,65 @@ def latest_state(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFra
     ``image_change_in_progress``; only an attempt without error lowers it and sets ``image``.
     Entities never added or removed, and kinds not named here, leave no trace.
     """
-    return _shown(folded_log(log, key, order_cols), key)
+    return shown(folded_rows(log, key, order_cols, min_hot_rows).where("presence is not null"), key)
 
 
-def folded_log(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
-    """Per entity: ``presence``, ``since`` and, per property, the last value, each with the row's order as ``at``."""
+def folded_rows(log: DataFrame, key: str, order_cols: Sequence[str], min_hot_rows: int | None = None) -> DataFrame:
+    """Per entity: ``presence``, ``gone``, ``since`` and, per property, the last value; ``at`` is a row's order.
+
+    ``since`` is the last add that follows no add: the first one after the last remove.
+    """
     order = F.struct(*order_cols)
     kind = F.col("kind")
     failed = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
-    done = (kind == IMAGE_ATTEMPT) & ~failed
+    marks = log.where(kind.isin(ADDED_KINDS + REMOVED_KINDS)).select(key, *order_cols, kind.isin(ADDED_KINDS).alias("added"))
+    starts = previous_row(marks, [key], order_cols, ["added"], "prev", min_hot_rows).select(
+        key, *order_cols, "added", (F.col("added") & ~F.coalesce("prev.added", F.lit(False))).alias("starts"))
+    said = log.where(kind.isin(IMAGE_ATTEMPT, IMAGE_REQUEST, *PROPERTY_KINDS.values())).select(key, *order_cols, "kind", "val", failed.alias("failed"))
+    done = (kind == IMAGE_ATTEMPT) & ~F.col("failed")
 
     def latest(test: Column, value: Column) -> Column:
         return F.max(F.when(test, F.struct(order.alias("at"), value.alias("value"))))
 
-    last = log.groupBy(key).agg(
-        latest(kind.isin(ADDED_KINDS + REMOVED_KINDS), kind.isin(ADDED_KINDS)).alias("presence"),
-        F.max(F.when(kind.isin(REMOVED_KINDS), order)).alias("gone"),
+    return said.unionByName(starts, allowMissingColumns=True).groupBy(key).agg(
+        latest(F.col("added").isNotNull(), F.col("added")).alias("presence"),
+        F.max(F.when(~F.col("added"), order)).alias("gone"),
+        F.max(F.when(F.col("starts"), order)).alias("since"),
         latest(done, F.col("val")).alias("image"),
         latest(done | (kind == IMAGE_REQUEST), kind == IMAGE_REQUEST).alias("changing"),
-        *[latest(kind == name, F.col("val")).alias(prop) for prop, name in PROPERTY_KINDS.items()],
-    ).where("presence is not null")
-    adds = join_unique(log.where(kind.isin(ADDED_KINDS)).select(key, order.alias("at")), last.select(key, "gone"), key, "inner")
-    since = adds.where(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).groupBy(key).agg(F.min("at").alias("since"))
-    return last.drop("gone").join(since, key, "left")
-
-
-def live_rows(log: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
-    """The rows of ``log`` that its ``latest_state`` rests on; the fold of them and of what comes later is that of the whole log."""
-    order, kind = F.struct(*order_cols), F.col("kind")
-    known = folded_log(log, key, order_cols).select(key, "presence", "since")
-    rows = join_unique(log.withColumn("at", order), known, key, "inner").where(
-        F.when(F.col("presence.value"), F.col("at") >= F.col("since")).otherwise(F.col("at") == F.col("presence.at")))
-    # of the adds the first one, of every other kind, failed and not, the last
-    failed = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
-    place = F.when(kind.isin(ADDED_KINDS), F.lit("added")).otherwise(F.coalesce(kind, F.lit("")))
-    whole = F.struct(*log.columns)
-    last = rows.groupBy(key, place.alias("place"), failed.alias("failed")).agg(
-        F.min(F.struct("at", whole.alias("row"))).alias("first"), F.max(F.struct("at", whole.alias("row"))).alias("last"))
-    return last.select(F.when(F.col("place") == "added", F.col("first.row")).otherwise(F.col("last.row")).alias("row")).select("row.*")
+        *[latest(kind == name, F.col("val")).alias(prop) for prop, name in PROPERTY_KINDS.items()])
+
 
+def merged_folds(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``folded_rows`` of one log and of what comes after it, as those of both."""
+    a, b = (df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name)) for df, name in ((old, "old"), (new, "new")))
+    both = a.join(b, key, "full_outer")
+    later = lambda c: F.coalesce(f"new.{c}", f"old.{c}")
+    kept = F.col("new.presence").isNull() | (F.coalesce(F.col("old.presence.value"), F.lit(False)) & F.col("new.gone").isNull())
+    since = F.when(kept, F.col("old.since")).otherwise(F.col("new.since"))
+    return both.select(key, later("presence").alias("presence"), later("gone").alias("gone"), since.alias("since"),
+                       *[later(c).alias(c) for c in FOLDED_PROPS])
 
-def _shown(folded: DataFrame, key: str) -> DataFrame:
+
+def reloaded(servers: DataFrame, snapshots: DataFrame, log: DataFrame, key: str, order_cols: Sequence[str], server_col: str, no_col: str,
+             min_hot_rows: int | None = None) -> DataFrame:
+    """``folded_rows`` of all entities of ``servers`` after the message of number ``upto`` of each.
+
+    ``snapshots`` holds versions: ``folded_rows`` of a server's entities after its message of number ``as_of``. Of each server the newest one
+    that is not too new counts, and what ``log``, the server's own, has from there on is replayed. Without one the whole log is.
+    """
+    versions = snapshots.groupBy(server_col).agg(F.collect_set("as_of").alias("versions"))
+    wanted = servers.join(versions, server_col, "left").select(
+        server_col, "upto", F.coalesce(F.array_max(F.filter("versions", lambda v: v <= F.col("upto"))), F.lit(0)).alias("from"))
+    base = snapshots.join(wanted, server_col).where(F.col("as_of") == F.col("from")).select(key, "presence", "gone", "since", *FOLDED_PROPS)
+    # one row a server: a side that Spark measures and, small as it is, sends to the log
+    newer = log.join(wanted, server_col).where((F.col(no_col) > F.col("from")) & (F.col(no_col) <= F.col("upto")))
+    said = newer.select(key, *order_cols, "kind", "val", *(["error"] if "error" in log.columns else []))
+    return merged_folds(base, folded_rows(said, key, order_cols, min_hot_rows), key)
+
+
+def shown(folded: DataFrame, key: str, *others: str) -> DataFrame:
+    """The state that ``folded_rows`` come to, with further columns."""
     def alive(prop: str) -> Column:
         return F.when(F.col("presence.value") & (F.col(f"{prop}.at") > F.col("since")), F.col(f"{prop}.value"))
 
@@ -131,7 +151,7 @@ def _shown(folded: DataFrame, key: str) -> DataFrame:
         key, F.col("presence.value").alias("present"),
         *[alive(prop).alias(prop) for prop in PROPERTY_KINDS],
         alive("image").alias("image"),
-        F.coalesce(alive("changing"), F.lit(False)).alias("image_change_in_progress"))
+        F.coalesce(alive("changing"), F.lit(False)).alias("image_change_in_progress"), *others)
 
 
 def collect_first(log: DataFrame, key: str, predicate: Column, value: Column, order_cols: Sequence[str]) -> DataFrame:

@@ -107,11 +107,15 @@ def activity_count(runs: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("idle", F.col("active") == 0)
 
 
+def run_end() -> Column:
+    """When an application ended, by its ``start_at`` and ``duration_ms``."""
+    return plus_seconds(F.col("start_at"), F.col("duration_ms") / F.lit(1000).cast("decimal(4,0)"))
+
+
 def _activity(runs: DataFrame) -> DataFrame:
     """Per cluster: running applications and the end of the last completed one."""
-    end = plus_seconds(F.col("start_at"), F.col("duration_ms") / F.lit(1000).cast("decimal(4,0)"))
     return runs.groupBy("cluster_id").agg(
-        F.sum(F.col("active").cast("bigint")).alias("active"), F.max(F.when(~F.col("active"), end)).alias("last_end"))
+        F.sum(F.col("active").cast("bigint")).alias("active"), F.max(F.when(~F.col("active"), run_end())).alias("last_end"))
 
 
 def last_activity(clusters: DataFrame, runs: DataFrame) -> DataFrame:
@@ -129,11 +133,15 @@ def timeout_verdict(clusters: DataFrame, runs: DataFrame, now, available_col: st
     """
     wide = clusters.join(_activity(runs), "cluster_id", "left")
     moment = F.lit(now).cast(clusters.schema["launched_at"].dataType)
+    return wide.select("cluster_id", verdict(moment, F.col(available_col) if available_col else None).alias("verdict"))
+
+
+def verdict(moment: Column, available: Column | None = None) -> Column:
+    """The verdict on a row of a cluster's facts with ``active`` and ``last_end`` of its history."""
     running = effective_container_state(F.col("master_state"), F.col("master_container")) == "ContainerRunning"
     judged = F.col("master_address").isNotNull() & running & (F.coalesce("active", F.lit(0)) == 0)
-    if available_col is not None:
-        judged = judged & F.col(available_col)
+    if available is not None:
+        judged = judged & available
     ttl_end = plus_seconds(F.col("launched_at"), F.col("ttl_hours") * 3600)
     idle_end = plus_seconds(F.coalesce("last_end", "launched_at"), F.col("idle_minutes") * 60)
-    verdict = F.when(judged & (moment > ttl_end), "TTLExpired").when(judged & (moment > idle_end), "IdleTimeout")
-    return wide.select("cluster_id", verdict.alias("verdict"))
+    return F.when(judged & (moment > ttl_end), "TTLExpired").when(judged & (moment > idle_end), "IdleTimeout")

@@ -41,3 +41,19 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             _local_scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         base = _local_scratch
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _files(spark, path)
+    return files.exists(place)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, with all in it."""
+    place, files = _files(spark, path)
+    files.delete(place, True)

@@ -9,7 +9,7 @@ output, and no old state piles up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -76,11 +76,29 @@ def output(spark: SparkSession, out_path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out_path)
 
 
-def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process everything available, then stop."""
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+Writers = DataStreamWriter | Sequence[DataStreamWriter]
 
 
-def run_every(writer: DataStreamWriter, checkpoint: str, interval: str = POLL_INTERVAL) -> StreamingQuery:
+def _each(writers: Writers, checkpoint: str) -> list[DataStreamWriter]:
+    """The writers of a chain, each reading what the one before it writes, with a checkpoint folder of its own."""
+    chain = [writers] if isinstance(writers, DataStreamWriter) else list(writers)
+    return [writer.option("checkpointLocation", f"{checkpoint}/{i}") for i, writer in enumerate(chain)]
+
+
+def run_to_end(writers: Writers, checkpoint: str) -> None:
+    """Process everything available, then stop. Timers that only time sets off would keep a query going, so batches without data are left out."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    for writer in _each(writers, checkpoint):
+        conf = SparkSession.active().conf
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            query = writer.trigger(availableNow=True).start()
+        finally:
+            conf.set(name, before)
+        query.awaitTermination()
+
+
+def run_every(writers: Writers, checkpoint: str, interval: str = POLL_INTERVAL) -> list[StreamingQuery]:
     """Keep processing what arrives, a micro-batch per interval."""
-    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    return [writer.trigger(processingTime=interval).start() for writer in _each(writers, checkpoint)]
