@@ -459,11 +459,7 @@ def group_members(t: Inputs) -> DataFrame:
     return fleet.group_members(t.view("raw_instance"), "cluster_id")
 
 
-# Some types are missing from the catalogue, so that there are rejects.
-_LISTED = "instance_type % 97 <> 0"
-
-
-@query("cluster_capacity", f"""
+@query("cluster_capacity", """
 select cluster_id, cores, memory_bytes, storage_bytes, hourly_price,
        cast(null as string) as instance_id, cast(null as bigint) as instance_type, cast(null as string) as reason from (
 select c.cluster_id,
@@ -473,14 +469,14 @@ select c.cluster_id,
        cast(coalesce(sum(s.hourly_price), 0) as decimal(38,4)) as hourly_price
 from cluster_dim c
 left join instance_fact i on c.cluster_id = i.cluster_id and i.role = 'Worker' and i.state <> 'Terminated'
-left join spec_dim s on i.instance_type = s.instance_type and s.{_LISTED}
+left join spec_dim s on i.instance_type = s.instance_type
 group by c.cluster_id) known
 union all
 select cluster_id, null, null, null, null, instance_id, instance_type, concat('unknown instance_type: ', instance_type)
 from instance_fact where role = 'Worker' and state <> 'Terminated'
-  and instance_type not in (select instance_type from spec_dim where {_LISTED})""")
+  and instance_type not in (select instance_type from spec_dim)""")
 def cluster_capacity(t: Inputs) -> DataFrame:
-    shown, rejects = totals.cluster_capacity(t.view("cluster_dim"), t.view("instance_fact"), t.view("spec_dim").where(_LISTED))
+    shown, rejects = totals.cluster_capacity(t.view("cluster_dim"), t.view("instance_fact"), t.view("spec_dim"))
     return _both(shown, rejects)
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.states import CONTAINER_STATES, INSTANCE_STATES, TERMINATION_REASONS
-from ..operators import folds
+from ..operators import folds, totals
 from ..session import shared_dir
 from ..sources import inventory, messages
 from ..sources.kinds import KINDS, MESSAGE_FIELDS, UUID_PATTERN, kinds_having, kinds_requiring
 from .batch_queries import EFFECTIVE, PREFIX
 from .registry import query
-from .views import Inputs
+from .views import NOW, Inputs
 
 
 def reservations(t: Inputs) -> DataFrame:
@@ -76,7 +76,7 @@ def message_decode(t: Inputs) -> DataFrame:
     return rows.select(
         "event_id", "kind", "server_id", "message_no", "cluster_id", "instance_id", "count",
         F.col("docker_image.tag").alias("image_tag"), F.col("cluster_spec.name").alias("spec_name"),
-        F.col("cluster_spec.ttl").alias("spec_ttl"), "bid_price", F.col("reason").alias("end_reason"),
+        F.col("cluster_spec.ttl").alias("spec_ttl"), F.col("bid_price").cast("decimal(18,4)").alias("bid_price"), F.col("reason").alias("end_reason"),
         "container_state", "state", "ip_address", F.col("subnet.availabilityZone").alias("zone"),
         F.col("terminated_at").cast("timestamp_ntz").alias("terminated_at"),
         item("workers", 2)["launchedAt"].cast("timestamp_ntz").alias("worker_launched_at"),
@@ -154,6 +154,47 @@ def app_history_scan(t: Inputs) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_at", "end_at")})
 
 
+_RUNS = """
+last as (select e.*, event_id * 1000 as start_ms, cast(floor(value * 1000) as bigint) as ms, l.doc from events e join history_last l using (event_id)),
+run as (
+  select event_id, user_id as cluster_id, start_ms, ms, false as active from last where event_type in ('view', 'error') and event_id % 5 <> 0
+  union all select event_id, user_id, start_ms, 5, false from last where event_type = 'click' and event_id % 5 <> 0
+  union all select event_id, user_id, start_ms + 60000, ms, false from last where event_type = 'click' and event_id % 5 <> 0
+  union all select event_id, user_id, null, null, true from last where event_type in ('error', 'signup') and event_id % 5 <> 0
+  union all select event_id, user_id, null, null, true from last where event_type = 'signup' and event_id % 5 <> 0)"""
+
+
+@query("app_run_scan", f"""
+with {_RUNS}
+select event_id, cluster_id, timestamp '2024-01-01 00:00:00' + start_ms * interval 1 millisecond as start_at, ms as duration_ms, active, null as reason from run
+union all select event_id, user_id, null, null, null, 'malformed JSON' from last where event_id % 5 = 0""")
+def app_run_scan(t: Inputs) -> DataFrame:
+    runs, rejects = inventory.app_run_scan(t.view("history_last"), "doc")
+    rows = runs.unionByName(rejects.drop("doc"), allowMissingColumns=True)
+    return rows.withColumn("start_at", F.col("start_at").cast("timestamp_ntz"))
+
+
+@query("timeout_from_history", f"""
+with {_RUNS},
+activity as (
+  select cluster_id, sum(case when active then 1 else 0 end) as active,
+         max(case when not active then timestamp '2024-01-01 00:00:00' + (start_ms + ms) * interval 1 millisecond end) as last_end
+  from run group by cluster_id)
+select c.cluster_id, case
+    when c.cluster_id in (select user_id from last where event_id % 5 = 0) then null
+    when c.master_address is null or c.master_state <> 'Running' or c.master_container <> 'ContainerRunning' then null
+    when coalesce(a.active, 0) > 0 then null
+    when timestamp '{NOW}' > c.launched_at + c.ttl_hours * interval 1 hour then 'TTLExpired'
+    when timestamp '{NOW}' > coalesce(a.last_end, c.launched_at) + c.idle_minutes * interval 1 minute then 'IdleTimeout' end as verdict
+from app_cluster c left join activity a on c.cluster_id = a.cluster_id""")
+def timeout_from_history(t: Inputs) -> DataFrame:
+    """From what the masters answered: a cluster whose answer can't be read is not judged."""
+    runs, rejects = inventory.app_run_scan(t.view("history_last"), "doc")
+    unread = rejects.select("cluster_id", F.lit(False).alias("readable")).distinct()
+    clusters = t.view("app_cluster").join(unread, "cluster_id", "left").withColumn("available", F.coalesce("readable", F.lit(True))).drop("readable")
+    return totals.timeout_verdict(clusters, runs, NOW, "available")
+
+
 @query("image_tag_scan", """
 select p_partkey as listing_id, replace(p_name, ' ', '/') as repo, concat(substring(p_brand, 7, 9), '.0-', p_size) as tag
 from part where p_size % 10 <> 0

@@ -56,6 +56,29 @@ def app_history_scan(history: DataFrame, json_col: str) -> DataFrame:
         "active")
 
 
+def app_run_scan(history: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(runs, rejects)`` of application histories, as ``activity_count``, ``last_activity`` and ``timeout_verdict`` take them.
+
+    ``runs`` has the other columns and ``start_at, duration_ms, active``: one row for each completed application and, without times, for each
+    active one. A document without applications gives none. ``rejects`` has the documents that can't be read, with the
+    ``reason``; they say nothing of a cluster, so it should not be judged (``available_col`` of ``timeout_verdict``).
+    """
+    others = [c for c in history.columns if c != json_col]
+    schema = T.StructType([*APP_HISTORY.fields, T.StructField("_corrupt_record", T.StringType())])
+    parse = F.from_json(F.col(json_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # the one-element explode keeps the parse from being copied into every use of it
+    doc = history.select(*history.columns, F.explode(F.array(parse)).alias("__d"))
+    reason = F.when(F.col(json_col).isNull(), "no document").when(F.col("__d").isNull() | F.col("__d._corrupt_record").isNotNull(), "malformed JSON").when(
+        F.col("__d.activeapps").isNull() | F.col("__d.completedapps").isNull(), "no applications listed")
+    read = doc.withColumn("reason", reason)
+    run = lambda start, duration, active: F.struct(start.alias("start_at"), duration.alias("duration_ms"), F.lit(active).alias("active"))
+    nothing = F.lit(None)
+    done = F.transform("__d.completedapps", lambda a: run(F.timestamp_millis(a["starttime"]), a["duration"], False))
+    now = F.transform("__d.activeapps", lambda a: run(nothing.cast("timestamp"), nothing.cast("bigint"), True))
+    runs = read.where("reason is null").select(*others, F.inline(F.concat(done, now)))
+    return runs, read.where("reason is not null").select(*history.columns, "reason")
+
+
 IMAGE_LISTING = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))])
 

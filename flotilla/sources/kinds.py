@@ -66,6 +66,9 @@ LOOSE_UUID_PATTERN = "^[0-9a-fA-F]+(-[0-9a-fA-F]+){4}$"
 ADDRESS_PATTERN = (
     r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?!$)|$)){4}$|^[0-9a-fA-F:]*:[0-9a-fA-F:.]*$")
 
+#: Decimals as table values. Reading one with more digits before the point fails; one with more behind it would be rounded.
+DECIMAL = T.DecimalType(38, 18)
+
 ENVELOPE = ["serverId", "messageNo"]
 
 
@@ -117,7 +120,7 @@ def wire_type(kind: str) -> T.DataType:
         return T.StructType([T.StructField(f.name, field_type(f, wire_type)) for f in NESTED[kind]])
     if kind == "textmap":
         return T.MapType(T.StringType(), T.StringType())
-    return {"int": T.IntegerType(), "decimal": T.DecimalType(18, 4)}.get(kind, T.StringType())
+    return {"int": T.IntegerType(), "decimal": DECIMAL}.get(kind, T.StringType())
 
 
 def field_type(field: Field, of=wire_type) -> T.DataType:

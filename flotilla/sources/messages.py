@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.states import CONTAINER_STATES, INSTANCE_STATES, TERMINATION_REASONS
-from .kinds import (ADDRESS_PATTERN, KINDS, LOOSE_UUID_PATTERN, MESSAGE_FIELDS, NESTED, UUID_PATTERN, Field,
-                    column_name, kinds_having, kinds_requiring, wire_schema)
+from .kinds import (ADDRESS_PATTERN, KINDS, LOOSE_UUID_PATTERN, MESSAGE_FIELDS, NESTED, UUID_PATTERN,
+                    Field, column_name, kinds_having, kinds_requiring, wire_schema)
 
 _ENUMS = {
     "instance_state": INSTANCE_STATES,
@@ -17,6 +17,9 @@ _ENUMS = {
     "termination_reason": TERMINATION_REASONS,
 }
 _CHECKED = {*_ENUMS, "uuid", "address", "instant", "duration"}
+_DECIMALS = sorted({f.name for fields in (MESSAGE_FIELDS, *NESTED.values()) for f in fields if f.kind == "decimal"})
+# A decimal that reading would round, or one with an exponent. Inside a JSON text a quote has a backslash, so no other value looks like this.
+_INEXACT = rf'"({"|".join(_DECIMALS)})"\s*:\s*-?[0-9]+([.][0-9]{{18}}[0-9]*[1-9]|[.]?[0-9]*[eE])'
 
 
 def _bad_value(col: Column, kind: str) -> Column | None:
@@ -68,7 +71,9 @@ def _typed(col: Column, kind: str) -> Column:
 
 
 def _wired(col: Column, kind: str) -> Column:
-    """Table value to wire value, the inverse of ``_typed``."""
+    """Table value to wire value, the inverse of ``_typed``; a decimal as text without the zeros behind its fourth place."""
+    if kind == "decimal":
+        return F.regexp_replace(col.cast("string"), r"(\.\d{4}\d*?)0+$", "$1")
     if kind == "instant":
         return text.instant_text(col)
     if kind == "duration":
@@ -111,6 +116,7 @@ def _checked(lines: DataFrame, text_col: str) -> DataFrame:
         fault = _field_fault(value, Field(field.name, field.kind, field.many, True))
         if fault is not None:
             reason = reason.when(kind.isin(kinds_having(field.name)) & fault, f"invalid {field.name}")
+    reason = reason.when(F.col(text_col).rlike(_INEXACT), "inexact decimal")
     return parsed.withColumn("reject", reason)
 
 
@@ -154,7 +160,9 @@ def message_encode(messages: DataFrame) -> DataFrame:
     wire = F.struct(
         F.col("kind").alias("$type"),
         *[_each(F.col(name), field, _wired).alias(field.name) for name, field in have.items()])
-    return messages.select("event_id", F.to_json(wire).alias("line"))
+    # decimals are written as numbers; inside a JSON text a quote has a backslash, so no other value looks like this
+    line = F.regexp_replace(F.to_json(wire), rf'"({"|".join(_DECIMALS)})":"(-?[0-9.]+)"', '"$1":$2')
+    return messages.select("event_id", line.alias("line"))
 
 
 def write_lines(encoded: DataFrame, path: str) -> None:

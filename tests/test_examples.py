@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 import json
 
 import pytest
@@ -264,3 +265,41 @@ def test_bad_texts_are_rejected_and_the_rest_goes_on(spark):
         1: "malformed JSON", 2: "malformed JSON", 3: "malformed JSON", 4: "no $type", 5: "unknown $type Nothing", 6: "missing count",
         7: "malformed JSON", 8: "invalid state", 9: "invalid terminatedAt", 10: "invalid clusterSpec", 11: "invalid clusterSpec",
         12: "invalid workers"}
+
+
+def test_decimals_are_exact_or_rejected(spark):
+    """Nothing is rounded: a price comes back as it was, or its line is a reject."""
+    prices = ["0.123456789", "1.5000", "12345678901234567890.123456789012345678", "0.000000000000000001", "7", "-0.1"]
+    bad = ["0.1234567890123456789", "123456789012345678901", "1e400", '"cheap"']
+    spec = ('{"id":"00000000-0000-4000-8000-000000000001","name":"a","dockerImage":{"repo":"r","tag":"t"},"masterInstanceType":"m",'
+            '"workerInstanceType":"w","numWorkers":1,"subnetId":"\\"bidPrice\\":\\"5\\""}')
+    lines = [(i, '{"$type":"LaunchSpotCluster","clusterSpec":' + spec + f',"bidPrice":{price}}}') for i, price in enumerate(prices + bad)]
+    good, rejects = messages.message_decode(spark.createDataFrame(lines, "event_id long, line string"), "line")
+    decoded = {r.event_id: r.bid_price for r in good.collect()}
+    assert decoded == {i: decimal.Decimal(price) for i, price in enumerate(prices)}
+    assert {r.event_id for r in rejects.collect()} == set(range(len(prices), len(prices) + len(bad)))
+    back = {r.event_id: json.loads(r.line, parse_float=decimal.Decimal, parse_int=decimal.Decimal) for r in messages.message_encode(good).collect()}
+    assert {i: m["bidPrice"] for i, m in back.items()} == decoded
+    assert all(m["clusterSpec"]["subnetId"] == '"bidPrice":"5"' for m in back.values())
+    again, _ = messages.message_decode(messages.message_encode(good), "line")
+    assert {r.event_id: r.bid_price for r in again.collect()} == decoded
+
+
+def test_histories_as_runs_and_rejects(spark):
+    docs = [(1, '{"activeapps":[{"id":"a"}],"completedapps":[{"starttime":1000,"duration":500}]}'), (2, '{"activeapps":[],"completedapps":[]}'), (3, '{"activeapps":['),
+            (4, None), (5, "{}")]
+    runs, rejects = inventory.app_run_scan(spark.createDataFrame(docs, "cluster_id long, doc string"), "doc")
+    stamp = datetime.datetime(1970, 1, 1, 0, 0, 1)
+    assert sorted(map(tuple, runs.collect()), key=lambda r: r[3]) == [(1, stamp, 500, False), (1, None, None, True)]
+    assert {r.cluster_id: r.reason for r in rejects.collect()} == {3: "malformed JSON", 4: "no document", 5: "no applications listed"}
+
+
+def test_workers_of_types_that_no_catalogue_has(spark):
+    clusters = spark.createDataFrame([(1,), (2,)], "cluster_id int")
+    instances = spark.createDataFrame(
+        [(1, "a", 5, "Worker", "Running"), (1, "b", 6, "Worker", "Running"), (1, "c", 6, "Worker", "Terminated"), (2, "d", 5, "Master", "Running")],
+        "cluster_id int, instance_id string, instance_type int, role string, state string")
+    specs = spark.createDataFrame([(5, 4, 8, 1, 2, decimal.Decimal("0.5"))], "instance_type int, cores int, memory_bytes long, devices int, bytes_per_device long, hourly_price decimal(18,4)")
+    shown, rejects = totals.cluster_capacity(clusters, instances, specs)
+    assert {r.cluster_id: r.cores for r in shown.collect()} == {1: 4, 2: 0}
+    assert [(r.instance_id, r.instance_type) for r in rejects.collect()] == [("b", 6)]
