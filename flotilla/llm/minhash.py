@@ -172,7 +172,7 @@ def _marked(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
     sketches = landed(source.mapInArrow(_sketcher(bands, rows, seed), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = landed(
         sketches.where("n > 0").groupBy("high", "low")
-        .agg(F.min(F.struct("id", "place", "row")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"),
+        .agg(F.min(F.struct("id", "place", "row")).alias("least"), F.first("n").alias("n"),
              F.first("bands").alias("bands"), F.first("signature").alias("signature"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -183,23 +183,19 @@ def _marked(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
     weights = landed(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     weighed = shared.join(weights, "node")
     centres = landed(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre")), "centres")
-    shared = shared.join(centres, "bucket")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """The full set of each of some nodes, once."""
-        wanted = landed(nodes.distinct().toDF("node").join(classes.select("node", "least.id", "least.place", "copies"), "node"), "wanted")
-        texts = source.join(wanted, ["id", "place"]).select("node", "copies", "text")
-        # grouped by another column than the join's, so that the join can split a hot id and each part sends one of its copies
-        texts = texts.where("copies = 1").select("node", "text").union(texts.where("copies > 1").groupBy("node").agg(F.first("text").alias("text")))
-        return landed(texts.mapInArrow(_sets, "node bigint, shingles array<bigint>"), "sets")
+    shared = landed(shared.join(centres, "bucket"), "centred")
 
+    # The full set of every class that shares a bucket, once for all that follows. Of the copies under one id a single text leaves its task, so the
+    # texts are shuffled once, and no id or text is hot in the join.
+    wanted = landed(shared.select("node").distinct().join(classes.select("node", "least.id", "least.place"), "node"), "wanted")
+    texts = source.groupBy("id", "place").agg(F.first("text").alias("text")).join(wanted, ["id", "place"]).select("node", "text")
+    sets = landed(texts.mapInArrow(_sets, "node bigint, shingles array<bigint>"), "sets")
     signed = classes.select("node", "n", "signature")
     likely = landed(
         shared.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
         .join(signed.toDF("a", "n_a", "signature_a"), "a").join(signed.toDF("b", "n_b", "signature_b"), "b")
         .where(_long_enough(F.col("n_a"), F.col("n_b"), percent))
         .where(_agreement("signature_a", "signature_b") >= SIGNATURE_SHARE).select("a", "b"), "likely")
-    sets = sets_of(likely.select(F.explode(F.array("a", "b"))))
     common = F.size(F.array_intersect("left", "right"))
     found = landed(
         likely.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
@@ -211,7 +207,7 @@ def _marked(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
         placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         .where("least <> most").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
     if not open_buckets.isEmpty():
-        labels = components(labels.toDF("b", "a").select("a", "b").union(_links_in(placed, open_buckets, classes, sets_of, percent)))
+        labels = components(labels.toDF("b", "a").select("a", "b").union(_links_in(placed, open_buckets, classes, sets, percent)))
     named = landed(classes.select("high", "low", "node", "least").join(labels, "node", "left")
                    .select("high", "low", "least", F.coalesce("component", "node").alias("component")), "named")
     firsts = landed(named.groupBy("component").agg(F.min("least").alias("first")), "firsts")
@@ -222,12 +218,12 @@ def _marked(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
                 F.when(F.col("n") > 0, F.col("row") == F.col("first_row")).otherwise(F.lit(True)).alias("first")))
 
 
-def _links_in(placed: DataFrame, open_buckets: DataFrame, classes: DataFrame, sets_of, percent: int) -> DataFrame:
+def _links_in(placed: DataFrame, open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links between classes of different components that share a bucket."""
     rest = landed(placed.join(open_buckets, "bucket"), "rest")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rest = (
-        rest.join(classes.select("node", "bands", "signature"), "node").join(sets_of(rest.select("node")), "node")
+        rest.join(classes.select("node", "bands", "signature"), "node").join(sets, "node")
         .withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component", "bands", "signature", "shingles"))
     return rest.groupBy("bucket", "one", "two").applyInArrow(_compared(percent), "a bigint, b bigint")
