@@ -180,15 +180,22 @@ union all
 select event_id, 'change_image',
        case when state <> 'Running' then 'cluster master must be running to change docker image'
             when container_state <> 'ContainerRunning' then 'master container is not running' end
+from state_history
+union all
+select event_id, 'change_image_again',
+       case when state <> 'Running' then 'cluster master must be running to change docker image'
+            when event_id % 4 = 1 then 'docker image change is in progress'
+            when container_state <> 'ContainerRunning' then 'master container is not running' end
 from state_history""")
 def action_guard(t: Inputs) -> DataFrame:
-    rows = t.view("state_history").withColumn("workers", F.col("event_id") % 10 - 4)
+    rows = t.view("state_history").withColumn("workers", F.col("event_id") % 10 - 4).withColumn("changing", F.col("event_id") % 4 == 1)
     cases = {
         "terminate_instance": states.action_guard(rows, "terminate_instance", "state"),
         "terminate_instance_shown": states.action_guard(rows, "terminate_instance", "state", "container_state"),
         "terminate_cluster": states.action_guard(rows, "terminate_cluster", "state", underway_col="terminated_mark"),
         "add_workers": states.action_guard(rows, "add_workers", "state", count_col="workers"),
         "change_image": states.action_guard(rows, "change_image", "state", "container_state"),
+        "change_image_again": states.action_guard(rows, "change_image", "state", "container_state", changing_col="changing"),
     }
     out = None
     for name, checked in cases.items():
@@ -417,7 +424,9 @@ select r.request_id,
          when 'ChangeDockerImage' then case
            when c.cluster_id is null then concat('Change docker image: no cluster with id ', r.cluster_id)
            when c.master_state <> 'Running' then concat('Failed to change Docker image of cluster with id ', r.cluster_id,
-                ': requirement failed: cluster master must be running to change docker image') end
+                ': requirement failed: cluster master must be running to change docker image')
+           when r.cluster_id % 5 = 2 then concat('Failed to change Docker image of cluster with id ', r.cluster_id,
+                ': requirement failed: docker image change is in progress') end
          when 'TerminateCluster' then case
            when c.cluster_id is null then concat('Terminate cluster: no cluster with id ', r.cluster_id)
            when c.master_state = 'Terminating' then concat('Failed to terminate cluster with id ', r.cluster_id,
@@ -433,7 +442,8 @@ from request_log r left join cluster_dim c on r.cluster_id = c.cluster_id
 left join worker_dim w on r.instance_id = w.instance_id and w.state <> 'Terminated'""")
 def request_outcome(t: Inputs) -> DataFrame:
     log = t.view("request_log").withColumn("extra_tags", F.create_map(F.coalesce("tag_a", F.lit("team")), F.lit("1"), F.coalesce("tag_b", F.lit("owner")), F.lit("2")))
-    return requests.request_outcome(log, t.view("cluster_dim"), t.view("worker_dim"))
+    clusters = t.view("cluster_dim").withColumn("image_changing", F.col("cluster_id") % 5 == 2)
+    return requests.request_outcome(log, clusters, t.view("worker_dim"))
 
 
 @query("completion_barrier", """

@@ -9,7 +9,7 @@ from ..functions.states import CONTAINER_STATES, INSTANCE_STATES, TERMINATION_RE
 from ..operators import folds, totals
 from ..session import shared_dir
 from ..sources import inventory, messages
-from ..sources.kinds import KINDS, MESSAGE_FIELDS, UUID_PATTERN, kinds_having, kinds_requiring
+from ..sources.kinds import KINDS, MESSAGE_FIELDS, NESTED, UUID_PATTERN
 from .batch_queries import EFFECTIVE, PREFIX
 from .registry import query
 from .views import NOW, Inputs
@@ -95,29 +95,58 @@ def _in(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def _conformance_sql() -> str:
-    enums = {"state": INSTANCE_STATES, "containerState": CONTAINER_STATES, "reason": TERMINATION_REASONS}
-    parts = [
-        "select '?' as kind, 'malformed JSON' as rule from l where m is null",
-        f"select coalesce(kind, '?'), 'unknown $type' from l where m is not null and coalesce(kind, '?') not in {_in(KINDS)}"]
-    for field in MESSAGE_FIELDS:
-        value = f"json_extract_string(m, '$.{field.name}')"
-        if kinds_requiring(field.name):
-            parts.append(f"select kind, 'missing {field.name}' from l where kind in {_in(kinds_requiring(field.name))} and {value} is null")
-        if field.name in enums:
-            parts.append(f"select kind, 'enum {field.name}' from l where kind in {_in(kinds_having(field.name))} "
-                         f"and {value} not in {_in(enums[field.name])}")
-        if field.name == "clusterId":
-            parts.append(f"select kind, 'pattern clusterId' from l where kind in {_in(kinds_having(field.name))} "
-                         f"and not regexp_matches({value}, '{UUID_PATTERN}')")
-    return " union all ".join(parts)
+def _schema_paths() -> tuple[list[tuple[str, str, str]], list[tuple[str, str]]]:
+    """(path, JSON type, kind of value) of every value, and (path of an object, name of a field it needs)."""
+    values, needed = [], []
+    open_ = [(f.name, f) for f in MESSAGE_FIELDS]
+    while open_:
+        path, field = open_.pop()
+        if field.many:
+            values.append((path, "array", ""))
+            path += "[]"
+        if field.kind in NESTED:
+            values.append((path, "object", ""))
+            needed += [(path, f.name) for f in NESTED[field.kind] if not f.optional]
+            open_ += [(f"{path}.{f.name}", f) for f in NESTED[field.kind]]
+        elif field.kind == "textmap":
+            values += [(path, "object", ""), (f"{path}.*", "string", "")]
+        else:
+            values.append((path, {"int": "integer", "decimal": "number"}.get(field.kind, "string"), field.kind))
+    return values, needed
+
+
+def _rows(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
 
 
 def _conformance(view: str) -> str:
-    return f"""
+    values, needed = _schema_paths()
+    enums = {"instance_state": INSTANCE_STATES, "container_state": CONTAINER_STATES, "termination_reason": TERMINATION_REASONS}
+    return rf"""
 with l as (select *, json_extract_string(m, '$."$type"') as kind
-           from (select case when json_valid(line) then cast(line as json) end as m from {view}) x)
-select kind, rule, count(*) as n from ({_conformance_sql()}) r group by kind, rule"""
+           from (select case when json_valid(line) and json_type(line) = 'OBJECT' then cast(line as json) end as m from {view}) x),
+field(kind, path, needed) as (values {_rows([(k, f, "y" if f in required else "") for k, (required, optional) in KINDS.items() for f in required + optional])}),
+rule(path, wanted, of) as (values {_rows(values)}),
+needs(path, name) as (values {_rows(needed)}),
+enum(of, value) as (values {_rows([(of, value) for of, names in enums.items() for value in names])}),
+node as (
+  select kind, type, value, split_part(split_part(fullkey, '.', 2), '[', 1) as top,
+    regexp_replace(regexp_replace(fullkey[3:], '\[[0-9]+\]', '[]', 'g'), '(extraInstanceTags\.tags)\..*', '\1.*') as path
+  from l, json_tree(l.m) where (type <> 'NULL' or fullkey like '%]') and fullkey <> '$'),
+typed as (
+  select n.kind, n.path, n.value, r.wanted, r.of,
+    case when type in ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') then lower(type) when type = 'VARCHAR' then 'string' when type = 'DOUBLE' then 'number' else 'integer' end as found
+  from node n join field f on f.kind = n.kind and f.path = n.top join rule r on r.path = n.path),
+broken as (
+  select '?' as kind, 'malformed JSON' as rule from l where m is null
+  union all select coalesce(kind, '?'), 'unknown $type' from l where m is not null and coalesce(kind, '?') not in {_in(KINDS)}
+  union all select l.kind, 'missing ' || path from l join field using (kind) where needed = 'y' and json_extract_string(m, '$.' || path) is null
+  union all select kind, 'missing ' || path || '.' || name from typed join needs using (path) where found = 'object' and json_extract_string(value, '$.' || name) is null
+  union all select kind, 'type ' || path from typed where found <> wanted and not (wanted = 'number' and found = 'integer')
+  union all select kind, 'enum ' || path from typed t where found = wanted and of in (select of from enum)
+    and not exists (select 1 from enum e where e.of = t.of and e.value = json_extract_string(t.value, '$'))
+  union all select kind, 'pattern ' || path from typed where found = wanted and of = 'uuid' and not regexp_matches(json_extract_string(value, '$'), '{UUID_PATTERN}'))
+select kind, rule, count(*) as n from broken group by kind, rule"""
 
 
 @query("message_conformance", _conformance("wire_text"))
@@ -130,6 +159,11 @@ def message_conformance_log(t: Inputs) -> DataFrame:
     return messages.message_conformance(t.view("message_text"), "line")
 
 
+@query("message_conformance_nested", _conformance("wire_faults"))
+def message_conformance_nested(t: Inputs) -> DataFrame:
+    return messages.message_conformance(t.view("wire_faults"), "line")
+
+
 @query("price_history_scan", """
 select instance_type, event_id, zone, product, price, ts from price_history
 where zone = 'zone-1' and product = 'Linux/UNIX' and ts >= timestamp '2024-01-10 00:00:00'

@@ -216,6 +216,17 @@ select event_id, concat('{"$type":"', case pick
   else concat('WorkersRemoved",', envelope) end,
   case when pick <= 24 then '}' else '' end) as line
 from wire_nested""",
+    "wire_faults": """
+select event_id, case event_id % 8
+  when 0 then replace(line, '"state":"Running"', '"state":"Idle"')
+  when 1 then replace(line, '"tag":', '"label":')
+  when 2 then replace(replace(line, '"numWorkers":', '"numWorkers":"many","number":'), '"messageNo":', '"messageNo":0.5')
+  when 3 then replace(line, '["0000', '["nobody-0000')
+  when 4 then replace(line, '"containerState":"ContainerRunning"', '"containerState":null')
+  when 5 then replace(replace(line, '"workers":[', '"workers":[7,'), '"subnet":{', '"subnet":[],"net":{')
+  when 6 then replace(replace(line, '"tags":{', '"tags":{"a.b":5,'), '"id":"', '"id":"x-')
+  else line end as line
+from wire_text""",
     "price_history": """
 select event_id, user_id as instance_type, concat('zone-', user_id % 3) as zone,
        case when cast(floor(value) as int) % 10 = 0 then 'Windows' else 'Linux/UNIX' end as product,

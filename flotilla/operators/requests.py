@@ -54,12 +54,11 @@ def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame
 
     ``requests`` has ``kind``, ``cluster_id``, ``worker_count`` and ``instance_id`` and, where launches are among
     them, ``spec`` (as text), ``bid_price`` and ``extra_tags`` (a map). ``clusters`` has ``master_state`` and may have
-    ``termination_reason``. Only unterminated workers are found. A request of no known kind has no attempt, and an error that says so.
+    ``termination_reason`` and ``image_changing`` (a change was requested and has not succeeded yet). Only unterminated workers are found. A request of no known kind has no attempt, and an error that says so.
     """
+    told = lambda name, kind: (F.col(name) if name in clusters.columns else F.lit(None).cast(kind)).alias(name)
     known = clusters.select(
-        "cluster_id", "master_state",
-        (F.col("termination_reason") if "termination_reason" in clusters.columns
-         else F.lit(None).cast("string")).alias("termination_reason"))
+        "cluster_id", "master_state", told("termination_reason", "string"), told("image_changing", "boolean"))
     open_workers = workers.where(F.col("state") != "Terminated").select("instance_id", F.col("state").alias("worker_state"))
     # Each kind needs one lookup only. Joining all requests to both sides would also send every
     # request without an instance id to one task.
@@ -80,7 +79,8 @@ def request_outcome(requests: DataFrame, clusters: DataFrame, workers: DataFrame
     errors = {
         "AddWorkers": answer("AddWorkers", master, "cluster_id",
                              required(guard("add_workers", master, count=F.col("worker_count")))),
-        "ChangeDockerImage": answer("ChangeDockerImage", master, "cluster_id", required(guard("change_image", master))),
+        "ChangeDockerImage": answer("ChangeDockerImage", master, "cluster_id", required(
+            guard("change_image", master, changing=F.col("image_changing")))),
         "TerminateCluster": answer("TerminateCluster", master, "cluster_id", F.when(
             underway.isNotNull(), guard("terminate_cluster", master, underway=underway)).otherwise(
             required(guard("terminate_cluster", master)))),

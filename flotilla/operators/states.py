@@ -18,6 +18,8 @@ TERMINATION_UNDERWAY = "cluster termination is already underway because of "
 ADD_NEEDS_RUNNING = "cluster master must be running to add workers"
 ADD_NEEDS_COUNT = "worker count must be positive"
 IMAGE_NEEDS_RUNNING = "cluster master must be running to change docker image"
+#: The state that forbids it is the dashboard's, which has no text for it.
+IMAGE_CHANGING = "docker image change is in progress"
 
 # Limits of a launch request, inclusive.
 LIFETIME_HOURS = (1, 24)
@@ -64,11 +66,12 @@ def lifecycle_filter(instances: DataFrame, which: str) -> DataFrame:
 
 
 def guard(action: str, state: Column, container: Column | None = None, count: Column | None = None,
-          underway: Column | None = None) -> Column:
+          underway: Column | None = None, changing: Column | None = None) -> Column:
     """Text of the first rule that forbids the action, null when it is allowed.
 
     ``container`` adds what the dashboard also asks of the container state. ``underway`` is
-    the reason of a cluster termination that was already requested.
+    the reason of a cluster termination that was already requested, ``changing`` says that an image
+    change was requested and has not succeeded yet; null is no.
     """
     if action == "terminate_instance":
         error = F.when(state == "Terminating", INSTANCE_TERMINATING).when(state == "Terminated", INSTANCE_TERMINATED)
@@ -82,6 +85,8 @@ def guard(action: str, state: Column, container: Column | None = None, count: Co
             error = error.when(~F.coalesce(count > 0, F.lit(False)), ADD_NEEDS_COUNT)
     elif action == "change_image":
         error = F.when(~state.eqNullSafe("Running"), IMAGE_NEEDS_RUNNING)
+        if changing is not None:
+            error = error.when(changing, IMAGE_CHANGING)
     else:
         raise ValueError(f"unknown action {action}")
     if container is None:
@@ -95,11 +100,11 @@ def guard(action: str, state: Column, container: Column | None = None, count: Co
 
 
 def action_guard(df: DataFrame, action: str, state_col: str, container_col: str | None = None,
-                 count_col: str | None = None, underway_col: str | None = None) -> DataFrame:
+                 count_col: str | None = None, underway_col: str | None = None, changing_col: str | None = None) -> DataFrame:
     """Add ``error``: why the action is not allowed, or null."""
     pick = lambda name: None if name is None else F.col(name)
     return df.withColumn("error", guard(
-        action, F.col(state_col), pick(container_col), pick(count_col), pick(underway_col)))
+        action, F.col(state_col), pick(container_col), pick(count_col), pick(underway_col), pick(changing_col)))
 
 
 def display_status(df: DataFrame, state_col: str, container_col: str) -> DataFrame:

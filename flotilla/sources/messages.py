@@ -170,30 +170,89 @@ def write_lines(encoded: DataFrame, path: str) -> None:
     encoded.select("line").write.mode("overwrite").text(path)
 
 
-def message_conformance(lines: DataFrame, text_col: str) -> DataFrame:
-    """``kind, rule, n``: how many lines of each kind break each schema rule."""
-    raw = T.StructType(
-        [T.StructField("$type", T.StringType())]
-        + [T.StructField(f.name, T.StringType()) for f in MESSAGE_FIELDS]
-        + [T.StructField("_corrupt_record", T.StringType())])
-    parsed = _parsed(lines, [], text_col, raw)
-    kind = F.col("__m").getField("$type")
-    malformed = F.col("__m").isNull() | F.col("__m._corrupt_record").isNotNull()
-    known = kind.isin(list(KINDS))
-    rules = [
-        F.when(malformed, "malformed JSON"),
-        F.when(~malformed & ~F.coalesce(known, F.lit(False)), "unknown $type"),
-    ]
+def _schema_rules() -> tuple[list[tuple], dict[str, list[str]], int]:
+    """(path, JSON type, enum, is it a cluster id) of every value, the fields each object needs by its path, and the deepest nesting."""
+    rules, needs, deepest = [], {}, 0
+
+    def visit(path: str, field: Field, depth: int) -> None:
+        nonlocal deepest
+        deepest = max(deepest, depth)
+        if field.many:
+            rules.append((path, "array", None, False))
+            visit(f"{path}[]", Field(field.name, field.kind, False, False), depth + 1)
+        elif field.kind in NESTED:
+            rules.append((path, "object", None, False))
+            needs[path] = [f.name for f in NESTED[field.kind] if not f.optional]
+            for inner in NESTED[field.kind]:
+                visit(f"{path}.{inner.name}", inner, depth + 1)
+        elif field.kind == "textmap":
+            rules.append((path, "object", None, False))
+            visit(f"{path}.*", Field("*", "text", False, True), depth + 1)
+        else:
+            kind = {"int": "integer", "decimal": "number"}.get(field.kind, "string")
+            enum = list(_ENUMS[field.kind]) if field.kind in _ENUMS else None
+            rules.append((path, kind, enum, field.kind == "uuid"))
+
     for field in MESSAGE_FIELDS:
-        value = F.col("__m").getField(field.name)
-        needing, having = kinds_requiring(field.name), kinds_having(field.name)
-        rules.append(F.when(~malformed & kind.isin(needing) & value.isNull(), f"missing {field.name}"))
-        present = ~malformed & kind.isin(having) & value.isNotNull()
-        if field.kind in _ENUMS:
-            rules.append(F.when(present & ~value.isin(_ENUMS[field.kind]), f"enum {field.name}"))
-        if field.kind == "uuid" and not field.many:
-            rules.append(F.when(present & ~value.rlike(UUID_PATTERN), f"pattern {field.name}"))
-    broken = parsed.select(
-        F.when(malformed, "?").otherwise(F.coalesce(kind, F.lit("?"))).alias("kind"),
-        F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+        visit(field.name, field, 1)
+    return rules, needs, deepest
+
+
+def _json_type(value: Column) -> Column:
+    """JSON's name for the type of a variant that is no object and no array."""
+    name = F.schema_of_variant(value)
+    return (F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+            .when((name == "BIGINT") | name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").otherwise("number"))
+
+
+def message_conformance(lines: DataFrame, text_col: str) -> DataFrame:
+    """``kind, rule, n``: how often the lines of each kind break each schema rule, at every level.
+
+    A rule is ``missing``, ``type``, ``enum`` or ``pattern`` and the path it is about, ``clusters[].workers[].state`` say; a line
+    breaks it once for each place. Each text is parsed once to a variant, which is opened level by level: objects and arrays that the
+    schema knows give their members as rows. A field that is null counts as absent. A value of the wrong type is looked into no further; fields
+    that a kind doesn't have are left alone. A text that is no JSON object (or repeats a key) is malformed; an empty table gives no rows.
+    """
+    rules, needs, deepest = _schema_rules()
+    containers = {kind: [path for path, t, *_ in rules if t == kind] for kind in ("object", "array")}
+    maps = [path[:-2] for path, *_ in rules if path.endswith(".*")]
+    known = lines.sparkSession.createDataFrame(rules, "path string, wanted string, enum array<string>, is_id boolean")
+    texts = lambda values: F.array(*[F.lit(x) for x in values]).cast("array<string>")
+    by = lambda table: F.create_map(*[x for key, names in table.items() for x in (F.lit(key), texts(names))])
+    # as the one item of an array, for parsing stops at the end of a value; the generator keeps the optimizer from copying the parse, see _parsed
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(text_col), F.lit("]"))), "$", "array<variant>")
+    nodes = lines.select(F.explode(F.array(alone)).alias("all")).select(F.when(F.size("all") == 1, F.try_element_at("all", F.lit(1))).alias("value")).select(
+        F.try_variant_get("value", "$['$type']", "string").alias("kind"), F.lit("").alias("path"), "value", F.lit(True).alias("fresh"))
+    path, root = F.col("path"), F.col("path") == ""
+    fields = F.try_element_at(by({k: [*required, *optional] for k, (required, optional) in KINDS.items()}), F.col("kind"))
+    for _ in range(deepest):
+        members = F.map_entries(F.when(F.col("fresh") & (root | path.isin(containers["object"])), F.try_variant_get("value", "$", "map<string,variant>")))
+        members = F.filter(members, lambda e: ~F.is_variant_null(e["value"]) & F.when(root, F.array_contains(fields, e["key"])).otherwise(
+            path.isin(maps) | ~e["key"].rlike(r"[.\[\]*]")))
+        named = F.transform(members, lambda e: F.struct(
+            F.when(root, e["key"]).when(path.isin(maps), F.concat(path, F.lit(".*"))).otherwise(F.concat_ws(".", path, e["key"])).alias("path"),
+            e["value"].alias("value"), F.lit(True).alias("fresh")))
+        items = F.when(F.col("fresh") & path.isin(containers["array"]), F.try_variant_get("value", "$", "array<variant>"))
+        items = F.transform(items, lambda v: F.struct(F.concat(path, F.lit("[]")).alias("path"), v.alias("value"), F.lit(True).alias("fresh")))
+        own = F.array(F.struct(path.alias("path"), F.col("value"), F.lit(False).alias("fresh")))
+        nodes = nodes.select("kind", F.explode(F.concat(own, F.coalesce(named, items, F.slice(own, 1, 0)))).alias("node")).select("kind", "node.*")
+    nodes = nodes.select("kind", "path", "value", F.try_variant_get("value", "$", "map<string,variant>").alias("members"))
+    is_array = F.try_variant_get("value", "$", "array<variant>").isNotNull()
+    found = F.when(F.col("members").isNotNull(), "object").when(is_array, "array").otherwise(_json_type(F.col("value")))
+    # the rules are as many as the schema has values, whatever the number of lines
+    checked = nodes.join(F.broadcast(known), "path", "left").withColumn("found", found)
+    text_value = F.try_variant_get("value", "$", "string")
+    fits = F.col("found") == F.col("wanted")
+    needed = F.when(root, F.try_element_at(by({k: required for k, (required, _) in KINDS.items()}), F.col("kind"))).otherwise(F.try_element_at(by(needs), path))
+    held = F.map_keys(F.map_filter("members", lambda _, v: ~F.is_variant_null(v)))
+    missing = F.transform(F.array_except(needed, held), lambda name: F.concat(F.lit("missing "), F.when(root, name).otherwise(F.concat_ws(".", path, name))))
+    single = F.array(
+        F.when(root & F.col("members").isNull(), "malformed JSON"),
+        F.when(root & F.col("members").isNotNull() & ~F.coalesce(F.col("kind").isin(list(KINDS)), F.lit(False)), "unknown $type"),
+        F.when(~fits & ~((F.col("wanted") == "number") & (F.col("found") == "integer")), F.concat(F.lit("type "), path)),
+        F.when(fits & ~F.array_contains("enum", text_value), F.concat(F.lit("enum "), path)),
+        F.when(fits & F.col("is_id") & ~text_value.rlike(UUID_PATTERN), F.concat(F.lit("pattern "), path)))
+    broken = checked.select(
+        F.when(root & F.col("members").isNull(), "?").otherwise(F.coalesce("kind", F.lit("?"))).alias("kind"),
+        F.explode(F.concat(F.array_compact(single), F.coalesce(missing, texts([])))).alias("rule"))
     return broken.groupBy("kind", "rule").agg(F.count("*").alias("n"))

@@ -267,6 +267,31 @@ def test_bad_texts_are_rejected_and_the_rest_goes_on(spark):
         12: "invalid workers"}
 
 
+def test_conformance_at_every_level(spark):
+    """Each fault is counted at its path, once for each place; odd texts are malformed and nothing else."""
+    of = lambda kind, **fields: json.dumps({"$type": kind, "serverId": "s", "messageNo": 1, **fields})
+    cluster = VALUES["clusters"][0]
+    texts = [
+        of("ClustersAdded", clusters=[{**cluster, "workers": [{**SNAPSHOT, "state": "x"}, {**SNAPSHOT, "state": "x"}, 7]}, {**cluster, "id": "no"}]),
+        of("ClustersAdded", clusters=[{**cluster, "subnet": {"id": None}, "workerBidPrice": "0.5", "launchedAt": 5}]),
+        of("ClustersAdded", clusters={"workers": []}), of("ClustersRemoved", clusterIds=["no", UUID, None, "no"]),
+        of("WorkersAdded", clusterId=5, workers=[{"state": None, "subnet.id": 1}]), of("AddWorkers", clusterId=UUID, count=2.5, clusters="not its field"),
+        json.dumps({"$type": "LaunchCluster", "clusterSpec": {**SPEC, "extraInstanceTags": {"tags": {"a.b": 1, "c": "d"}}, "ttl": None}}),
+        of("InstanceState", instanceId="i", state=["Running"]), '{"$type":"Nothing"}', '{"$type":null}', "[1]", '"text"', "", "{", '{"a":1} {"b":2}', None]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string")
+    found = {(r.kind, r.rule): r.n for r in messages.message_conformance(lines, "line").collect()}
+    needed = ["containerState", "id", "instanceType", "launchedAt", "state"]
+    assert found == {
+        ("ClustersAdded", "enum clusters[].workers[].state"): 2, ("ClustersAdded", "type clusters[].workers[]"): 1, ("ClustersAdded", "pattern clusters[].id"): 1,
+        ("ClustersAdded", "missing clusters[].subnet.id"): 1, ("ClustersAdded", "missing clusters[].subnet.availabilityZone"): 1,
+        ("ClustersAdded", "type clusters[].workerBidPrice"): 1, ("ClustersAdded", "type clusters[].launchedAt"): 1, ("ClustersAdded", "type clusters"): 1,
+        ("ClustersRemoved", "pattern clusterIds[]"): 2, ("ClustersRemoved", "type clusterIds[]"): 1, ("WorkersAdded", "type clusterId"): 1,
+        **{("WorkersAdded", f"missing workers[].{name}"): 1 for name in needed}, ("AddWorkers", "type count"): 1,
+        ("LaunchCluster", "type clusterSpec.extraInstanceTags.tags.*"): 1, ("InstanceState", "type state"): 1,
+        ("Nothing", "unknown $type"): 1, ("?", "unknown $type"): 1, ("?", "malformed JSON"): 6}
+    assert messages.message_conformance(lines.limit(0), "line").collect() == []
+
+
 def test_decimals_are_exact_or_rejected(spark):
     """Nothing is rounded: a price comes back as it was, or its line is a reject."""
     prices = ["0.123456789", "1.5000", "12345678901234567890.123456789012345678", "0.000000000000000001", "7", "-0.1"]
