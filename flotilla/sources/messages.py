@@ -199,9 +199,9 @@ def _schema_rules() -> tuple[list[tuple], dict[str, list[str]], int]:
 
 
 def _json_type(value: Column) -> Column:
-    """JSON's name for the type of a variant that is no object and no array."""
+    """JSON's name for the type of a variant that is no array."""
     name = F.schema_of_variant(value)
-    return (F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+    return (F.when(name.startswith("OBJECT"), "object").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
             .when((name == "BIGINT") | name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").otherwise("number"))
 
 
@@ -236,23 +236,25 @@ def message_conformance(lines: DataFrame, text_col: str) -> DataFrame:
         items = F.transform(items, lambda v: F.struct(F.concat(path, F.lit("[]")).alias("path"), v.alias("value"), F.lit(True).alias("fresh")))
         own = F.array(F.struct(path.alias("path"), F.col("value"), F.lit(False).alias("fresh")))
         nodes = nodes.select("kind", F.explode(F.concat(own, F.coalesce(named, items, F.slice(own, 1, 0)))).alias("node")).select("kind", "node.*")
-    nodes = nodes.select("kind", "path", "value", F.try_variant_get("value", "$", "map<string,variant>").alias("members"))
     is_array = F.try_variant_get("value", "$", "array<variant>").isNotNull()
     found = F.when(F.col("members").isNotNull(), "object").when(is_array, "array").otherwise(_json_type(F.col("value")))
+    held = F.map_keys(F.map_filter("members", lambda _, v: ~F.is_variant_null(v)))
+    is_object = root | path.isin(containers["object"])
+    nodes = nodes.withColumn("members", F.when(is_object, F.try_variant_get("value", "$", "map<string,variant>"))).select(
+        "kind", "path", held.alias("held"), found.alias("found"), F.when(found == "string", F.try_variant_get("value", "$", "string")).alias("text_value"))
     # the rules are as many as the schema has values, whatever the number of lines
-    checked = nodes.join(F.broadcast(known), "path", "left").withColumn("found", found)
-    text_value = F.try_variant_get("value", "$", "string")
+    checked = nodes.join(F.broadcast(known), "path", "left")
+    text_value, held = F.col("text_value"), F.col("held")
     fits = F.col("found") == F.col("wanted")
     needed = F.when(root, F.try_element_at(by({k: required for k, (required, _) in KINDS.items()}), F.col("kind"))).otherwise(F.try_element_at(by(needs), path))
-    held = F.map_keys(F.map_filter("members", lambda _, v: ~F.is_variant_null(v)))
     missing = F.transform(F.array_except(needed, held), lambda name: F.concat(F.lit("missing "), F.when(root, name).otherwise(F.concat_ws(".", path, name))))
     single = F.array(
-        F.when(root & F.col("members").isNull(), "malformed JSON"),
-        F.when(root & F.col("members").isNotNull() & ~F.coalesce(F.col("kind").isin(list(KINDS)), F.lit(False)), "unknown $type"),
+        F.when(root & held.isNull(), "malformed JSON"),
+        F.when(root & held.isNotNull() & ~F.coalesce(F.col("kind").isin(list(KINDS)), F.lit(False)), "unknown $type"),
         F.when(~fits & ~((F.col("wanted") == "number") & (F.col("found") == "integer")), F.concat(F.lit("type "), path)),
         F.when(fits & ~F.array_contains("enum", text_value), F.concat(F.lit("enum "), path)),
         F.when(fits & F.col("is_id") & ~text_value.rlike(UUID_PATTERN), F.concat(F.lit("pattern "), path)))
     broken = checked.select(
-        F.when(root & F.col("members").isNull(), "?").otherwise(F.coalesce("kind", F.lit("?"))).alias("kind"),
+        F.when(root & held.isNull(), "?").otherwise(F.coalesce("kind", F.lit("?"))).alias("kind"),
         F.explode(F.concat(F.array_compact(single), F.coalesce(missing, texts([])))).alias("rule"))
     return broken.groupBy("kind", "rule").agg(F.count("*").alias("n"))
