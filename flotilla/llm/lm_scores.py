@@ -91,8 +91,8 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int
     of their own and count as often as they come. Other columns are not read. Empty in, empty out.
     """
     spark = docs.sparkSession
-    buckets, n = shuffle_partitions(spark), B.block_count(docs, text, block_bytes)
-    rows = B.with_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", n)
+    buckets = shuffle_partitions(spark)
+    rows = B.with_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", block_bytes).rows
 
     def ask(group: pa.Table) -> pa.Table:
         return _ask(group, order, buckets)

@@ -36,10 +36,10 @@ _RESULTS = "kept_text string, n_words bigint, n_removed bigint, n_factors bigint
 
 
 class _Block:
-    """The phrases of one block: rows in order of doc_id, null first."""
+    """The phrases of one block: a range of doc_id, null first, or some rows of one doc_id (``split``)."""
 
-    def __init__(self, group: pa.Table, width: int, anchor: int):
-        self.group, self.width = group, width
+    def __init__(self, group: pa.Table, width: int, anchor: int, split: bool = False):
+        self.group, self.width, self.split = group, width, split
         hashes, counts = [], [np.zeros(1, np.int64)]
         for _, texts in W.chunks(group["text"]):
             words, ends = W.flat_words(texts)
@@ -73,24 +73,32 @@ class _Block:
         return elsewhere[np.searchsorted(self.keys, self.anchors)]
 
     def places(self, chosen: np.ndarray) -> np.ndarray:
-        """(rank of doc_id, start in the document) of phrases as one ascending number."""
+        """(rank of doc_id, start in the document) of phrases as one ascending number. The rank holds for all blocks of a split range."""
         ids = self.group["id"].combine_chunks().fill_null(B.LEAST).to_numpy()
-        rank = np.unique(ids, return_inverse=True)[1]
+        # ids of such a range are one as doubles, which differ from them by a thousand or so at most
+        rank = ids - ids.astype(np.float64).astype(np.int64) + 2048 if self.split else np.unique(ids, return_inverse=True)[1]
         row = np.searchsorted(self.ends, self.inside[chosen], side="right") - 1
         return (rank[row].astype(np.int64) << 32) + self.inside[chosen] - self.ends[row]
 
+    def least(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct phrases, sorted, and the first place of each in the block."""
+        phrases, places = self.phrases[chosen], self.places(chosen)
+        order = np.lexsort((places, phrases))
+        phrases, places = phrases[order], places[order]
+        first = B.runs(phrases)[0] if len(phrases) else np.zeros(0, bool)
+        return phrases[first], places[first]
+
 
 def _duplicates(block: _Block, chosen: np.ndarray, answered: pa.Table, buckets: int) -> np.ndarray:
     """Starts of the phrases that the references before them hold."""
-    phrases, places = block.phrases[chosen], block.places(chosen)
-    order = np.lexsort((places, phrases))
-    phrases, places = phrases[order], places[order]
-    if not len(order):
+    if not len(chosen):
         return np.zeros(0, np.int64)
-    first = B.runs(phrases)[0]
-    group = np.cumsum(first) - 1
-    before = B.read_answers(answered, phrases[first], buckets, 1)[group] | (places > places[first][group])
-    return block.inside[chosen][order[before]]
+    phrases, least = block.least(chosen)
+    earlier = B.read_answers(answered, phrases, buckets, 1)
+    if block.split:
+        least = B.read_answers(answered, phrases, buckets, 2, np.int64)
+    at = np.searchsorted(phrases, block.phrases[chosen])
+    return block.inside[chosen[earlier[at] | (block.places(chosen) > least[at])]]
 
 
 def _cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -101,11 +109,13 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def _cut_rows(docs: DataFrame, text: str, key: str, width: int, anchor: int, block_bytes: int) -> DataFrame:
-    spark, n = docs.sparkSession, B.block_count(docs, text, block_bytes)
-    buckets = shuffle_partitions(spark)
-    rows = B.with_blocks(wrapped(docs, id=F.col(key).cast("long"), text=F.col(text)), "id", n)
+    buckets = shuffle_partitions(docs.sparkSession)
+    rows, pieces, split = B.with_blocks(wrapped(docs, id=F.col(key).cast("long"), text=F.col(text)), "id", "text", block_bytes)
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_RESULTS).fields])
 
+    def block_of(group: pa.Table) -> _Block:
+        return _Block(group, width, anchor, group["block"][0].as_py() // pieces in split)
+
     def ask_anchors(group: pa.Table) -> pa.Table:
         own = _Block(group, width, anchor)
         return B.questions(group["block"][0].as_py(), own.keys, buckets)
@@ -113,12 +123,13 @@ def _cut_rows(docs: DataFrame, text: str, key: str, width: int, anchor: int, blo
     def ask_phrases(group: pa.Table, answered: pa.Table) -> pa.Table:
         if not len(group):
             return B.ASKED_SCHEMA.empty_table()
-        own = _Block(group, width, anchor)
-        keys = np.unique(own.phrases[own.candidates(answered, buckets)])
-        return B.questions(group["block"][0].as_py(), keys, buckets, 1)
+        own, block = block_of(group), group["block"][0].as_py()
+        keys, places = own.least(np.flatnonzero(own.candidates(answered, buckets)))
+        asked = B.questions(block, keys, buckets, 1)
+        return pa.concat_tables([asked, B.questions(block, keys, buckets, 2, places)]) if own.split else asked
 
     def cut(group: pa.Table, answered: pa.Table) -> pa.Table:
-        own = _Block(group, width, anchor)
+        own = block_of(group)
         starts = np.sort(_duplicates(own, np.flatnonzero(own.candidates(answered, buckets)), answered, buckets))
         gone = W.covered(starts, width, own.n)
         first = np.ones(len(starts), bool)  # a factor goes on while the next phrase is held too
@@ -139,7 +150,7 @@ def _cut_rows(docs: DataFrame, text: str, key: str, width: int, anchor: int, blo
     asked = rows.groupBy("block").applyInArrow(ask_anchors, B.ASKED)
     elsewhere = B.answers(asked, B.in_other_block)
     asked = rows.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(ask_phrases, B.ASKED)
-    earlier = B.answers(asked, B.in_earlier_block)
+    earlier = B.answers(asked, B.in_earlier_range(pieces), phases={2: (B.least_in_range(pieces), np.int64, np.int64)})
     return rows.groupBy("block").cogroup(elsewhere.union(earlier).groupBy("block")).applyInArrow(cut, schema)
 
 

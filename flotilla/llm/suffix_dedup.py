@@ -190,8 +190,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     are not read. Empty in, empty out.
     """
     spark = docs.sparkSession
-    buckets, n = shuffle_partitions(spark), B.block_count(docs, text, block_bytes)
-    rows = B.with_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", n)
+    buckets = shuffle_partitions(spark)
+    rows = B.with_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", block_bytes).rows
 
     def ask_anchors(group: pa.Table) -> pa.Table:
         own = _Block(group, width, anchor)

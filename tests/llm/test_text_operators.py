@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from llm_rows import SCHEMA as docs_schema
 from llm_rows import docs, no_docs, ready, rows  # noqa: F401
 from pyspark.sql import functions as F
 
-from flotilla.llm import fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, stars, suffix_dedup
+from flotilla.llm import blocks, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, stars, suffix_dedup
 from flotilla.llm.suffix_array import suffix_array
 
 split = lambda text: (text or "").encode().split()
@@ -20,7 +21,51 @@ LEAST = -(1 << 63)
 place = lambda key: LEAST if key is None else key
 
 
+@pytest.fixture(scope="module")
+def one_id(ready, rows):
+    """A third of the rows and more without an id and many under one, far more than a block each."""
+    drawn = [(None if i % 5 < 2 else 2**62 + i % 2 if i % 5 == 2 else r[0], *r[1:]) for i, r in enumerate(rows)]
+    return drawn, ready.createDataFrame(drawn, docs_schema).repartition(4, "doc_id", "text")
+
+
+def test_blocks_are_bounded(one_id):
+    """Rows of one id, or of none, go to several blocks; only a row, or rows alike, can be more than a block."""
+    drawn, df = one_id
+    limit = 6000
+    dealt, pieces, split = blocks.with_blocks(df, "doc_id", "text", limit)
+    assert pieces >= 4 and len(split) == 2  # two ids that are one double are one range
+    held: dict[int, list] = defaultdict(list)
+    for r in dealt.collect():
+        held[r.block].append((r.doc_id, r.text or ""))
+    assert sum(map(len, held.values())) == len(drawn) and len({b for b, own in held.items() if (None in {k for k, _ in own})}) >= 4
+    sizes = {b: sum(len(t.encode()) for t in {t for _, t in own}) for b, own in held.items()}
+    largest = max(len((r[1] or "").encode()) for r in drawn)
+    assert all(size <= 2 * limit + largest for size in sizes.values())
+    order = [(b // pieces, place(k)) for b, own in held.items() for k, _ in own]
+    assert all(max(k for r, k in order if r == a) < min(k for r, k in order if r == b) for a in {r for r, _ in order} for b in {r for r, _ in order} if a < b)
+
+
+def test_phrases_of_one_id(one_id):
+    check_phrases(one_id[1], one_id[0])
+
+
+def test_byte_strings_of_one_id(one_id):
+    check_byte_strings(one_id[1], one_id[0])
+
+
+def test_stupid_backoff_of_one_id(one_id):
+    check_backoff(one_id[1], one_id[0])
+
+
 def test_phrases(docs, rows):
+    check_phrases(docs, rows)
+    found = phrase_dedup.remove_repeats(docs, block_bytes=3000)
+    assert set(found.columns) == set(docs.columns) | {"kept_text", "n_removed", "n_factors"}  # n_words replaces the input's
+    untouched = {r.doc_id: r.kept_text for r in found.where("n_removed = 0").collect()}
+    assert untouched[0] == rows[0][1]
+
+
+def check_phrases(docs, rows):
     earliest: dict[tuple, tuple] = {}
     for key, text, *_ in rows:
         words = split(text)
@@ -39,9 +84,6 @@ def test_phrases(docs, rows):
     found = phrase_dedup.remove_repeats(docs, block_bytes=3000)
     assert Counter((r.doc_id, r.kept_text is None, r.n_words, r.n_removed, b" ".join(split(r.kept_text))) for r in found.collect()) == expected
     assert sum(k[3] for k in expected) > 500
-    assert set(found.columns) == set(docs.columns) | {"kept_text", "n_removed", "n_factors"}  # n_words replaces the input's
-    untouched = {r.doc_id: r.kept_text for r in found.where("n_removed = 0").collect()}
-    assert untouched[0] == rows[0][1]
 
 
 def test_phrase_text_keeps_lines(ready):
@@ -51,6 +93,10 @@ def test_phrase_text_keeps_lines(ready):
 
 
 def test_byte_strings(docs, rows):
+    check_byte_strings(docs, rows)
+
+
+def check_byte_strings(docs, rows):
     count = Counter()
     for _, text, *_ in rows:
         data = (text or "").encode()
@@ -205,6 +251,10 @@ def test_fertility_keeps_clean_prose():
 
 
 def test_stupid_backoff(docs, rows):
+    check_backoff(docs, rows)
+
+
+def check_backoff(docs, rows):
     words = [split(text) for _, text, *_ in rows]
     ones, twos = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
     expected = []
