@@ -57,9 +57,9 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
     Sources in order of code points, null last, get ``weights`` in turn. A source's ``target`` is its share of all words,
     at most ``epochs`` times its own. It is taken in whole repetitions of every row; the rest in rows ordered by
-    a seeded hash of the key, the last of them in part. Adds ``size``, ``source_size``, ``target``, ``taken``, ``copies`` (whole
+    a seeded hash of key and text, the last of them in part. Adds ``size``, ``source_size``, ``target``, ``taken``, ``copies`` (whole
     repetitions) and ``part_words`` (words of a partial one). What a source takes is within a word of its target (more
-    only if rows repeat the key at the cut). Null and empty texts have size 0 and take nothing. Reruns
+    only if rows alike in key and text are at the cut, which share what is left). Null and empty texts have size 0 and take nothing. Reruns
     agree, whatever the partitioning. Input columns stay; a result replaces one of its name. Empty in, empty out.
 
     The cut is found by radix: the hash's first ten bits, the next ten, then single rows, so no source is sorted whole.
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     spark = docs.sparkSession
     size = word_count(F.col(text))
     own = F.coalesce(F.col(key).cast("long"), F.lit(_LEAST))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), own), 1)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), own, F.col(text)), 1)
     narrow = landed(docs.select(F.col(source).cast("string").alias("source"), size.alias("size"), own.alias("id"), order.alias("place")), "sizes")
     # one row a source; sources are the named parts of a mix
     totals = sorted(((r.source, r.size) for r in narrow.groupBy("source").agg(F.sum("size").alias("size")).collect()),
@@ -104,11 +104,13 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
 
 def repeated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of the mix, with the columns of ``docs``: each row as often as it is taken, a partial one with its first words."""
+    """The rows of the mix, with the columns of ``docs``: each row, whole, as often as it is taken.
+
+    Of the row at a source's cut, of which ``mix`` takes a part, there is one more if the part is half of it or more, so a source is within
+    half a row of its target (half of the rows alike, if several alike in key and text are at the cut). Rows that are not taken are
+    not returned, nor are null and empty texts, which have no words. Reruns agree. Empty in, empty out.
+    """
     mixed = mix(wrapped(docs, **{name: F.col(name) for name in {text, options.get("key", "doc_id"), options.get("source", "source")}}), text, **options)
-    times = mixed.where("copies > 0 or part_words > 0").withColumn(
-        "turn", F.explode(F.sequence(F.lit(1), F.col("copies") + F.when(F.col("part_words") > 0, 1).otherwise(0))))
-    partial = F.col("turn") > F.col("copies")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), 1, F.col("part_words").cast("int")), " ")
-    kept = [(F.when(partial, words).otherwise(F.col(f"row.`{name}`")) if name == text else F.col(f"row.`{name}`")).alias(name) for name in docs.columns]
-    return times.select(*kept)
+    copies = F.col("copies") + F.when((F.col("part_words") > 0) & (2 * F.col("part_words") >= F.col("size")), 1).otherwise(0)
+    times = mixed.withColumn("times", copies).where("size > 0 and times > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return times.select(*[F.col(f"row.`{name}`").alias(name) for name in docs.columns])

@@ -324,7 +324,25 @@ def test_mix(docs, rows):
     assert Counter((r.doc_id, r.size) for r in found) == Counter((r[0], len(split(r[1]))) for r in rows)
     out = mixing.repeated(docs)
     assert out.columns == docs.columns
-    assert sum(len(split(r.text)) for r in out.collect()) == sum(r.taken for r in found)
+    times = Counter(tuple(r) for r in out.collect())
+    assert set(times) <= {r for r in rows if split(r[1])}  # whole rows only
+    for name, target in zip(names, targets, strict=True):
+        own = {r: n for r, n in times.items() if r[3] == name}
+        border = max((len(split(r[1])) for r in rows if r[3] == name), default=0)
+        assert abs(sum(n * len(split(r[1])) for r, n in own.items()) - target) <= border
+
+
+def test_mix_of_one_id(ready):
+    """Rows that share a key, or have none, are taken one by one: of equally long ones all but the one at the cut are whole."""
+    rows = [(None if i % 3 else 7, f"{i} b c d", "a" if i < 90 else "b") for i in range(120)]
+    docs = ready.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).collect()
+    assert sum(0 < r.part_words < r.size for r in found) <= 2
+    times = Counter(r.text for r in mixing.repeated(docs).collect())
+    assert set(times) <= {t for _, t, _ in rows} and max(times.values()) <= 3
+    targets = mixing.water_fill([360, 120], [1, 2], 3)
+    for source, target in zip("ab", targets, strict=True):
+        assert abs(sum(4 * times[t] for _, t, s in rows if s == source) - target) <= 2
 
 
 def test_pieces(docs, rows):
