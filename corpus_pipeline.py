@@ -33,7 +33,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; the row at a source's cut with its first words."""
+    """Each row, whole, as often as the mix takes it; rows without words go."""
     return _recounted(mixing.repeated(docs))
 
 
