@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .stars import components
-from .tables import landed, wrapped
+from .tables import landed, release, wrapped
 
 SHINGLE = 5
 PERCENT = 75
@@ -70,6 +70,7 @@ def _minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int) -> n
 
 def _sketcher(bands: int, rows: int, seed: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, places = batch.column("id"), batch.column("place")
             for at, texts in W.chunks(batch.column("text"), 1 << 20):
@@ -97,6 +98,7 @@ def _sketcher(bands: int, rows: int, seed: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for at, texts in W.chunks(batch.column("text"), 1 << 20):
             values, ends = shingle_sets(texts)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 from . import words as W
-from .tables import shuffle_partitions, unwrapped, wrapped
+from .tables import release, shuffle_partitions, unwrapped, wrapped
 
 WIDTH = 20
 ANCHOR = 6
@@ -39,6 +39,7 @@ class _Block:
     """The phrases of one block: a range of doc_id, null first, or some rows of one doc_id (``split``)."""
 
     def __init__(self, group: pa.Table, width: int, anchor: int, split: bool = False):
+        release()
         self.group, self.width, self.split = group, width, split
         hashes, counts = [], [np.zeros(1, np.int64)]
         for _, texts in W.chunks(group["text"]):

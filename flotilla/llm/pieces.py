@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 from pathlib import Path
 
@@ -24,7 +23,7 @@ from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from . import words as W
-from .tables import unwrapped, wrapped
+from .tables import held, unwrapped, wrapped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker remembers at most; then it keeps those that came again.
@@ -152,9 +151,8 @@ class _Codec:
         return out
 
 
-@cache
 def _codec(model: bytes) -> _Codec:
-    return _Codec(model)
+    return held(_Codec, model)
 
 
 def _texts(codec: _Codec, ids: pa.ListArray) -> pa.Array:

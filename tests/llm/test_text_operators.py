@@ -12,7 +12,7 @@ from llm_rows import SCHEMA as docs_schema
 from llm_rows import docs, no_docs, ready, rows  # noqa: F401
 from pyspark.sql import functions as F
 
-from flotilla.llm import blocks, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, stars, suffix_dedup
+from flotilla.llm import blocks, fertility, line_crf, lm_scores, minhash, mixing, phrase_dedup, pieces, stars, suffix_dedup, tables
 from flotilla.llm.suffix_array import suffix_array
 
 split = lambda text: (text or "").encode().split()
@@ -447,3 +447,21 @@ def test_sorted_keys_travel_as_gaps():
     for keys in ([0], [2**64 - 1], [0, 2**64 - 1], [5, 6, 7], rnd.integers(0, 2**64, 5000, dtype=np.uint64), rnd.integers(0, 2**40, 300)):
         keys = np.unique(np.array(keys, np.uint64))
         assert np.array_equal(unpacked(packed(keys)), keys)
+
+
+def test_workers_keep_the_tables_of_one_operator():
+    """A worker serves every stage of the pipeline: what one stage remembers must not stay beside the next one's memory."""
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    model = Path(pieces.MODEL).read_bytes()
+    codec = pieces._codec(model)
+    assert pieces._codec(bytes(bytearray(model))) is codec
+    words = fertility._vocabularies(Path(fertility.VOCABULARY).read_bytes(), model)
+    assert list(tables._HELD.values()) == [words]
+    list(minhash._sets(iter([])))
+    assert not tables._HELD
+    pieces._codec(model)
+    phrase_dedup._Block(pa.table({"id": pa.array([1]), "text": ["a b"], "block": [0]}), 20, 6)
+    assert not tables._HELD
