@@ -2,15 +2,16 @@
 
 The model's protobuf is parsed and rebuilt: normaliser, ``▁`` for spaces, BPE merges or unigram scores, byte fallback. If
 no piece of the vocabulary continues past a ``▁``, a text falls apart into words there without changing its pieces, so a
-worker encodes each distinct word once, in multithreaded batches. Every such word is encoded by the sentencepiece library
+worker encodes each distinct word once, many in one text. Every such word is encoded by the sentencepiece library
 as well, and the two must agree (``parity``).
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 from pathlib import Path
 
 import numpy as np
@@ -29,6 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker remembers at most; then it keeps those that came again.
 REMEMBERED = 200_000
 CHUNK_BYTES = 1 << 20
+#: Words that are encoded as one text.
+TOGETHER = 64
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values: trainer_spec.model_type
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # fixed values: piece.type
@@ -87,6 +90,9 @@ class _Codec:
         self.is_byte = np.array([kind == BYTE for kind in kinds])
         self.data = [bytes([int(n[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(names, kinds, strict=True)]
         self.lone = [self.other.piece_to_id(SPACE)]
+        self.begins = np.array([name.startswith(SPACE) for name in names])
+        # words in a row, each after one marker, are encoded as each alone: scores of a unigram model would be added in another order
+        self.joins = self.falls_apart and proto.trainer_spec.model_type == BPE and kinds[self.lone[0]] == NORMAL
         self.known: dict[str, int] = {}
         self.sizes, self.hits, self.agrees, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
 
@@ -109,11 +115,12 @@ class _Codec:
         missing = [i for i, place in enumerate(places) if place is None]
         if missing:
             new = list(dict.fromkeys([words[i] for i in missing]))
+            joins = [self.joins and len(word) > 1 and word.rfind(SPACE) == 0 for word in new]
+            new = [*compress(new, joins), *compress(new, map(operator.not_, joins))]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            ids = [x.ids for x in self.words.encode_batch_fast(new, add_special_tokens=False)]
-            self.sizes = np.concatenate((self.sizes, np.array([len(x) for x in ids], np.int64)))
-            self.ids = np.concatenate((self.ids, np.array(list(chain.from_iterable(ids)), np.int32)))
-            self.agrees = np.concatenate((self.agrees, self._parity(new, ids)))
+            sizes, ids = self._ids(new[:sum(joins)], new[sum(joins):])
+            self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+            self.agrees = np.concatenate((self.agrees, self._parity(new, sizes, ids)))
             self.hits = np.concatenate((self.hits, np.zeros(len(new), np.int64)))
             for i in missing:
                 places[i] = self.known[words[i]]
@@ -121,12 +128,26 @@ class _Codec:
         self.hits += np.bincount(found, minlength=len(self.hits))
         return found
 
-    def _parity(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
+    def _ids(self, joined: list[str], single: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in order. ``joined`` begin with the only marker in them and are encoded together."""
+        runs = ["".join(joined[i:i + TOGETHER]) for i in range(0, len(joined), TOGETHER)]
+        ids = [x.ids for x in self.words.encode_batch_fast(runs + single, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        n = sum(map(len, ids[:len(runs)]))
+        sizes = np.diff(np.append(np.flatnonzero(self.begins[flat[:n]]), n))
+        return np.concatenate((sizes, np.array([len(x) for x in ids[len(runs):]], np.int64))), flat
+
+    def _parity(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Does the sentencepiece library give the same ids?"""
         # it puts the marker before a text itself, so it gets a word without its first one
         expected = self.other.encode([word[1:] if word[0] == SPACE else word for word in words], num_threads=1)
         # a marker without a word is nothing but its piece
-        return np.array([a == b if a else b == self.lone for a, b in zip(expected, ids, strict=True)], bool)
+        expected = [a or self.lone for a in expected]
+        theirs = np.array([len(a) for a in expected], np.int64)
+        flat, same = np.fromiter(chain.from_iterable(expected), np.int32), sizes == theirs
+        unequal = ids[_spans((np.cumsum(sizes) - sizes)[same], sizes[same])] != flat[_spans((np.cumsum(theirs) - theirs)[same], sizes[same])]
+        same[np.flatnonzero(same)[np.repeat(np.arange(same.sum()), sizes[same])[unequal]]] = False
+        return same
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, where each text's begin (one more at the end), and parity of each text."""

@@ -465,3 +465,54 @@ def test_workers_keep_the_tables_of_one_operator():
     pieces._codec(model)
     phrase_dedup._Block(pa.table({"id": pa.array([1]), "text": ["a b"], "block": [0]}), 20, 6)
     assert not tables._HELD
+
+
+def test_words_encoded_in_a_row():
+    """Words that are encoded as one text have the tokens that each has alone, in few calls, and on one thread in a worker."""
+    import random
+    from pathlib import Path
+
+    rnd = random.Random(8)
+    odd = ["x\u00a0", "\u00a0x", "\u3000", "\x85", "a\u2028b", "'s", "'", "<|endoftext|>", "\x1c", "\0", "Ġ", "ĠĠa", "▁", "▁▁", "a▁", "▁a", "日本", "😀", "é", "e\u0301", "1234567", "\ufffd", "<0x41>", "<unk>", "</s>"]
+    words = [*dict.fromkeys(odd + ["".join(rnd.choice("aeinrst'.#é日9") for _ in range(rnd.randint(1, 30))) for _ in range(700)] + [a + b for a in odd for b in odd if len(a + b) < 4])]
+    rnd.shuffle(words)
+    model = Path(pieces.MODEL).read_bytes()
+    own = fertility._Vocabularies(Path(fertility.VOCABULARY).read_bytes(), model)
+    codec = pieces._Codec(model)
+    texts: list[int] = []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, batch, **kw):
+            texts.append(len(batch))
+            return self.tokenizer.encode_batch_fast(batch, **kw)
+
+    alone = [own.bpe.encode(" " + w, add_special_tokens=False).ids for w in words]
+    own.bpe = Counting(own.bpe)
+    at = own.look_up([w.encode() for w in words])
+    starts = np.cumsum(own.sizes) - own.sizes
+    assert [own.tokens[starts[i]:starts[i] + own.sizes[i]].tolist() for i in at] == alone
+    assert [own.n_pieces[i] for i in at] == [len(own.pieces.encode(w)) for w in words]
+    marked = ["▁" + w for w in words] + ["▁▁▁", "▁▁", "▁"]
+    alone = [codec.words.encode(w, add_special_tokens=False).ids for w in marked]
+    codec.words = Counting(codec.words)
+    at = codec._look_up(marked)
+    starts = np.cumsum(codec.sizes) - codec.sizes
+    assert [codec.ids[starts[i]:starts[i] + codec.sizes[i]].tolist() for i in at] == alone
+    assert codec.agrees[at][[i for i, w in enumerate(marked) if "▁" not in w[1:]]].all()
+    assert max(texts) < len(words) / 3
+    assert tables.FRUGAL["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_parity_is_told_word_by_word():
+    from pathlib import Path
+
+    codec = pieces._Codec(Path(pieces.MODEL).read_bytes())
+    words = ["▁the", "▁quick", "▁brown", "▁"]
+    sizes, ids = codec._ids(words[:3], words[3:])
+    assert codec._parity(words, sizes, ids).all()
+    ids[sizes[0]] += 1
+    assert codec._parity(words, sizes, ids).tolist() == [True, False, True, True]
+    assert codec._parity(words[::-1], sizes, ids).tolist() == [a == b for a, b in zip(words, words[::-1], strict=True)]
