@@ -11,6 +11,7 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, compress
 from pathlib import Path
 
@@ -80,7 +81,7 @@ class _Codec:
     def __init__(self, model: bytes):
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
         names, kinds = [p.piece for p in proto.pieces], [p.type for p in proto.pieces]
-        self.whole = rebuilt(model)
+        self.model = model
         self.plain_rules = not proto.normalizer_spec.precompiled_charsmap and not proto.normalizer_spec.remove_extra_whitespaces
         self.prefix = SPACE if proto.normalizer_spec.add_dummy_prefix else ""
         self.falls_apart = not any(re.search(f"[^{SPACE}]{SPACE}", name) for name in names)
@@ -96,6 +97,11 @@ class _Codec:
         self.known: dict[str, int] = {}
         self.sizes, self.hits, self.agrees, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """For models that texts don't fall apart in; others need no second tokenizer in each worker."""
+        return rebuilt(self.model)
+
     def _forget(self) -> None:
         """Keep the words that came again, nothing else."""
         often = np.flatnonzero(self.hits > 1)

@@ -27,8 +27,9 @@ from .tables import shuffle_partitions
 
 WIDTH = 200
 ANCHOR = 64
-#: Bytes whose hashes are worked on at once, and bytes of stretches in a suffix array. A longer text or stretch is not cut.
-CHUNK_BYTES = 1 << 19
+#: Bytes whose hashes are worked on at once, so few that their arrays stay in a core's cache, and bytes of stretches in a suffix array.
+#: A longer text or stretch is not cut.
+CHUNK_BYTES = 24 << 10
 SHARD_BYTES = 1 << 19
 BLOCK_BYTES = 4 << 20
 UNIQUE, REPEATED, OPEN = 0, 1, 2

@@ -516,3 +516,31 @@ def test_parity_is_told_word_by_word():
     ids[sizes[0]] += 1
     assert codec._parity(words, sizes, ids).tolist() == [True, False, True, True]
     assert codec._parity(words[::-1], sizes, ids).tolist() == [a == b for a, b in zip(words, words[::-1], strict=True)]
+
+
+def test_stretches_are_hashed_in_small_pieces(monkeypatch):
+    """Arrays of one piece stay below 256 KB, and how texts fall into pieces changes nothing."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abc ") for _ in range(rnd.choice([0, 150, 199, 200, 201, 900, 4000]))) for _ in range(150)] + [None, "x" * 60_000]
+    group = pa.table({"text": pa.array(texts, pa.string())})
+    longest, hashed = [], suffix_dedup.stretches
+    monkeypatch.setattr(suffix_dedup, "stretches", lambda data, *rest: longest.append(len(data)) or hashed(data, *rest))
+    small = suffix_dedup._Block(group, 200, 64)
+    assert 8 * max(n for n in longest if n != 60_000) <= 256 << 10
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1 << 19)
+    large = suffix_dedup._Block(group, 200, 64)
+    assert len(small.all.anchor) and all(np.array_equal(getattr(small.all, x), getattr(large.all, x)) for x in ("anchor", "content", "places", "first", "last"))
+
+
+def test_one_tokenizer_a_worker(monkeypatch):
+    from pathlib import Path
+
+    made, build = [], pieces.rebuilt
+    monkeypatch.setattr(pieces, "rebuilt", lambda model: made.append(model) or build(model))
+    codec = pieces._Codec(Path(pieces.MODEL).read_bytes())
+    codec.encode(["some words", ""])
+    assert len(made) == 1
