@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import words as W
 from .suffix_array import reaches, suffix_array
-from .tables import shuffle_partitions
+from .tables import KEEPING, shuffle_partitions, workers_with
 
 WIDTH = 200
 ANCHOR = 64
@@ -227,8 +227,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         kept = [own.data[a:b][~gone[a:b]].tobytes() for a, b in zip(own.ends[:-1], own.ends[1:], strict=True)]
         return pa.table({"id": group["id"], "n_bytes": np.diff(own.ends), "n_removed": per_row(gone), "n_spans": per_row(begins), "kept": pa.array(kept, pa.binary())})
 
-    asked = rows.groupBy("block").applyInArrow(ask_anchors, B.ASKED)
-    first = B.answers(asked, _same_stretch, np.uint8, np.uint64)
-    asked = rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_strings, B.ASKED)
-    second = B.answers(asked, _twice, np.uint8)
-    return rows.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(cut, _RESULT)
+    with workers_with(spark, KEEPING):
+        asked = rows.groupBy("block").applyInArrow(ask_anchors, B.ASKED)
+        first = B.answers(asked, _same_stretch, np.uint8, np.uint64)
+        asked = rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_strings, B.ASKED)
+        second = B.answers(asked, _twice, np.uint8)
+        return rows.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(cut, _RESULT)

@@ -544,3 +544,21 @@ def test_one_tokenizer_a_worker(monkeypatch):
     codec = pieces._Codec(Path(pieces.MODEL).read_bytes())
     codec.encode(["some words", ""])
     assert len(made) == 1
+
+
+def test_worker_settings_hold_for_what_is_made_inside(ready):
+    import os
+
+    import pyarrow as pa
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.environ["MALLOC_MMAP_THRESHOLD_"]] * len(batch))], ["v"])
+
+    seen = lambda df: df.mapInArrow(told, "v string")
+    one = ready.createDataFrame([("",)], "v string")
+    before = dict(ready.sparkContext.environment)
+    with tables.workers_with(ready, tables.KEEPING):
+        inside = seen(one)
+    assert ready.sparkContext.environment == before
+    assert [inside.first()[0], seen(one).first()[0]] == [tables.KEEPING["MALLOC_MMAP_THRESHOLD_"], tables.FRUGAL["MALLOC_MMAP_THRESHOLD_"]]
