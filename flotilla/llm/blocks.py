@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import landed, shuffle_partitions
 
 #: Bytes of text in a block. Larger blocks send fewer, longer messages and need more memory in a task.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose keys a bucket has, where there are fewer shuffle partitions than that needs.
+BUCKET_BYTES = 32 << 20
 LEAST = -(1 << 63)
 ASKED = "bucket int, block bigint, phase int, keys binary, counts binary"
 ANSWERED = "block bigint, bucket int, phase int, answer binary"
@@ -49,6 +51,11 @@ def with_blocks(rows: DataFrame, key: str, text: str, block_bytes: int = BLOCK_B
     what stays together is a single row and rows alike in key and text. Keys that are one double count as one key here. The driver
     holds one number a range. Which block a row is in depends on its key, its text and the sizes by key only.
     """
+    return measured_blocks(rows, key, text, block_bytes)[0]
+
+
+def measured_blocks(rows: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[Blocks, int]:
+    """``with_blocks``, and the bytes of all texts."""
     spark = rows.sparkSession
     at = F.coalesce(F.col(key), F.lit(LEAST)).cast("double")
     sizes = landed(rows.select(at.alias("at"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"))
@@ -80,7 +87,7 @@ def with_blocks(rows: DataFrame, key: str, text: str, block_bytes: int = BLOCK_B
         piece = F.when(F.col("__range").isin(of), F.pmod(spread, F.lit(n).cast("long"))).otherwise(piece)
     dealt = _ranges(rows.withColumn("__at", at), "__at", cuts[1:], "__range")
     dealt = dealt.withColumn("block", F.col("__range").cast("long") * pieces + piece).drop("__at", "__range")
-    return Blocks(dealt, pieces, frozenset(x for of in by_pieces.values() for x in of))
+    return Blocks(dealt, pieces, frozenset(x for of in by_pieces.values() for x in of)), total
 
 
 def _ranges(rows: DataFrame, at: str, bounds: list[float], into: str) -> DataFrame:
@@ -91,6 +98,11 @@ def _ranges(rows: DataFrame, at: str, bounds: list[float], into: str) -> DataFra
     return Bucketizer(splits=splits, inputCol=at, outputCol=into).transform(rows).withColumn(into, F.col(into).cast("int"))
 
 
+def buckets_for(spark: SparkSession, total: int) -> int:
+    """So many buckets that what one merges does not grow with the ``total`` bytes of text, whatever the number of partitions."""
+    return max(shuffle_partitions(spark), math.ceil(total / BUCKET_BYTES))
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each key: equal ranges of the 64-bit values, so sorted keys are sorted by bucket too."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import words as W
 from .suffix_array import reaches, suffix_array
-from .tables import KEEPING, shuffle_partitions, workers_with
+from .tables import KEEPING, workers_with
 
 WIDTH = 200
 ANCHOR = 64
@@ -41,7 +41,7 @@ _BYTE = np.random.default_rng(64).integers(0, 1 << 64, 258, dtype=np.uint64)  #
 class Stretches:
     """Neighbouring strings with one anchor: starts ``first`` to ``last`` in the block's bytes."""
 
-    anchor: np.ndarray
+    anchor: np.ndarray  # its hash, spread evenly
     content: np.ndarray  # hash of all their bytes
     places: np.ndarray  # how often the anchor occurs in them
     first: np.ndarray
@@ -81,7 +81,8 @@ def stretches(data: np.ndarray, ends: np.ndarray, width: int, anchor: int) -> St
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * W._powers(W._ODD, len(data)), dtype=np.uint64)))
     content = (sums[last + width] - sums[first]) * W._powers(W._INVERSE, len(data))[first]
     content = W.mix(content ^ W.mix((last - first + width).astype(np.uint64)))
-    return Stretches(own, np.maximum(content, 1), places, first, last)
+    # least hashes lie close to zero, where all would meet in the first buckets
+    return Stretches(W.mix(own), np.maximum(content, 1), places, first, last)
 
 
 def _between(value: np.ndarray, at: np.ndarray, wanted: np.ndarray, limit: np.ndarray, side: str) -> np.ndarray:
@@ -191,8 +192,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     are not read. Empty in, empty out.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    rows = B.with_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", block_bytes).rows
+    (rows, *_), total = B.measured_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", block_bytes)
+    buckets = B.buckets_for(spark, total)
 
     def ask_anchors(group: pa.Table) -> pa.Table:
         own = _Block(group, width, anchor)

@@ -536,6 +536,34 @@ def test_stretches_are_hashed_in_small_pieces(monkeypatch):
     assert len(small.all.anchor) and all(np.array_equal(getattr(small.all, x), getattr(large.all, x)) for x in ("anchor", "content", "places", "first", "last"))
 
 
+def test_anchors_spread_over_buckets():
+    """A least hash is close to zero: sent as it is, one bucket would merge most of the corpus."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    own = suffix_dedup._Block(pa.table({"text": [" ".join(rnd.choice(words) for _ in range(400)) for _ in range(200)]}), 200, 64)
+    for buckets in (8, 51):
+        filled = np.bincount(blocks.bucket_of(own.keys, buckets), minlength=buckets)
+        assert filled.sum() > 4000 and filled.max() < 2 * filled.mean()
+
+
+def test_buckets_grow_with_the_text(ready, docs, rows, monkeypatch):
+    """What one bucket merges is bounded by bytes of text, not by the number of shuffle partitions alone."""
+    total = sum(len((r[1] or "").encode()) for r in rows)
+    assert blocks.measured_blocks(docs, "doc_id", "text")[1] == total
+    parts = tables.shuffle_partitions(ready)
+    assert blocks.buckets_for(ready, total) == parts
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", math.ceil(total / (3 * parts)))
+    assert blocks.buckets_for(ready, total) > 2 * parts
+    sent, asked = [], blocks.buckets_for
+    monkeypatch.setattr(blocks, "buckets_for", lambda *args: sent.append(asked(*args)) or sent[-1])
+    check_byte_strings(docs, rows)
+    assert sent[0] > 2 * parts
+
+
 def test_one_tokenizer_a_worker(monkeypatch):
     from pathlib import Path
 
